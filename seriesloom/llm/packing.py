@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -16,10 +19,10 @@ from .common import small_batches
 
 SIZE = 4096
 #: What a cut costs, in tokens of padding: at the end of a document, of a sentence, elsewhere.
-AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 8, 48
+AT_DOCUMENT, AT_SENTENCE, ELSEWHERE = 0, 4, 16
 #: Cuts elsewhere may lie at every so many tokens of a longer run without an end of sentence.
 GRID = 32
-#: The queue runs over blocks of so many tokens; all but the last two windows of a block are final.
+#: The queue runs over blocks of so many tokens; what follows the best last cut is left for the next.
 BLOCK = 64 * SIZE
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -27,22 +30,37 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds(dict):
     """Token ids by chunk between ASCII white space, as bytes of unsigned 32-bit numbers; forgotten when there are too many.
 
-    The tokenizer drops white space before it splits, so the ids of a text are those of its chunks in order.
+    The tokenizer drops white space and case before it splits, so the ids of a text are those of its lower-cased chunks in
+    order; only the names of special tokens depend on case. It splits between letters and marks, so a mark at the end of a
+    word adds its own ids. A word of Latin letters needs neither normaliser nor splitter: it goes to the BPE model at once.
     """
 
-    LIMIT, LONGEST = 200_000, 64
+    LIMIT, LONGEST = 700_000, 64
+    PLAIN = re.compile("[a-zà-öø-ÿ]+")
+    ENDING = re.compile(rb"[a-z][.,]")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: letters.pre_tokenize_str(chr(i))[0][0] for i in range(0xE0, 0x100)}
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.removesuffix("</w>")[-1:] in tuple(".!?")]] = True
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) > 1 and self.ENDING.fullmatch(chunk, len(chunk) - 2):
+            ids = self[chunk[:-1]] + self[chunk[-1:]]
+        else:
+            text = chunk.decode()
+            if self.PLAIN.fullmatch(text):
+                found = [t.id for t in self.model.tokenize(text.translate(self.letters))]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -50,12 +68,21 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+        raw = text.encode()
+        return np.frombuffer(b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split())), "<u4")
 
 
-def best_cuts(at: list[int], cost: list[int], size: int = SIZE) -> list[int]:
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker; its tasks share what it has seen."""
+    return WordIds(path)
+
+
+def best_cuts(at: list[int], cost: list[int], size: int = SIZE, open_end: bool = False) -> list[int]:
     """Indices of the cuts that minimise padding plus costs of cuts, from at[0] to at[-1]; windows hold at most size tokens.
 
+    With an open end, the last cut is wherever in the last size tokens the total is least, as more may follow.
+
     total[j] = min over i of total[i] + size - (at[j] - at[i]) + cost[j]; total[i] + at[i] is kept in a queue that rises,
     so each position enters and leaves it once.
     """
@@ -76,6 +103,8 @@ def best_cuts(at: list[int], cost: list[int], size: int = SIZE) -> list[int]:
         value[j] = v
         queue.append(j)
     cuts, j = [], n - 1
+    if open_end:
+        j = min((i for i in range(n) if at[i] > at[-1] - size), key=lambda i: (value[i] - at[i], -i))
     while j:
         cuts.append(j)
         j = before[j]
@@ -122,35 +151,36 @@ class Packer:
             self.held += stop - begun
             begun = stop
             if self.held >= self.block:
-                yield from self.settle(keep=2)
+                yield from self.settle()
 
-    def settle(self, keep: int = 0) -> Iterator[tuple]:
-        if self.held == 0:
-            return
-        cuts = best_cuts(self.at, self.cost, self.size)
-        final = cuts[: len(cuts) - keep] if keep else cuts
+    def settle(self) -> Iterator[tuple]:
+        """Cuts windows from what is held; less than a window stays."""
         done = 0
-        for c in final:
-            yield from self.window(self.at[c] - done, last=not keep and c == cuts[-1])
+        cuts = best_cuts(self.at, self.cost, self.size, open_end=True)
+        for c in cuts:
+            yield from self.window(self.at[c] - done)
             done = self.at[c]
-        if final:
-            self.at, self.cost = [p - done for p in self.at[final[-1] :]], self.cost[final[-1] :]
+        if cuts:
+            self.at, self.cost = [p - done for p in self.at[cuts[-1] :]], self.cost[cuts[-1] :]
             self.held -= done
 
-    def window(self, length: int, last: bool) -> Iterator[tuple]:
-        """The last window of a partition is cut into powers of two, which need no padding."""
-        sizes = [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1] if last else [length]
-        for want in sizes:
-            offset = 0
-            while offset < want:
-                doc_id, start, ids, total = self.parts.popleft()
-                take = min(want - offset, len(ids))
-                if take < len(ids):
-                    self.parts.appendleft((doc_id, start + take, ids[take:], total))
-                piece = ids[:take]
-                yield doc_id, start, take, zlib.crc32(piece.tobytes()), total, self.next, offset
-                offset += take
-            self.next += 1
+    def close(self) -> Iterator[tuple]:
+        """The last, shorter window is cut into powers of two, which need no padding."""
+        yield from self.settle()
+        for k in range(self.held.bit_length() - 1, -1, -1):
+            if self.held >> k & 1:
+                yield from self.window(1 << k)
+
+    def window(self, length: int) -> Iterator[tuple]:
+        offset = 0
+        while offset < length:
+            doc_id, start, ids, total = self.parts.popleft()
+            take = min(length - offset, len(ids))
+            if take < len(ids):
+                self.parts.appendleft((doc_id, start + take, ids[take:], total))
+            yield doc_id, start, take, zlib.crc32(ids[:take].tobytes()), total, self.next, offset
+            offset += take
+        self.next += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 2, doc
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         packer = Packer(words.ends, TaskContext.get().partitionId() << 33, size)
         end = np.array([end_id], "<u4")
         rows: list[tuple] = []
@@ -179,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 2, doc
                 rows += packer.add(doc, np.concatenate((words.encode(whole.as_py() or ""), end)))
             if len(rows) > 10_000:
                 yield flush()
-        rows += packer.settle()
+        rows += packer.close()
         if rows:
             yield flush()
 

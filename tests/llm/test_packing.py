@@ -57,7 +57,7 @@ def check(docs, pieces, size):
 
 def test_every_id_lies_in_one_piece(spark):
     rng = random.Random(1)
-    word = lambda: rng.choice(["alpha", "beta.", "gamma", "délta", "x" * 200, "\x1c!", " two", "<|endoftext|>", "don't"])
+    word = lambda: rng.choice(["alpha", "beta.", "gamma", "délta", "x" * 200, "\x1c!", " two", "<|endoftext|>", "<|ENDOFTEXT|>", "don't", "Éclair,", "naïve.", "e\u0301te\u0301.", "ÿ", "it's,", "a.,b.", "Ærø", "ß.", "Σας"])
     docs = [(i, " ".join(word() for _ in range(rng.choice((0, 3, 40, 900, 9000))))) for i in range(60)] + [(100, None), (101, ""), (102, "no stop " * 9000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     assert check(docs, packing.pack(frame, PATH).collect(), 4096) < 0.01
@@ -68,7 +68,7 @@ def test_blocks_and_small_sequences():
     ends[7] = True
     packer = packing.Packer(ends, 0, size=64, block=256)
     docs = [np.array([random.Random(i).choice((1, 2, 3, 7)) for _ in range(n)], "<u4") for i, n in enumerate((5, 1000, 64, 1, 300, 2000))]
-    rows = [r for i, d in enumerate(docs) for r in packer.add(i, d)] + list(packer.settle())
+    rows = [r for i, d in enumerate(docs) for r in packer.add(i, d)] + list(packer.close())
     got = defaultdict(int)
     for doc, start, length, crc, total, seq, offset in rows:
         assert start == got[doc] and crc == zlib.crc32(docs[doc][start : start + length].tobytes())
