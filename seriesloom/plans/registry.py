@@ -1,4 +1,9 @@
 """Every registered query and its SQL twin."""
 
+from . import panel_queries
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for module in (panel_queries,):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE
