@@ -88,13 +88,13 @@ UNION ALL SELECT panel, 'LEVEL', CAST(date_trunc('quarter', day) AS DATE), SUM(C
 obs AS (SELECT *, value AS value_adj FROM raw_obs)"""
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stories(spark: SparkSession, sf_dir: str, start: str = "2022-01-01") -> DataFrame:
     """Stories from documents, with class probabilities from labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     title = F.substring_index("text", "\n", 1)
     base = docs.select(
         F.col("doc_id").alias("story_id"),
-        F.add_months(F.lit("2022-01-01").cast("date"), (F.col("doc_id") % 48).cast("int")).alias("month"),
+        F.add_months(F.lit(start).cast("date"), (F.col("doc_id") % 48).cast("int")).alias("month"),
         F.substring(title, 1, 200).alias("title"),
         F.substring(F.col("text"), F.length(title) + 2, F.lit(500)).alias("text_excerpt"),
         F.col("n_chars").alias("score"),
@@ -105,6 +105,13 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.join(labels.select(F.col("doc_id").alias("story_id"), F.col("quality").cast("double").alias("positive"), F.col("toxic").cast("double").alias("negative")), "story_id", "left")
 
 
-STORIES = """stories AS (SELECT d.doc_id AS story_id, CAST(DATE '2022-01-01' + to_months(CAST(d.doc_id % 48 AS INTEGER)) AS DATE) AS month,
+def stories_sql(start: str = "2022-01-01") -> str:
+    return f"""stories AS (SELECT d.doc_id AS story_id, CAST(DATE '{start}' + to_months(CAST(d.doc_id % 48 AS INTEGER)) AS DATE) AS month,
 substr(split_part(text, chr(10), 1), 1, 200) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2, 500) AS text_excerpt, n_chars AS score,
-d.doc_id % 17 AS num_comments, source, l.quality::DOUBLE AS positive, l.toxic::DOUBLE AS negative FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+d.doc_id % 17 AS num_comments, source, coalesce(l.quality, 0)::DOUBLE AS positive, coalesce(l.toxic, 0)::DOUBLE AS negative FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+scored AS (SELECT *, CASE WHEN gone THEN 0 ELSE positive - negative END AS sentiment_score, CASE WHEN gone THEN 'neutral' WHEN positive > negative THEN 'positive' WHEN negative > positive THEN 'negative' ELSE 'neutral' END AS sentiment_label
+FROM (SELECT *, trim(title) IN ('[deleted]', '[dead]', '[flagged]') AND trim(text_excerpt) = '' AS gone FROM stories)),
+roll AS (SELECT month, AVG(sentiment_score) AS mean_sentiment, COUNT(*) AS story_count, COUNT(*) FILTER (regexp_matches(lower(title || chr(10) || text_excerpt), 'scum|trash|idiot|ingth')) AS tag_story_count FROM scored GROUP BY 1)"""
+
+
+WORDS = ("scum", "trash", "idiot", "ingth")
