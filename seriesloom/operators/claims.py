@@ -158,7 +158,7 @@ def squeezed(text: Column) -> Column:
 
 def verify_citations(citations: DataFrame, docs: DataFrame, head: int = 60) -> DataFrame:
     """citations (ref_id, excerpt, ...) with ref_exists and excerpt_matches: the excerpt's beginning is part of the document (ref_id, content)."""
-    part = squeezed(F.rtrim(F.lit(". \t\n"), F.substring("excerpt", 1, head)))
+    part = squeezed(F.rtrim(F.substring("excerpt", 1, head), F.lit(". \t\n")))
     rows = citations.join(docs.select("ref_id", "content"), "ref_id", "left")
     return rows.select(*citations.columns, F.col("content").isNotNull().alias("ref_exists"), F.coalesce((part != "") & squeezed(F.col("content")).contains(part), F.lit(False)).alias("excerpt_matches"))
 
