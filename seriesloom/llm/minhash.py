@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ LEAST = 0.8
 BANDS, ROWS = 30, 5
 #: A bucket of more representatives than this is not compared pair by pair but split by finer keys first.
 LARGE = 200
+#: Counters of tokens, by which the order of prefixes goes.
+CELLS = 1 << 22
+#: So often are texts verified against the hubs of their buckets before what is left is compared in full.
+HUB_ROUNDS = 3
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +74,7 @@ def bag_minhash(values: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: in
     first = np.full(n * registers, np.inf)
     mark = np.zeros(n * registers, np.uint64)
     mass = np.bincount(owner, counts, n)
-    begun, until = np.zeros(n), (np.log(registers) + 2.5) / np.maximum(mass, 1)
+    until = (np.log(registers) + 2.0) / np.maximum(mass, 1)
     top = int(counts.max(initial=1))
     levels = [(0, 1)] + [(1 << j, 1 << j) for j in range((top - 1).bit_length())]  # (lower bound, width)
     # The state of each process: its latest point, and how many there were.
@@ -98,15 +103,11 @@ def bag_minhash(values: np.ndarray, counts: np.ndarray, owner: np.ndarray, n: in
                 take = unit < counts[r]
                 cell = owner[r[take]] * registers + register[take]
                 times, marks = t[take], h[take]
-                order = np.lexsort((marks, times, cell))
-                cell, times, marks = cell[order], times[order], marks[order]
-                lead = np.concatenate(([True], cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, bool)
-                cell, times, marks = cell[lead], times[lead], marks[lead]
-                better = times < first[cell]
-                first[cell[better]], mark[cell[better]] = times[better], marks[better]
-        begun = until
+                np.minimum.at(first, cell, times)
+                lead = times == first[cell]
+                mark[cell[lead]] = marks[lead]
         open_ = open_ & np.isinf(first.reshape(n, registers)).any(1)
-        until = np.where(open_, begun * 1.6, begun)
+        until = np.where(open_, until * 1.5, until)
     return mark.reshape(n, registers)
 
 
@@ -117,6 +118,16 @@ def bags(texts: list[str | None], words: WordHashes) -> tuple[np.ndarray, np.nda
     return np.concatenate([v for v, _ in each] or [np.zeros(0, np.uint64)]), np.concatenate([c for _, c in each] or [np.zeros(0, np.int64)]), owner
 
 
+def by_length(batch: pa.RecordBatch, texts: pa.Array, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about most bytes each: enough rows at once, and long texts by themselves."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest (md5 of the text), size (the mass of its bag of shingles), bands (a hash for each), signature."""
     small_batches(docs.sparkSession)
@@ -125,8 +136,7 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                part = batch.slice(a, 100)
+            for part in by_length(batch, batch.column(1)):
                 texts = part.column(1).to_pylist()
                 values, counts, owner = bags(texts, words)
                 marks = bag_minhash(values, counts, owner, len(texts))
@@ -196,20 +206,92 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bucket_pairs(buckets: DataFrame, labels: DataFrame, marks: DataFrame, least: float = LEAST) -> DataFrame:
+def hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Each number with its bucket's hub, the one with the most links so far, where that lies in another component.
+
+    A hub has changed least from what the bucket's texts have in common, so it links most of those that are similar to any.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("degree"))
+    known = members.join(degree, "number", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("number")).alias("n"), "root")).alias("hub"))
+    each = known.join(hubs, "key").filter(F.col("root") != F.col("hub.root"))
+    return each.select(F.least(F.col("number"), -F.col("hub.n")).alias("a"), F.greatest(F.col("number"), -F.col("hub.n")).alias("b")).distinct()
+
+
+def token_sets(texts: DataFrame) -> DataFrame:
+    """number, tokens: each text's bag as a set, by telling repeats of a shingle apart; texts: number, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                s = np.sort(shingles(text, words))
+                first = np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), np.arange(len(s)), 0)) if len(s) else s.astype(np.int64)
+                out.append(mixed(s + (np.arange(len(s)) - first).astype(np.uint64) * GOLDEN).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(out, pa.list_(pa.int64()))], names=["number", "tokens"])
+
+    return texts.select("number", "text").mapInArrow(run, "number long, tokens array<long>")
+
+
+def prefixes(sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """number, size, prefix: the rarest tokens of each set, one of which it must share with any set that is similar.
+
+    Two sets of sizes m and n at similarity t or more have at least t / (1 + t) * (m + n) tokens in common. So in any order of
+    all tokens, the first m + 1 less that many of one must meet the first n + 1 less that many of the other; prefix holds
+    enough for partners of all sizes. The order is by counts of hashed tokens over all these texts, in CELLS counters (a
+    fixed size, so they can be sent out): counts that fall together only make it a worse order, not a wrong one.
+    """
+    cell = F.pmod(F.col("t"), F.lit(CELLS))
+    counts = sets.select(F.explode("tokens").alias("t")).groupBy(cell.cast("int").alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.uint16)
+    table[counts.column("cell").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 65_535)
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for tokens in batch.column("tokens"):
+                t = np.asarray(tokens.values)
+                k = len(t) - int(np.ceil(least * len(t) - 1e-9)) + 1
+                order = np.lexsort((t, shared.value[t % CELLS]))[:k]
+                sizes.append(len(t))
+                out.append(mixed(t[order].view(np.uint64)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["number", "size", "prefix"])
+
+    return sets.mapInArrow(run, "number long, size long, prefix binary")
+
+
+def may_overlap(sizes: np.ndarray, prefix: np.ndarray, place: np.ndarray, i: int, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of others can be similar to i: do the two prefixes, at the lengths that their sizes call for, share a token?
+
+    prefix: all prefixes one after the other; place: where each begins (and the last ends).
+    """
+    need = np.ceil(least / (1 + least) * (sizes[i] + sizes[others]) - 1e-9).astype(np.int64)
+    mine = prefix[place[i] : place[i + 1]]
+    order = np.argsort(mine, kind="stable")
+    lengths = place[others + 1] - place[others]
+    at = np.repeat(place[others], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    theirs = prefix[at]
+    hit = np.minimum(np.searchsorted(mine[order], theirs), len(mine) - 1)
+    pair = np.repeat(np.arange(len(others)), lengths)
+    rank = at - place[others][pair]
+    ok = (mine[order][hit] == theirs) & (order[hit] < sizes[i] - need[pair] + 1) & (rank < sizes[others][pair] - need[pair] + 1)
+    return np.bincount(pair[ok], minlength=len(others)) > 0
+
+
+def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) -> DataFrame:
     """Candidate pairs of numbers that share a bucket and lie in different components.
 
-    buckets: key, number; labels: number, root (a number without a label is alone); marks: number, signature.
-    Within a bucket, registers that agree are counted, and pairs whose share lies six standard errors under least are passed
-    over. A bucket of more than LARGE numbers is first split by finer keys, in one of which numbers that are similar meet
-    all but surely, so that no large group is compared pair by pair.
+    members: key, number, root of buckets that hold several components; marks: number, signature, size, prefix.
+    A pair is passed over if its sizes or prefixes rule it out, or if the share of registers that agree lies six standard
+    errors under least. A bucket of more than LARGE numbers is first split by finer keys, in one of which numbers that are
+    similar meet all but surely, so that no large group is compared pair by pair.
     """
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
-    members = buckets.join(labels, "number", "left").select("key", "number", F.coalesce("root", "number").alias("root"))
-    members = written(members, "near-members")
-    counted = members.groupBy("key").agg(F.count("*").alias("n"), (F.max("root") != F.min("root")).alias("mixed")).filter("mixed").drop("mixed")
+    columns = ["key", "number", "root", "signature", "size", "prefix"]
+    counted = members.groupBy("key").agg(F.count("*").alias("n"))
     sized = members.join(counted, "key").join(marks, "number")
-    columns = ["key", "number", "root", "signature"]
     rest = sized.filter(F.col("n") <= LARGE).select(columns)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,25 +299,30 @@ def bucket_pairs(buckets: DataFrame, labels: DataFrame, marks: DataFrame, least:
         r = len(picks)
         for batch in batches:
             registers = np.array([np.frombuffer(x, np.uint16) for x in batch.column("signature").to_pylist()], np.uint64).reshape(-1, BANDS * ROWS)
-            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None] + np.arange(r, dtype=np.uint64)
+            keys = np.zeros((len(registers), r), np.uint64) + np.arange(r, dtype=np.uint64)
             for k in range(picks.shape[1]):
                 keys = mixed(keys ^ registers[:, picks[:, k]])
             take = pa.array(np.repeat(np.arange(len(registers)), r))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(batch.column(c).take(take) for c in columns[1:])], names=columns)
 
-    finer = sized.filter(F.col("n") > LARGE).select(columns).mapInArrow(refine, "key long, number long, root long, signature binary")
+    # A number that lies in several large buckets meets the others of all of them by its own finer keys, once.
+    finer = sized.filter(F.col("n") > LARGE).select(columns).dropDuplicates(["number"]).mapInArrow(refine, "key long, number long, root long, signature binary, size long, prefix binary")
 
     def compare(table: pa.Table) -> pa.Table:
-        number, root = table.column("number").to_numpy(), table.column("root").to_numpy()
+        number, root, size = (table.column(c).to_numpy() for c in ("number", "root", "size"))
         registers = np.array([np.frombuffer(x, np.uint16) for x in table.column("signature").to_pylist()])
-        order = np.argsort(number, kind="stable")
-        number, root, registers = number[order], root[order], registers[order]
+        prefix = [np.frombuffer(x, np.uint32) for x in table.column("prefix").to_pylist()]
+        place = np.concatenate(([0], np.cumsum([len(x) for x in prefix])))
+        prefix = np.concatenate(prefix)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(number) - 1):
-            close = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-            close = close[(registers[close] == registers[i]).mean(1) >= floor]
-            a.append(np.full(len(close), number[i]))
-            b.append(number[close])
+            some = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            some = some[np.minimum(size[some], size[i]) >= least * np.maximum(size[some], size[i])]
+            some = some[(registers[some] == registers[i]).mean(1) >= floor]
+            if len(some):
+                some = some[may_overlap(size, prefix, place, i, some, least)]
+            a.append(np.minimum(number[i], number[some]))
+            b.append(np.maximum(number[i], number[some]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return rest.unionByName(finer).groupBy("key").applyInArrow(compare, "a long, b long").distinct()
@@ -246,7 +333,8 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
     Groups are the connected components of the links between different texts; texts without words are alone.
     Equal texts count once from the first step on, so copies never meet as pairs. First each text is verified against the
-    smallest number of each of its buckets; then, in buckets that still hold several components, all that may be similar.
+    smallest number of each of its buckets, then against their hubs; then, in buckets that still hold several components,
+    all pairs between components that sizes, prefixes and signatures do not rule out.
     """
     rows = written(signed(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     reps = written(rows.filter("size > 0").groupBy("digest").agg(F.min("row").alias("number")), "near-texts")
@@ -257,18 +345,36 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     fits = F.least("size", "star.size") >= F.lit(least) * F.greatest("size", "star.size")  # else the overlap is too small at any rate
     pairs = written(meets.filter(F.col("star.number") != F.col("number")).filter(fits).select(F.col("star.number").alias("a"), F.col("number").alias("b")).distinct(), "near-pairs")
 
-    def judged(candidates: DataFrame) -> DataFrame:
-        named = candidates.select(F.explode(F.array("a", "b")).alias("number")).distinct().join(reps, "number").select("number", "digest")
+    def texts_of(numbers: DataFrame) -> DataFrame:
+        named = written(numbers.distinct().join(reps, "number").select("number", F.lower(F.hex("digest")).alias("_hex")), "near-needed")
         some = docs.select(F.md5(F.col(text).cast("binary")).alias("_hex"), F.col(text).alias("text"))
-        named = written(named.withColumn("_hex", F.lower(F.hex("digest"))).drop("digest"), "near-needed")
         small = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        texts = some.join(F.broadcast(named) if small else named, "_hex").groupBy("number").agg(F.first("text").alias("text"))
-        return verified(candidates, texts, least)
+        return some.join(F.broadcast(named) if small else named, "_hex").groupBy("number").agg(F.first("text").alias("text"))
+
+    def judged(candidates: DataFrame) -> DataFrame:
+        return verified(candidates, texts_of(candidates.select(F.explode(F.array("a", "b")).alias("number"))), least)
+
+    def several(labels: DataFrame) -> DataFrame:
+        """key, number, root of the buckets that still hold several components."""
+        members = meets.select("key", "number").join(labels, "number", "left").select("key", "number", F.coalesce("root", "number").alias("root"))
+        keys = members.groupBy("key").agg((F.max("root") != F.min("root")).alias("several")).filter("several").select("key")
+        return written(members.join(keys, "key", "left_semi"), "near-members")
 
-    links = written(judged(pairs), "near-found")
+    links, tried = written(judged(pairs), "near-found"), pairs
     labels = components(links)
-    marks = own.select(F.col("row").alias("number"), "signature")
-    more = written(bucket_pairs(meets.select("key", "number"), labels, marks, least).join(pairs, ["a", "b"], "left_anti"), "near-more")
+    for _ in range(HUB_ROUNDS):
+        members = several(labels)
+        new = written(hub_pairs(members, links).join(tried, ["a", "b"], "left_anti"), "near-hubs")
+        found = written(judged(new), "near-found")
+        tried = tried.union(new)
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        labels = components(links)
+    members = several(labels)
+    rarest = prefixes(written(token_sets(texts_of(members.select("number"))), "near-tokens"), least)
+    marks = written(own.select(F.col("row").alias("number"), "signature").join(rarest, "number"), "near-marks")
+    more = written(bucket_pairs(members, marks, least).join(tried, ["a", "b"], "left_anti"), "near-more")
     if more.limit(1).count():
         labels = components(links.union(judged(more)))
     out = rows.join(reps, "digest", "left").join(labels, "number", "left")
