@@ -16,7 +16,8 @@ FEATURES = SERIES_FEATURES + STORY_FEATURES
 def monthly_wide(obs: DataFrame, roles: dict[str, str], by: list[str], col: str = "value_adj") -> DataFrame:
     """One row for each month with a column of monthly means for each role; flag_raw has the unadjusted flag."""
     some = obs.filter(F.col("series_id").isin(list(roles.values())))
-    means = [F.avg(F.when(F.col("series_id") == s, F.col(col))).alias(r) for r, s in roles.items()]
+    # Rounded, so that a mean of nothing but noise about zero is zero whatever the order of its sum.
+    means = [F.round(F.avg(F.when(F.col("series_id") == s, F.col(col))), 9).alias(r) for r, s in roles.items()]
     raw = F.avg(F.when(F.col("series_id") == roles["flag"], F.col("value"))).alias("flag_raw")
     return some.groupBy(*by, month_of(F.col("date")).alias("month")).agg(*means, raw)
 

@@ -66,7 +66,7 @@ def shock_forecast(obs: DataFrame, start: str, end: str, method: str = "linear",
             pdf = pdf.sort_values("date")
             before = pdf["date"] < pd.Timestamp(start).date()
             if before.sum() < min_obs or before.all():
-                return pd.DataFrame({"panel": [], "series_id": [], "date": [], "forecast": []})
+                return pdf.iloc[:0][[*KEYS, "date"]].assign(forecast=0.0)
             out = pdf.loc[~before, [*KEYS, "date"]].copy()
             out["forecast"] = autoregression(pdf.loc[before, "v"].to_numpy(), len(out), season)
             return out

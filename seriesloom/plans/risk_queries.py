@@ -116,7 +116,7 @@ def shock_summary(spark, d):
 ROLES = {"spread": "SPREAD", "rate3": "RATE3", "rate6": "RATE6", "price": "INDEX", "level": "LEVEL", "pop": "POP", "sector_a": "SECTOR_A", "sector_b": "SECTOR_B", "power": "POWER", "flag": "FLAG"}
 BY = ["panel"]
 CUTOFF = "1998-12"
-WIDE = "wide AS (SELECT panel, CAST(date_trunc('month', date) AS DATE) AS month, " + ", ".join(f"AVG(value_adj) FILTER (series_id = '{s}') AS {r}" for r, s in ROLES.items()) + ", AVG(value) FILTER (series_id = 'FLAG') AS flag_raw FROM obs GROUP BY 1, 2)"
+WIDE = "wide AS (SELECT panel, CAST(date_trunc('month', date) AS DATE) AS month, " + ", ".join(f"round(AVG(value_adj) FILTER (series_id = '{s}'), 9) AS {r}" for r, s in ROLES.items()) + ", AVG(value) FILTER (series_id = 'FLAG') AS flag_raw FROM obs GROUP BY 1, 2)"
 ROLLED = """rolled AS (SELECT *, spread AS yield_spread, AVG(spread) OVER (p ROWS 2 PRECEDING) AS yield_spread_3m_avg, (COUNT(*) FILTER (spread < 0) OVER (p ROWS 5 PRECEDING))::DOUBLE AS yield_inverted_months, rate3 AS unrate,
 rate3 - LAG(rate3, 12) OVER p AS unrate_12m_change, rate6 - rate3 AS u6_u3_gap, (price / NULLIF(LAG(price, 12) OVER p, 0) - 1) * 100 AS cpi_yoy, (power / NULLIF(LAG(power, 12) OVER p, 0) - 1) * 100 AS electricity_yoy,
 CASE WHEN LEAD(flag_raw, 12) OVER p IS NOT NULL THEN CAST(MAX(flag_raw) OVER (p ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS INTEGER) END AS label FROM wide WINDOW p AS (PARTITION BY panel ORDER BY month))"""

@@ -34,7 +34,7 @@ def differences(df, result):
     other = sorted(result.columns)
     if names != other:
         return f"columns {names} and {other}"
-    key = lambda r: tuple(str(x) for x in r)
+    key = lambda r: tuple((isinstance(x, float), "" if isinstance(x, float) else str(x)) for x in r) + tuple(f"{x:.4g}" for x in r if isinstance(x, float))
     a = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=key)
     at = [result.columns.index(c) for c in names]
     b = sorted((tuple(plain(r[i]) for i in at) for r in result.fetchall()), key=key)
