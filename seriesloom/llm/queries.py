@@ -53,4 +53,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op3_media, op4_minhash, op5_nearest, op6_quality, op7_lm, op8_packing, op9_warc, op10_secrets)}
-ORACLE: dict = {}
+ORACLE = {
+    "op9_warc": """SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to,
+CASE WHEN refers IS NULL THEN greatest(1, CAST(ceil(octet_length(encode(h)) / 65536) AS BIGINT)) ELSE 0 END AS chunks, true AS intact FROM (
+SELECT page_id, h, CASE WHEN octet_length(encode(h)) >= 100 AND page_id IS DISTINCT FROM MIN(page_id) OVER (PARTITION BY h) THEN MIN(page_id) OVER (PARTITION BY h) END AS refers FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
+}
