@@ -23,7 +23,7 @@ LARGE = 200
 #: Counters of tokens, by which the order of prefixes goes.
 CELLS = 1 << 22
 #: So often are texts verified against the hubs of their buckets before what is left is compared in full.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -376,7 +376,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     marks = written(own.select(F.col("row").alias("number"), "signature").join(rarest, "number"), "near-marks")
     more = written(bucket_pairs(members, marks, least).join(tried, ["a", "b"], "left_anti"), "near-more")
     if more.limit(1).count():
-        labels = components(links.union(judged(more)))
+        labels = components(links.union(written(judged(more), "near-found")))
     out = rows.join(reps, "digest", "left").join(labels, "number", "left")
     alone = F.col("number").isNull()
     return out.select("doc_id", "digest", "size", "row", F.when(alone, F.col("row")).otherwise(F.col("number")).alias("number"), F.when(alone, F.col("row")).otherwise(F.coalesce("root", "number")).alias("root"))
