@@ -50,12 +50,24 @@ def series_coverage(spark, d):
 
 
 GAPS = """SELECT series_id, COUNT(*) AS total_obs, COUNT(*) FILTER (gap > 35) AS gaps_over, COUNT(*) FILTER (gap < 25) AS gaps_under, CAST(MIN(gap) AS INTEGER) AS min_gap_days, CAST(MAX(gap) AS INTEGER) AS max_gap_days, round(AVG(gap), 1) AS avg_gap_days
-FROM (SELECT series_id, date_diff('day', LAG(date) OVER (PARTITION BY series_id ORDER BY date), date) AS gap FROM obs JOIN meta USING (series_id) WHERE frequency = 'monthly' AND panel = 'ASIA') GROUP BY series_id"""
+FROM (SELECT series_id, date_diff('day', LAG(date) OVER (PARTITION BY series_id ORDER BY date), date) AS gap FROM whole JOIN every USING (series_id) WHERE frequency = 'monthly') GROUP BY series_id"""
+# Every region's series under a name of its own.
+WHOLE = f"{META}, {OBS}, every AS (SELECT r_name || '.' || series_id AS series_id, name, frequency FROM region, meta), whole AS (SELECT panel || '.' || series_id AS series_id, date, value FROM obs)"
 
 
-@add("gap_report", GAPS, f"{META}, {OBS}")
+def whole(spark, d):
+    return observations(spark, d).withColumn("series_id", F.concat_ws(".", "panel", "series_id"))
+
+
+def every(spark, d):
+    """The metadata of each region's series: as many rows as regions times series."""
+    names = table(spark, d, "region").select("r_name")
+    return names.crossJoin(F.broadcast(metadata(spark))).withColumn("series_id", F.concat_ws(".", "r_name", "series_id")).drop("r_name")
+
+
+@add("gap_report", GAPS, WHOLE)
 def gap_report(spark, d):
-    return Q.gap_report(metadata(spark), observations(spark, d).filter("panel = 'ASIA'"))
+    return Q.gap_report(every(spark, d), whole(spark, d))
 
 
 @add("value_distribution", f"SELECT m.series_id, name, units, COUNT(*) AS n, MIN(value) AS min_val, MAX(value) AS max_val, round(AVG(value), {D}) AS mean_val FROM meta m JOIN obs USING (series_id) GROUP BY ALL", f"{META}, {OBS}")
@@ -73,9 +85,9 @@ def duplicate_check(spark, d):
     return Q.duplicate_check(observations(spark, d), ["series_id", "date"])
 
 
-@add("latest_n_per_series", "SELECT series_id, name, date, value FROM obs JOIN meta USING (series_id) WHERE panel = 'ASIA' QUALIFY ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date DESC) <= 3", f"{META}, {OBS}")
+@add("latest_n_per_series", "SELECT series_id, name, date, value FROM whole JOIN every USING (series_id) QUALIFY ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY date DESC) <= 3", WHOLE)
 def latest_n_per_series(spark, d):
-    return Q.latest_n_per_series(metadata(spark), observations(spark, d).filter("panel = 'ASIA'"))
+    return Q.latest_n_per_series(every(spark, d), whole(spark, d))
 
 
 @add("category_summary", "SELECT category, COUNT(DISTINCT series_id) AS series_count, COUNT(*) AS total_obs, MIN(date) AS earliest, MAX(date) AS latest FROM meta JOIN obs USING (series_id) GROUP BY 1", f"{META}, {OBS}")
