@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, lm, media, minhash, packing, quality, secrets, warc
+from . import ann, langid, lm, media, minhash, packing, pieces, quality, secrets, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op3_media, op4_minhash, op5_nearest, op6_quality, op7_lm, op8_packing, op9_warc, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pieces, op3_media, op4_minhash, op5_nearest, op6_quality, op7_lm, op8_packing, op9_warc, op10_secrets)}
 ORACLE = {
     "op9_warc": """SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to,
 CASE WHEN refers IS NULL THEN greatest(1, CAST(ceil(octet_length(encode(h)) / 65536) AS BIGINT)) ELSE 0 END AS chunks, true AS intact FROM (
