@@ -18,7 +18,7 @@ SHINGLE = 5
 LEAST = 0.8
 #: bands * rows registers. A pair at similarity 0.8 misses all bands once in 150,000; one at 0.3 meets in one of 14.
 BANDS, ROWS = 30, 5
-#: A bucket of more representatives than this is not compared pair by pair but split by finer keys first.
+#: The texts of a bucket of more representatives than this are not compared pair by pair but meet by the tokens of their prefixes.
 LARGE = 200
 #: Counters of tokens, by which the order of prefixes goes.
 CELLS = 1 << 22
@@ -280,33 +280,59 @@ def may_overlap(sizes: np.ndarray, prefix: np.ndarray, place: np.ndarray, i: int
     return np.bincount(pair[ok], minlength=len(others)) > 0
 
 
+def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
+    """Candidate pairs (a, b), once each, among members in different components that share a token of their prefixes.
+
+    members: number, root, signature, size, prefix. Any two that are similar share a token at the prefix lengths that their
+    sizes call for, so no pair is lost here; sizes, places and signatures rule out most others. Tokens held by one component
+    only are dropped before signatures are joined.
+    """
+    floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, root, size, prefix in zip(*(batch.column(c).to_pylist() for c in ("number", "root", "size", "prefix")), strict=True):
+                tokens = np.frombuffer(prefix, np.uint32).astype(np.int64)
+                n = len(tokens)
+                columns = [tokens, np.full(n, number), np.full(n, root), np.full(n, size), np.arange(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "number", "root", "size", "rank"])
+
+    tokens = written(members.select("number", "root", "size", "prefix").mapInArrow(spread, "token long, number long, root long, size long, rank long"), "near-prefixes")
+    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    rows = tokens.join(shared, "token").join(members.select("number", "signature"), "number")
+
+    def compare(table: pa.Table) -> pa.Table:
+        number, root, size, rank = (table.column(c).to_numpy() for c in ("number", "root", "size", "rank"))
+        registers = np.array([np.frombuffer(x, np.uint16) for x in table.column("signature").to_pylist()])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(number) - 1):
+            some = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            some = some[np.minimum(size[some], size[i]) >= least * np.maximum(size[some], size[i])]
+            need = np.ceil(least / (1 + least) * (size[some] + size[i]) - 1e-9).astype(np.int64)
+            some = some[(rank[i] <= size[i] - need) & (rank[some] <= size[some] - need)]
+            some = some[(registers[some] == registers[i]).mean(1) >= floor]
+            a.append(np.minimum(number[i], number[some]))
+            b.append(np.maximum(number[i], number[some]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.groupBy("token").applyInArrow(compare, "a long, b long").distinct()
+
+
 def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) -> DataFrame:
     """Candidate pairs of numbers that share a bucket and lie in different components.
 
     members: key, number, root of buckets that hold several components; marks: number, signature, size, prefix.
     A pair is passed over if its sizes or prefixes rule it out, or if the share of registers that agree lies six standard
-    errors under least. A bucket of more than LARGE numbers is first split by finer keys, in one of which numbers that are
-    similar meet all but surely, so that no large group is compared pair by pair.
+    errors under least. The numbers of buckets of more than LARGE are not compared bucket by bucket, but meet once by the
+    tokens of their prefixes, which loses no pair that is similar.
     """
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
     columns = ["key", "number", "root", "signature", "size", "prefix"]
     counted = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = members.join(counted, "key").join(marks, "number")
-    rest = sized.filter(F.col("n") <= LARGE).select(columns)
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picks = np.random.default_rng(17).permuted(np.tile(np.arange(BANDS * ROWS), (60, 1)), axis=1)[:, :8]
-        r = len(picks)
-        for batch in batches:
-            registers = np.array([np.frombuffer(x, np.uint16) for x in batch.column("signature").to_pylist()], np.uint64).reshape(-1, BANDS * ROWS)
-            keys = np.zeros((len(registers), r), np.uint64) + np.arange(r, dtype=np.uint64)
-            for k in range(picks.shape[1]):
-                keys = mixed(keys ^ registers[:, picks[:, k]])
-            take = pa.array(np.repeat(np.arange(len(registers)), r))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(batch.column(c).take(take) for c in columns[1:])], names=columns)
-
-    # A number that lies in several large buckets meets the others of all of them by its own finer keys, once.
-    finer = sized.filter(F.col("n") > LARGE).select(columns).dropDuplicates(["number"]).mapInArrow(refine, "key long, number long, root long, signature binary, size long, prefix binary")
+    sized = members.join(counted, "key")
+    rest = sized.filter(F.col("n") <= LARGE).join(marks, "number").select(columns)
+    large = sized.filter(F.col("n") > LARGE).groupBy("number").agg(F.min("root").alias("root"))
+    large = written(large.join(marks, "number"), "near-large")
 
     def compare(table: pa.Table) -> pa.Table:
         number, root, size = (table.column(c).to_numpy() for c in ("number", "root", "size"))
@@ -325,7 +351,7 @@ def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) ->
             b.append(np.maximum(number[i], number[some]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rest.unionByName(finer).groupBy("key").applyInArrow(compare, "a long, b long").distinct()
+    return rest.groupBy("key").applyInArrow(compare, "a long, b long").union(prefix_pairs(large, least)).distinct()
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

@@ -72,6 +72,25 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert {r.doc_id: r.group_id for r in rows} == brute(docs)
 
 
+def marks_of(spark, rows):
+    """bucket_pairs' tables of rows (signature, size, prefix), all in one bucket and each a component of its own."""
+    members = spark.createDataFrame([(1, i, i) for i in range(len(rows))], "key long, number long, root long")
+    marks = [(i, s.astype(np.uint16).tobytes(), n, np.array(p, np.uint32).tobytes()) for i, (s, n, p) in enumerate(rows)]
+    return members, spark.createDataFrame(marks, "number long, signature binary, size long, prefix binary")
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 1)
+    # 60 samples of 8 registers as keys: some 30 registers that differ (similarity 0.8) spoil them all.
+    picks = np.random.default_rng(17).permuted(np.tile(np.arange(150), (60, 1)), axis=1)[:, :8]
+    first, second = np.arange(150), np.arange(150)
+    while len(left := picks[(first == second)[picks].all(1)]):
+        second[np.bincount(left.ravel()).argmax()] += 1000
+    assert (first == second).mean() >= 0.8
+    rows = [(first, 100, range(21)), (second, 100, range(5, 26)), (first, 100, range(50, 71)), (first, 300, range(61))]
+    assert [tuple(r) for r in minhash.bucket_pairs(*marks_of(spark, rows)).collect()] == [(0, 1)]
+
+
 def test_one_of_each_group_stays(spark):
     docs = [*corpus(7)[:40], (900, None), (901, ""), (902, " \n"), (903, "only this one here twice"), (903, "only this one here twice")]
     frame = spark.createDataFrame([(d, t, "en", "s", None) for d, t in docs], SCHEMA)
