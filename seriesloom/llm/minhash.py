@@ -20,6 +20,9 @@ LEAST = 0.8
 BANDS, ROWS = 30, 5
 #: The texts of a bucket of more representatives than this are not compared pair by pair but meet by the tokens of their prefixes.
 LARGE = 200
+#: Texts that share a token are compared in blocks: two at a time, of half so many texts each on average, so that a
+#: group of the comparison has at most about twice so many.
+BLOCK = 1_000
 #: Counters of tokens, by which the order of prefixes goes.
 CELLS = 1 << 22
 #: So often are texts verified against the hubs of their buckets before what is left is compared in full.
@@ -280,12 +283,24 @@ def may_overlap(sizes: np.ndarray, prefix: np.ndarray, place: np.ndarray, i: int
     return np.bincount(pair[ok], minlength=len(others)) > 0
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """rows (token, n, number, ...) once for each pair (low, high) of its token's blocks that the row's block is in.
+
+    The n rows of a token are dealt over blocks of about BLOCK / 2 by a hash of the number; if n is at most BLOCK, there is one.
+    Any two rows of a token meet in the group of their two blocks; two of one block also in its groups with others.
+    """
+    blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK / 2))).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("n", "blocks", "other")
+
+
 def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
     """Candidate pairs (a, b), once each, among members in different components that share a token of their prefixes.
 
     members: number, root, signature, size, prefix. Any two that are similar share a token at the prefix lengths that their
     sizes call for, so no pair is lost here; sizes, places and signatures rule out most others. Tokens held by one component
-    only are dropped before signatures are joined.
+    only are dropped before signatures are joined. A token that more than BLOCK hold is dealt over blocks (see blocked).
     """
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
 
@@ -298,15 +313,17 @@ def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "number", "root", "size", "rank"])
 
     tokens = written(members.select("number", "root", "size", "prefix").mapInArrow(spread, "token long, number long, root long, size long, rank long"), "near-prefixes")
-    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    rows = tokens.join(shared, "token").join(members.select("number", "signature"), "number")
+    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("token", "n")
+    rows = blocked(tokens.join(shared, "token").join(members.select("number", "signature"), "number"))
 
     def compare(table: pa.Table) -> pa.Table:
         number, root, size, rank = (table.column(c).to_numpy() for c in ("number", "root", "size", "rank"))
         registers = np.array([np.frombuffer(x, np.uint16) for x in table.column("signature").to_pylist()])
+        block = table.column("block").to_numpy()
+        apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(number) - 1):
-            some = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            some = np.flatnonzero((root[i + 1 :] != root[i]) & ~(apart & (block[i + 1 :] == block[i]))) + i + 1
             some = some[np.minimum(size[some], size[i]) >= least * np.maximum(size[some], size[i])]
             need = np.ceil(least / (1 + least) * (size[some] + size[i]) - 1e-9).astype(np.int64)
             some = some[(rank[i] <= size[i] - need) & (rank[some] <= size[some] - need)]
@@ -315,7 +332,7 @@ def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
             b.append(np.maximum(number[i], number[some]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("token").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("token", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) -> DataFrame:

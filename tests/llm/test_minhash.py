@@ -91,6 +91,21 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     assert [tuple(r) for r in minhash.bucket_pairs(*marks_of(spark, rows)).collect()] == [(0, 1)]
 
 
+def test_no_group_of_a_common_token_is_large(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    rows = [(np.arange(150), 100, [7, *range(100 + 20 * i, 120 + 20 * i)]) for i in range(60)]
+    members, marks = marks_of(spark, rows)
+    got = [tuple(r) for r in minhash.bucket_pairs(members, marks).collect()]
+    assert sorted(got) == list(combinations(range(60), 2))
+    held = minhash.blocked(spark.createDataFrame([(7, 600, i) for i in range(600)], "token long, n long, number long"))
+    groups = defaultdict(list)
+    for r in held.collect():
+        groups[r.low, r.high].append(r.number)
+    assert max(map(len, groups.values())) <= 2 * minhash.BLOCK + 10
+    assert {p for g in groups.values() for p in combinations(sorted(g), 2)} == set(combinations(range(600), 2))
+
+
 def test_one_of_each_group_stays(spark):
     docs = [*corpus(7)[:40], (900, None), (901, ""), (902, " \n"), (903, "only this one here twice"), (903, "only this one here twice")]
     frame = spark.createDataFrame([(d, t, "en", "s", None) for d, t in docs], SCHEMA)
