@@ -77,8 +77,8 @@ def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     """The documents that hold a candidate, with row (unique), base, spans and live arrays of (start, rank, end, value, widely).
 
     A candidate that at least copied_owners owners and copied_repos repositories hold is a widely copied example;
-    the others are owner-specific. Base spans always stay; an added token span stays if it is owner-specific. live: the
-    owner-specific spans that look random. A null owner or repository counts as one of its own name; a null text holds none;
+    the others are owner-specific. Base spans always stay; an added token span (only those that look random are candidates)
+    stays if it is owner-specific. live: the owner-specific spans, letters-only passwords too. A null owner or repository counts as one of its own name; a null text holds none;
     repeated rows are kept apart. Columns of the input named like the new ones are overwritten.
     """
     found = candidates(docs, text).withColumns({"row": F.monotonically_increasing_id(), "_owner": F.coalesce(F.col(owner).cast("string"), F.lit("")), "_repo": F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo])})
@@ -94,7 +94,7 @@ def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
 
     out = out.withColumns({"base": judged(F.col("base")), "extra": judged(F.col("extra"))})
     out = out.withColumn("spans", F.array_sort(F.concat("base", F.filter("extra", lambda s: ~s["widely"]))))
-    return out.withColumn("live", F.filter("spans", lambda s: ~s["widely"] & varied(s["value"], 2, 6))).drop("extra", "copied", "_owner", "_repo")
+    return out.withColumn("live", F.filter("spans", lambda s: ~s["widely"])).drop("extra", "copied", "_owner", "_repo")
 
 
 def listed(spans: Column) -> Column:
