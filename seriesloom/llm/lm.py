@@ -29,10 +29,10 @@ OTHER, START = SYMBOLS - 1, SYMBOLS
 #: Symbols that are classes of their own.
 ALONE = 32
 #: Context of a window, and positions that it scores.
-CONTEXT, STRIDE = 16, 32
+CONTEXT, STRIDE = 32, 32
 WIDTH = 16
-#: One training document in so many trains the attention weights; a bounded sample starts them.
-TRAIN_SHARE, FIRST_DOCUMENTS, FIRST_CHARS = 64, 600, 3000
+#: A bounded sample starts the attention weights, which all training documents then train.
+FIRST_DOCUMENTS, FIRST_CHARS = 600, 3000
 VOCABULARY, END = 50_257, 50_256
 ADD = 0.1
 
@@ -415,8 +415,7 @@ def fit(train_docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]],
     some = train_docs.filter(F.pmod(F.xxhash64(doc_id, F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * share)).select(F.substring(F.col(text), at, F.lit(FIRST_CHARS)).alias("t")).limit(2 * FIRST_DOCUMENTS)
     texts = [words_of(t) for t in sorted(r["t"] or "" for r in some.collect())] or [[]]
     model.attention = train(model.attention, model.examples(*model.encode(pieces, texts)), 2, 0.01)
-    sampled = train_docs.filter(F.pmod(F.xxhash64(doc_id, F.lit(4)), F.lit(TRAIN_SHARE)) == 0)
-    model.attention = averaged(sampled, model, text, path, pattern)
+    model.attention = averaged(train_docs, model, text, path, pattern)
     return model
 
 

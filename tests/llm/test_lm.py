@@ -133,3 +133,16 @@ def test_no_position_sees_what_follows():
 
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], SCHEMA), PATH, PATTERN).count() == 0
+
+
+def test_all_training_documents_train_the_attention(spark, monkeypatch):
+    reached, averaged = [], lm.averaged
+
+    def spy(docs, *rest):
+        reached.extend(r.text for r in docs.select("text").collect())
+        return averaged(docs, *rest)
+
+    monkeypatch.setattr(lm, "averaged", spy)
+    docs = [(d, t) for d, t in corpus() if zlib.crc32(str("" if d is None else d).encode()) % 10]
+    lm.score_documents(spark.createDataFrame([(d, t, "en", None) for d, t in corpus()], SCHEMA), PATH, PATTERN).collect()
+    assert Counter(reached) == Counter(t for _, t in docs)
