@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: A key is hot if it has at least one row in so many; so there are at most so many hot keys.
 HOT_SHARE = 1_000
+#: Rows of a table of bits, and 64-bit numbers of each.
+BIT_CELLS, BIT_WORDS = 1 << 15, 64
+#: Rows of a batch of texts for Python.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +40,58 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Whole texts go to Python workers in batches of few rows, so that long ones fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of few rows, so that long ones fit in memory.
+
+    The setting is the session's, and plans read it when they run: so it is the same for all operators.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str = "inner", measured: DataFrame | None = None) -> DataFrame:
+    """rows with the columns of lookup, which has one row for each key, where any key may hold most of rows.
+
+    A key with at least one in HOT_SHARE of all rows is dealt over as many tasks as it has such shares, by a hash of column by,
+    and its row of lookup is repeated for them (at most 2 * HOT_SHARE rows more). Nulls, which meet nothing, are dealt over as many tasks. The counts
+    are those of rows or, where rows would be computed twice, of a written table with the same keys, measured.
+    """
+    measured = rows if measured is None else measured
+    share = max(1, measured.count() // HOT_SHARE)
+    counts = measured.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
+    hot = F.broadcast(counts.select(F.col(key), F.ceil(F.col("_n") / share).cast("int").alias("_salts")))  # at most HOT_SHARE rows
+    salts = F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce("_salts", F.lit(1)))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    each = lookup.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(each, [key, "_salt"], how).drop("_salt")
+
+
+def bit_table(hashes: DataFrame, name: str) -> DataFrame:
+    """A bit for each hash in column name, in BIT_CELLS rows of BIT_WORDS numbers: of a fixed size (16 MB), so it can be broadcast.
+
+    It may say of a few other hashes that they are in it; with more and more hashes, of all. What it is asked for only spares
+    rows a shuffle to an exact join.
+    """
+    bit = F.pmod(F.shiftright(name, 20), F.lit(64 * BIT_WORDS)).cast("int")
+    words = hashes.select(F.pmod(name, F.lit(BIT_CELLS)).alias("_cell"), F.floor(bit / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64).alias("_bits"))
+    words = words.groupBy("_cell", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    cells = words.groupBy("_cell").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_bits"))
+    return cells.select("_cell", F.transform(F.sequence(F.lit(0), F.lit(BIT_WORDS - 1)), lambda i: F.coalesce(F.element_at("_bits", i), F.lit(0).cast("long"))).alias("_bits"))
+
+
+def with_bit(rows: DataFrame, bits: DataFrame, name: str, out: str) -> DataFrame:
+    """Adds out: may the hash in column name be in the bit table?"""
+    bit = F.pmod(F.shiftright(name, 20), F.lit(64 * BIT_WORDS)).cast("int")
+    held = rows.withColumn("_cell", F.pmod(name, F.lit(BIT_CELLS))).join(F.broadcast(bits), "_cell", "left")
+    word = F.element_at("_bits", F.floor(bit / 64).cast("int") + 1)
+    return held.withColumn(out, F.coalesce(F.getbit(word, bit % 64), F.lit(0)) == 1).drop("_cell", "_bits")
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:

@@ -435,7 +435,7 @@ def score_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc
     scored each. Without training documents all counts are 0. Extra columns are not carried.
     """
     spark = docs.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (fold(F.col(doc_id), 10) == 0).alias("held_out"))
     learn = docs.filter(~F.col("held_out"))
     n_docs = learn.count()

@@ -88,7 +88,7 @@ def parse(html: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds items, the ordered text and media structs of each page. A null or empty html gives no items."""
-    small_batches(pages.sparkSession, 200)
+    small_batches(pages.sparkSession)
     pages = pages.drop("items")
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
@@ -151,7 +151,7 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     row (unique), doc_id, n_bytes, html, digest, stored. A null text is empty.
     """
-    small_batches(docs.sparkSession, 200)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

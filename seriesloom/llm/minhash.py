@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_batches, written
+from .common import bit_table, salted_join, small_batches, with_bit, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -26,7 +26,7 @@ BLOCK = 1_000
 #: Counters of tokens, by which the order of prefixes goes.
 CELLS = 1 << 22
 #: So often are texts verified against the hubs of their buckets before what is left is compared in full.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,36 +158,57 @@ def signed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, schema)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags (values ascending, counts)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = int(np.minimum(a[1][i], b[1][j]).sum())
-    whole = int(a[1].sum() + b[1].sum()) - least
-    return least / whole if whole else 0.0
+def bag_tables(docs: DataFrame, needed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """number, tokens: the bags of the needed texts as sorted sets, in which repeats of a shingle are told apart.
 
+    needed: number, doc_id, digest of one row of each text. A bit table tells most other documents apart at the scan; only the
+    rest (the needed ones, and a few that share their bits) are turned into bags and shuffled to the exact join.
+    """
+    key = F.xxhash64("doc_id", "_hex")
+    named = written(needed.select("number", "doc_id", F.lower(F.hex("digest")).alias("_hex")).withColumn("_key", key), "near-needed")
+    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_hex", F.md5(F.col("text").cast("binary"))).withColumn("_key", key)
+    some = with_bit(some, bit_table(named, "_key"), "_key", "_may").filter("_may")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for part in by_length(batch, batch.column("text")):
+                out = []
+                for text in part.column("text").to_pylist():
+                    s = np.sort(shingles(text, words))
+                    first = np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), np.arange(len(s)), 0)) if len(s) else s.astype(np.int64)
+                    out.append(np.sort(mixed(s + (np.arange(len(s)) - first).astype(np.uint64) * GOLDEN).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_hex"), pa.array(out, pa.list_(pa.int64()))], names=["_id", "_of", "tokens"])
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of numbers whose texts' bags overlap by at least least; texts: number, text.
+    made = some.select("doc_id", "_hex", "text").mapInArrow(run, "_id long, _of string, tokens array<long>")
+    found = named.join(made, named["doc_id"].eqNullSafe(made["_id"]) & (named["_hex"] == made["_of"]))
+    # Rows that repeat doc_id and text are the same bag: any of them will do.
+    return written(found.groupBy("number").agg(F.first("tokens").alias("tokens")), "near-bags")
 
-    Each side's text is joined by a shuffle of the pairs; the partner that many pairs share is on the side that AQE splits.
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two bags as sorted sets."""
+    if not len(a) or not len(b):
+        return 0.0
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def verified(pairs: DataFrame, bags: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) of numbers whose bags overlap by at least least; pairs: a written table.
+
+    A number that many pairs share is dealt over tasks on either side.
     """
-    both = pairs.join(texts.select(F.col("number").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("number").alias("a"), F.col("text").alias("text_a")), "a")
+    both = salted_join(pairs.select("a", "b"), bags.select(F.col("number").alias("b"), F.col("tokens").alias("tokens_b")), "b", "a")
+    both = salted_join(both, bags.select(F.col("number").alias("a"), F.col("tokens").alias("tokens_a")), "a", "b", measured=pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        last: tuple = (None, None)
         for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            keep = []
-            for i in range(len(a)):
-                if last[0] != a[i]:
-                    last = a[i], np.unique(shingles(ta[i], words), return_counts=True)
-                keep.append(overlap(last[1], np.unique(shingles(tb[i], words), return_counts=True)) >= least)
-            mask = np.array(keep, bool)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.array(a, np.int64)[mask]), "b": pa.array(np.array(b, np.int64)[mask])})
+            sides = zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True)
+            mask = pa.array([overlap(np.asarray(x.values), np.asarray(y.values)) >= least for x, y in sides], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,9 +220,10 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
     labels = written(both.groupBy(F.col("a").alias("number")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "near-labels")
     while True:
-        near = both.join(labels.select(F.col("number").alias("b"), "root"), "b").groupBy(F.col("a").alias("number")).agg(F.min("root").alias("near"))
+        near = salted_join(both, labels.select(F.col("number").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("number")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "number").select("number", "root", F.least("root", "near").alias("next"))
-        jumped = lower.join(labels.select(F.col("number").alias("next"), F.col("root").alias("far")), "next", "left").select("number", F.coalesce(F.least("next", "far"), "next").alias("new"), "root")
+        far = labels.select(F.col("number").alias("next"), F.col("root").alias("far"))
+        jumped = salted_join(lower, far, "next", "number", "left", measured=labels.select(F.col("root").alias("next"))).select("number", F.coalesce(F.least("next", "far"), "next").alias("new"), "root")
         step = written(jumped, "near-labels")
         changed = step.filter("new < root").limit(1).count()
         labels = step.select("number", F.col("new").alias("root"))
@@ -215,28 +237,12 @@ def hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     A hub has changed least from what the bucket's texts have in common, so it links most of those that are similar to any.
     """
     degree = links.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("degree"))
-    known = members.join(degree, "number", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    known = written(members.join(degree, "number", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "near-degrees")
     hubs = known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("number")).alias("n"), "root")).alias("hub"))
-    each = known.join(hubs, "key").filter(F.col("root") != F.col("hub.root"))
+    each = salted_join(known, hubs, "key", "number").filter(F.col("root") != F.col("hub.root"))
     return each.select(F.least(F.col("number"), -F.col("hub.n")).alias("a"), F.greatest(F.col("number"), -F.col("hub.n")).alias("b")).distinct()
 
 
-def token_sets(texts: DataFrame) -> DataFrame:
-    """number, tokens: each text's bag as a set, by telling repeats of a shingle apart; texts: number, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                s = np.sort(shingles(text, words))
-                first = np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), np.arange(len(s)), 0)) if len(s) else s.astype(np.int64)
-                out.append(mixed(s + (np.arange(len(s)) - first).astype(np.uint64) * GOLDEN).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(out, pa.list_(pa.int64()))], names=["number", "tokens"])
-
-    return texts.select("number", "text").mapInArrow(run, "number long, tokens array<long>")
-
-
 def prefixes(sets: DataFrame, least: float = LEAST) -> DataFrame:
     """number, size, prefix: the rarest tokens of each set, one of which it must share with any set that is similar.
 
@@ -283,16 +289,31 @@ def may_overlap(sizes: np.ndarray, prefix: np.ndarray, place: np.ndarray, i: int
     return np.bincount(pair[ok], minlength=len(others)) > 0
 
 
-def blocked(rows: DataFrame) -> DataFrame:
-    """rows (token, n, number, ...) once for each pair (low, high) of its token's blocks that the row's block is in.
+def blocked(tokens: DataFrame) -> DataFrame:
+    """tokens (token, number, root, ...) once for each pair (low, high) of its token's blocks that the row's block is in.
 
-    The n rows of a token are dealt over blocks of about BLOCK / 2 by a hash of the number; if n is at most BLOCK, there is one.
-    Any two rows of a token meet in the group of their two blocks; two of one block also in its groups with others.
+    Only numbers of different components are to meet. A component with more than BLOCK / 2 rows of a token is dealt over
+    blocks of its own of about so many rows by a hash of the number, and these do not meet each other; the rows of all
+    smaller ones share mixed blocks, which meet all blocks. Tokens that one component holds are left out. Any two rows of a
+    token and of different components meet in the group of their two blocks (or of their one mixed block).
     """
-    blocks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK / 2))).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("n", "blocks", "other")
+    half = BLOCK // 2
+    each = written(tokens.groupBy("token", "root").agg(F.count("*").alias("n")), "near-shares")
+    mixed_rows = F.sum(F.when(F.col("n") <= half, F.col("n")).otherwise(0))
+    big = F.array_sort(F.collect_list(F.when(F.col("n") > half, F.struct("root", F.ceil(F.col("n") / half).cast("int").alias("blocks")))))
+    shares = each.groupBy("token").agg(mixed_rows.alias("mixed"), F.count("*").alias("roots"), big.alias("big")).filter("roots > 1")
+    # Component -1 stands for the mixed blocks: one up to BLOCK rows, so that rare tokens are compared in one group.
+    of_mixed = F.when(F.col("mixed") <= BLOCK, 1).otherwise(F.ceil(F.col("mixed") / half)).cast("int")
+    shares = shares.select("token", F.when(F.col("mixed") > 0, F.array_insert("big", 1, F.struct(F.lit(-1).cast("long").alias("root"), of_mixed.alias("blocks")))).otherwise(F.col("big")).alias("parts"))
+    dealt = salted_join(tokens, shares, "token", "number")
+    own = F.when(F.exists("parts", lambda p: p["root"] == F.col("root")), F.col("root")).otherwise(F.lit(-1).cast("long"))
+    dealt = dealt.withColumn("part", own)
+    dealt = dealt.withColumn("blocks", F.filter("parts", lambda p: p["root"] == F.col("part"))[0]["blocks"])
+    dealt = dealt.withColumn("block", F.struct(F.col("part"), F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int").alias("k")))
+    met = F.filter("parts", lambda p: (p["root"] != F.col("part")) | (p["root"] == -1))
+    blocks = F.flatten(F.transform(met, lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(p["root"].alias("part"), k.alias("k")))))
+    each = dealt.withColumn("other", F.explode(blocks))
+    return each.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("parts", "part", "blocks", "other")
 
 
 def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
@@ -300,7 +321,7 @@ def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
 
     members: number, root, signature, size, prefix. Any two that are similar share a token at the prefix lengths that their
     sizes call for, so no pair is lost here; sizes, places and signatures rule out most others. Tokens held by one component
-    only are dropped before signatures are joined. A token that more than BLOCK hold is dealt over blocks (see blocked).
+    only are dropped before signatures are joined; a token that many hold is dealt over blocks (see blocked).
     """
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
 
@@ -313,14 +334,13 @@ def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "number", "root", "size", "rank"])
 
     tokens = written(members.select("number", "root", "size", "prefix").mapInArrow(spread, "token long, number long, root long, size long, rank long"), "near-prefixes")
-    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("token", "n")
-    rows = blocked(tokens.join(shared, "token").join(members.select("number", "signature"), "number"))
+    rows = blocked(tokens).join(members.select("number", "signature"), "number")
 
     def compare(table: pa.Table) -> pa.Table:
         number, root, size, rank = (table.column(c).to_numpy() for c in ("number", "root", "size", "rank"))
         registers = np.array([np.frombuffer(x, np.uint16) for x in table.column("signature").to_pylist()])
-        block = table.column("block").to_numpy()
         apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        block = np.array([x == table.column("low")[0].as_py() for x in table.column("block").to_pylist()]) if apart else np.zeros(len(number), bool)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(number) - 1):
             some = np.flatnonzero((root[i + 1 :] != root[i]) & ~(apart & (block[i + 1 :] == block[i]))) + i + 1
@@ -346,7 +366,7 @@ def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) ->
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
     columns = ["key", "number", "root", "signature", "size", "prefix"]
     counted = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = members.join(counted, "key")
+    sized = salted_join(members, counted, "key", "number")
     rest = sized.filter(F.col("n") <= LARGE).join(marks, "number").select(columns)
     large = sized.filter(F.col("n") > LARGE).groupBy("number").agg(F.min("root").alias("root"))
     large = written(large.join(marks, "number"), "near-large")
@@ -372,55 +392,49 @@ def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) ->
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """A row for each document: doc_id, digest, size, number (of its text), root (the smallest number of its group).
+    """A row for each document: doc_id, digest, size, row, number (of its text), root (the smallest number of its group).
 
     Groups are the connected components of the links between different texts; texts without words are alone.
-    Equal texts count once from the first step on, so copies never meet as pairs. First each text is verified against the
-    smallest number of each of its buckets, then against their hubs; then, in buckets that still hold several components,
-    all pairs between components that sizes, prefixes and signatures do not rule out.
+    Equal texts count once from the first step on, so copies never meet as pairs. The bags of all texts that share a bucket
+    with another are made once. First each text is verified against the smallest number of each of its buckets, then against
+    their hubs; then, in buckets that still hold several components, all pairs between components that sizes, prefixes and
+    signatures do not rule out.
     """
     rows = written(signed(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     reps = written(rows.filter("size > 0").groupBy("digest").agg(F.min("row").alias("number")), "near-texts")
     own = rows.join(reps.select(F.col("number").alias("row")), "row", "left_semi")
-    keyed = own.select(F.explode("bands").alias("key"), F.col("row").alias("number"), "size")
+    keyed = written(own.select(F.explode("bands").alias("key"), F.col("row").alias("number"), "size"), "near-keys")
     stars = keyed.groupBy("key").agg(F.min(F.struct("number", "size")).alias("star"), F.count("*").alias("n")).filter("n > 1")
-    meets = written(keyed.join(stars, "key").select("key", "number", "size", "star"), "near-buckets")
+    meets = written(salted_join(keyed, stars, "key", "number").select("key", "number", "size", "star"), "near-buckets")
+    bags = bag_tables(docs, own.join(meets.select(F.col("number").alias("row")).distinct(), "row").select(F.col("row").alias("number"), "doc_id", "digest"), doc_id, text)
     fits = F.least("size", "star.size") >= F.lit(least) * F.greatest("size", "star.size")  # else the overlap is too small at any rate
     pairs = written(meets.filter(F.col("star.number") != F.col("number")).filter(fits).select(F.col("star.number").alias("a"), F.col("number").alias("b")).distinct(), "near-pairs")
 
-    def texts_of(numbers: DataFrame) -> DataFrame:
-        named = written(numbers.distinct().join(reps, "number").select("number", F.lower(F.hex("digest")).alias("_hex")), "near-needed")
-        some = docs.select(F.md5(F.col(text).cast("binary")).alias("_hex"), F.col(text).alias("text"))
-        small = named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return some.join(F.broadcast(named) if small else named, "_hex").groupBy("number").agg(F.first("text").alias("text"))
-
-    def judged(candidates: DataFrame) -> DataFrame:
-        return verified(candidates, texts_of(candidates.select(F.explode(F.array("a", "b")).alias("number"))), least)
-
     def several(labels: DataFrame) -> DataFrame:
         """key, number, root of the buckets that still hold several components."""
         members = meets.select("key", "number").join(labels, "number", "left").select("key", "number", F.coalesce("root", "number").alias("root"))
+        members = written(members, "near-rooted")
         keys = members.groupBy("key").agg((F.max("root") != F.min("root")).alias("several")).filter("several").select("key")
-        return written(members.join(keys, "key", "left_semi"), "near-members")
+        return written(salted_join(members, keys, "key", "number"), "near-members")
 
-    links, tried = written(judged(pairs), "near-found"), pairs
+    links, tried = written(verified(pairs, bags, least), "near-found"), pairs
     labels = components(links)
     for _ in range(HUB_ROUNDS):
         members = several(labels)
         new = written(hub_pairs(members, links).join(tried, ["a", "b"], "left_anti"), "near-hubs")
-        found = written(judged(new), "near-found")
+        found = written(verified(new, bags, least), "near-found")
         tried = tried.union(new)
         if not found.limit(1).count():
             break
         links = links.union(found)
         labels = components(links)
     members = several(labels)
-    rarest = prefixes(written(token_sets(texts_of(members.select("number"))), "near-tokens"), least)
+    rarest = prefixes(bags.join(members.select("number").distinct(), "number"), least)
     marks = written(own.select(F.col("row").alias("number"), "signature").join(rarest, "number"), "near-marks")
     more = written(bucket_pairs(members, marks, least).join(tried, ["a", "b"], "left_anti"), "near-more")
     if more.limit(1).count():
-        labels = components(links.union(written(judged(more), "near-found")))
-    out = rows.join(reps, "digest", "left").join(labels, "number", "left")
+        labels = components(links.union(written(verified(more, bags, least), "near-found")))
+    out = salted_join(rows.drop("bands", "signature"), reps, "digest", "row", "left").join(labels, "number", "left")
     alone = F.col("number").isNull()
     return out.select("doc_id", "digest", "size", "row", F.when(alone, F.col("row")).otherwise(F.col("number")).alias("number"), F.when(alone, F.col("row")).otherwise(F.coalesce("root", "number")).alias("root"))
 
@@ -435,25 +449,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(grouped(docs, doc_id, text, least), "near-groups")
     groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("members"))
     several = groups.filter("members > 1")
-    out = rows.join(several, "root", "left")
+    out = salted_join(rows, several, "root", "row", "left")
     return out.select("doc_id", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (F.col("row") == F.col("root")).alias("first"), F.coalesce("members", F.lit(1)).alias("members"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One document of each group; columns and texts stay as they are.
+    """One document of each group; columns and texts stay as they are. doc_id and text are read under these names.
 
-    The first row of each group stays: it is found again by doc_id and digest. Only where rows repeat both are they
-    compared as a whole.
+    The first row of each group stays: it is found again by doc_id and digest. Rows whose text has no row that goes pass
+    straight through, and of the others those that are no first row go at once, both by bit tables; only what is left (the first
+    rows, and a few that share their bits) is shuffled to the exact join. Where rows repeat doc_id and text, one stays.
     """
-    rows = written(grouped(docs, least=least), "near-groups")
-    repeats = rows.groupBy("doc_id", "digest", "size").agg(F.count("*").alias("times"), F.max((F.col("row") == F.col("root")).cast("int")).alias("stays")).filter("stays = 1")
-    kept = written(repeats.select(F.col("doc_id").alias("_id"), F.lower(F.hex("digest")).alias("_hex"), ((F.col("times") == 1) | (F.col("size") == 0)).alias("_plain")), "near-kept")
-    small = kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    marked = docs.withColumn("_md5", F.md5(F.col("text").cast("binary")))
-    same = marked["_md5"].eqNullSafe(kept["_hex"]) & marked["doc_id"].eqNullSafe(kept["_id"])
-    out = marked.join(F.broadcast(kept) if small else kept, same)
-    names = docs.columns
-    once = out.filter("_plain").select(*names)
-    if kept.filter("not _plain").limit(1).count() == 0:
-        return once
-    return once.unionByName(out.filter("not _plain").dropDuplicates(["doc_id", "_md5"]).select(*names))
+    rows = written(grouped(docs, least=least).withColumn("_hex", F.lower(F.hex("digest"))), "near-groups")
+    rows = rows.withColumns({"_text": F.xxhash64("_hex"), "_key": F.xxhash64("doc_id", "_hex"), "_stays": F.col("row") == F.col("root")})
+    going = bit_table(rows.filter("not _stays").select("_text"), "_text")
+    stays = with_bit(rows.filter("_stays"), going, "_text", "_may").filter("_may")
+    stays = written(stays.select(F.col("doc_id").alias("_id"), F.col("_hex").alias("_of"), "_key", (F.coalesce("size", F.lit(0)) == 0).alias("_blank")), "near-kept")
+    first = bit_table(stays, "_key")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.md5(F.col("text").cast("binary")).alias("_hex"))
+    inner = inner.withColumns({"_text": F.xxhash64("_hex"), "_key": F.xxhash64("_doc", "_hex")})
+    marked = with_bit(inner, going, "_text", "_may")
+    at_once = marked.filter("not _may").select("_row.*")
+    asked = with_bit(marked.filter("_may"), first, "_key", "_first").filter("_first")
+    exact = stays.groupBy("_id", "_of").agg(F.max("_blank").alias("_blank"))
+    same = asked["_hex"].eqNullSafe(exact["_of"]) & asked["_doc"].eqNullSafe(exact["_id"])
+    found = asked.join(exact, same)
+    # A row without words stays each time; of others with equal doc_id and text, one does.
+    once = found.filter("not _blank").groupBy("_doc", "_hex").agg(F.first("_row").alias("_row"))
+    return at_once.unionByName(found.filter("_blank").select("_row.*")).unionByName(once.select("_row.*"))

@@ -49,7 +49,7 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 def write_archives(pages: DataFrame, uri: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record for each row of revisits(); gives the manifest, a written table of the files that count."""
     spark = pages.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     uri = uri or scratch(spark, "warc")
     parent, folder = filesystem(uri)
     parent.create_dir(folder, recursive=True)
