@@ -56,17 +56,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str = "inner", measured: DataFrame | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows with the columns of lookup, which has one row for each key, where any key may hold most of rows.
 
     A key with at least one in HOT_SHARE of all rows is dealt over as many tasks as it has such shares, by a hash of column by,
-    and its row of lookup is repeated for them (at most 2 * HOT_SHARE rows more). Nulls, which meet nothing, are dealt over as many tasks. The counts
-    are those of rows or, where rows would be computed twice, of a written table with the same keys, measured.
+    and its row of lookup is repeated for them (at most 2 * HOT_SHARE rows more). Nulls, which meet nothing, are dealt over as
+    many tasks. counts (key, n) says how often keys occur, or about so; without it rows should be a written table.
     """
-    measured = rows if measured is None else measured
-    share = max(1, measured.count() // HOT_SHARE)
-    counts = measured.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
-    hot = F.broadcast(counts.select(F.col(key), F.ceil(F.col("_n") / share).cast("int").alias("_salts")))  # at most HOT_SHARE rows
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    counts = counts.filter(F.col("n") > share)
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("n") / share).cast("int").alias("_salts")))  # at most HOT_SHARE rows
     salts = F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce("_salts", F.lit(1)))
     dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
     each = lookup.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")

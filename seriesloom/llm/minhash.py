@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float = LEAST) -> DataFra
     A number that many pairs share is dealt over tasks on either side.
     """
     both = salted_join(pairs.select("a", "b"), bags.select(F.col("number").alias("b"), F.col("tokens").alias("tokens_b")), "b", "a")
-    both = salted_join(both, bags.select(F.col("number").alias("a"), F.col("tokens").alias("tokens_a")), "a", "b", measured=pairs)
+    both = salted_join(both, bags.select(F.col("number").alias("a"), F.col("tokens").alias("tokens_a")), "a", "b", counts=pairs.groupBy("a").agg(F.count("*").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +219,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
     labels = written(both.groupBy(F.col("a").alias("number")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "near-labels")
+    degrees = written(both.groupBy("b").agg(F.count("*").alias("n")), "near-degrees")
     while True:
-        near = salted_join(both, labels.select(F.col("number").alias("b"), "root"), "b", "a").groupBy(F.col("a").alias("number")).agg(F.min("root").alias("near"))
+        near = salted_join(both, labels.select(F.col("number").alias("b"), "root"), "b", "a", counts=degrees).groupBy(F.col("a").alias("number")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "number").select("number", "root", F.least("root", "near").alias("next"))
         far = labels.select(F.col("number").alias("next"), F.col("root").alias("far"))
-        jumped = salted_join(lower, far, "next", "number", "left", measured=labels.select(F.col("root").alias("next"))).select("number", F.coalesce(F.least("next", "far"), "next").alias("new"), "root")
+        jumped = salted_join(lower, far, "next", "number", "left", counts=labels.groupBy(F.col("root").alias("next")).agg(F.count("*").alias("n"))).select("number", F.coalesce(F.least("next", "far"), "next").alias("new"), "root")
         step = written(jumped, "near-labels")
         changed = step.filter("new < root").limit(1).count()
         labels = step.select("number", F.col("new").alias("root"))
@@ -237,9 +238,10 @@ def hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     A hub has changed least from what the bucket's texts have in common, so it links most of those that are similar to any.
     """
     degree = links.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("degree"))
-    known = written(members.join(degree, "number", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "near-degrees")
-    hubs = known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("number")).alias("n"), "root")).alias("hub"))
-    each = salted_join(known, hubs, "key", "number").filter(F.col("root") != F.col("hub.root"))
+    known = members.join(degree, "number", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("number")).alias("n"), "root")).alias("hub"), F.count("*").alias("n"))
+    hubs = written(hubs, "near-hubs-of")
+    each = salted_join(known, hubs.drop("n"), "key", "number", counts=hubs.select("key", "n")).filter(F.col("root") != F.col("hub.root"))
     return each.select(F.least(F.col("number"), -F.col("hub.n")).alias("a"), F.greatest(F.col("number"), -F.col("hub.n")).alias("b")).distinct()
 
 
@@ -365,8 +367,8 @@ def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) ->
     """
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
     columns = ["key", "number", "root", "signature", "size", "prefix"]
-    counted = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = salted_join(members, counted, "key", "number")
+    counted = written(members.groupBy("key").agg(F.count("*").alias("n")), "near-counts")
+    sized = salted_join(members, counted, "key", "number", counts=counted)
     rest = sized.filter(F.col("n") <= LARGE).join(marks, "number").select(columns)
     large = sized.filter(F.col("n") > LARGE).groupBy("number").agg(F.min("root").alias("root"))
     large = written(large.join(marks, "number"), "near-large")
@@ -401,11 +403,11 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     signatures do not rule out.
     """
     rows = written(signed(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
-    reps = written(rows.filter("size > 0").groupBy("digest").agg(F.min("row").alias("number")), "near-texts")
+    reps = written(rows.filter("size > 0").groupBy("digest").agg(F.min("row").alias("number"), F.count("*").alias("n")), "near-texts")
     own = rows.join(reps.select(F.col("number").alias("row")), "row", "left_semi")
     keyed = written(own.select(F.explode("bands").alias("key"), F.col("row").alias("number"), "size"), "near-keys")
-    stars = keyed.groupBy("key").agg(F.min(F.struct("number", "size")).alias("star"), F.count("*").alias("n")).filter("n > 1")
-    meets = written(salted_join(keyed, stars, "key", "number").select("key", "number", "size", "star"), "near-buckets")
+    stars = written(keyed.groupBy("key").agg(F.min(F.struct("number", "size")).alias("star"), F.count("*").alias("n")).filter("n > 1"), "near-stars")
+    meets = written(salted_join(keyed, stars.drop("n"), "key", "number", counts=stars.select("key", "n")).select("key", "number", "size", "star"), "near-buckets")
     bags = bag_tables(docs, own.join(meets.select(F.col("number").alias("row")).distinct(), "row").select(F.col("row").alias("number"), "doc_id", "digest"), doc_id, text)
     fits = F.least("size", "star.size") >= F.lit(least) * F.greatest("size", "star.size")  # else the overlap is too small at any rate
     pairs = written(meets.filter(F.col("star.number") != F.col("number")).filter(fits).select(F.col("star.number").alias("a"), F.col("number").alias("b")).distinct(), "near-pairs")
@@ -414,8 +416,8 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         """key, number, root of the buckets that still hold several components."""
         members = meets.select("key", "number").join(labels, "number", "left").select("key", "number", F.coalesce("root", "number").alias("root"))
         members = written(members, "near-rooted")
-        keys = members.groupBy("key").agg((F.max("root") != F.min("root")).alias("several")).filter("several").select("key")
-        return written(salted_join(members, keys, "key", "number"), "near-members")
+        keys = written(members.groupBy("key").agg((F.max("root") != F.min("root")).alias("several"), F.count("*").alias("n")).filter("several").select("key", "n"), "near-several")
+        return written(salted_join(members, keys.select("key"), "key", "number", counts=keys), "near-members")
 
     links, tried = written(verified(pairs, bags, least), "near-found"), pairs
     labels = components(links)
@@ -434,7 +436,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     more = written(bucket_pairs(members, marks, least).join(tried, ["a", "b"], "left_anti"), "near-more")
     if more.limit(1).count():
         labels = components(links.union(written(verified(more, bags, least), "near-found")))
-    out = salted_join(rows.drop("bands", "signature"), reps, "digest", "row", "left").join(labels, "number", "left")
+    out = salted_join(rows.drop("bands", "signature"), reps.drop("n"), "digest", "row", "left", counts=reps.select("digest", "n")).join(labels, "number", "left")
     alone = F.col("number").isNull()
     return out.select("doc_id", "digest", "size", "row", F.when(alone, F.col("row")).otherwise(F.col("number")).alias("number"), F.when(alone, F.col("row")).otherwise(F.coalesce("root", "number")).alias("root"))
 
@@ -448,8 +450,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = written(grouped(docs, doc_id, text, least), "near-groups")
     groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("members"))
-    several = groups.filter("members > 1")
-    out = salted_join(rows, several, "root", "row", "left")
+    several = written(groups.filter("members > 1"), "near-several")
+    out = salted_join(rows, several, "root", "row", "left", counts=several.select("root", F.col("members").alias("n")))
     return out.select("doc_id", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (F.col("row") == F.col("root")).alias("first"), F.coalesce("members", F.lit(1)).alias("members"))
 
 

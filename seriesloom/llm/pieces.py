@@ -34,47 +34,84 @@ class Pieces(dict):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.text = [model.id_to_piece(i) for i in range(n)]
-        self.bytes = {int(self.text[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        usable = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and BLANK not in self.text[i].lstrip(BLANK)]
-        self.cost = {self.text[i].replace(BLANK, " "): (math.log(2 - model.get_score(i)), i) for i in usable}
+        self.text = text = [model.id_to_piece(i) for i in range(n)]
+        self.bytes = {int(text[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
+        usable = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and BLANK not in text[i].lstrip(BLANK)]
+        self.cost = {text[i].replace(BLANK, " "): (math.log(2 - model.get_score(i)), i) for i in usable}
         self.longest = max(map(len, self.cost))
         self.byte_cost = 2 * math.log(n)
-
-    def viterbi(self, chunk: str) -> Iterator[int]:
-        """Ids of the cheapest path. Costs are kept for the last `longest` positions only; when the paths to all of them pass one
-        boundary, what lies before it is given out and forgotten."""
-        costs, back = {0: 0.0}, {}
-        done = 0
-        for end in range(1, len(chunk) + 1):
-            best = None
-            for begin in range(max(done, end - self.longest), end):
-                piece = chunk[begin:end]
-                found = self.cost.get(piece) if BLANK not in piece else None
-                if found is None and end - begin == 1:
-                    found = (self.byte_cost * len(piece.encode()), -1)
-                if found and begin in costs and (best is None or costs[begin] + found[0] < best[0]):
-                    best = costs[begin] + found[0], begin, found[1]
-            costs[end], back[end] = best[0], best[1:]
-            costs.pop(end - self.longest, None)
-            if end % 64 == 0 or end == len(chunk):
-                live = set(range(max(done, end - self.longest + 1), end + 1)) if end < len(chunk) else {end}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.spelled = [t.replace(BLANK, " ").encode() for t in text]
+        for b, i in self.bytes.items():
+            self.spelled[i] = bytes([b])
+        # A node of the tree of pieces: what follows by character, and cost and id of the piece that ends here (or no id).
+        self.tree: list = [{}, 0.0, -1]
+        for piece, (cost, i) in self.cost.items():
+            node = self.tree
+            for c in piece:
+                node = node[0].setdefault(c, [{}, 0.0, -1])
+            node[1:] = cost, i
+
+    def viterbi(self, text: str) -> Iterator[int]:
+        """Ids of the cheapest path (of equally cheap ones, that with the longer last piece).
+
+        Costs are kept for the ends of pieces that begin before the current position: a window of the longest piece. At every
+        position at which no such piece ends further on, all surviving paths pass through it; where that has not happened for
+        a whole window, the back-pointers of the open ends are followed to where they meet. What lies before is given out.
+        """
+        best, back = {0: 0.0}, {}
+        done = reach = 0
+        n, tree, longest = len(text), self.tree, self.longest
+        again = 2 * longest  # where to follow the back-pointers next: twice as far each time that they do not meet
+        for at in range(n):
+            base = best.pop(at)
+            if reach == at and at > done:
+                yield from self.path(text, back, done, at)
+                back, done, again = {}, at, at + 2 * longest
+            elif at > again:
+                live = {at, *best}
                 while len(live) > 1 and max(live) > done:
                     top = max(live)
                     live = (live - {top}) | {back[top][0]}
-                common = max(live)
-                path, at = [], common
-                while at > done:
-                    path.append((at, *back[at]))
-                    at = back[at][0]
-                for at, begin, i in reversed(path):
-                    if i >= 0:
-                        yield i
-                    else:
-                        yield from (self.bytes[b] for b in chunk[begin:at].encode())
-                back = {k: v for k, v in back.items() if k > common}
-                done = common
+                common, again = max(live), at + 2 * (at - done)
+                if common > done:
+                    yield from self.path(text, back, done, common)
+                    back, done, again = {k: v for k, v in back.items() if k > common}, common, at + 2 * longest
+            node, end, alone = tree, at, True
+            for c in text[at : at + longest]:
+                node = node[0].get(c)
+                if node is None:
+                    break
+                end += 1
+                if node[2] >= 0:
+                    cost = base + node[1]
+                    known = best.get(end)
+                    if known is None or cost < known:
+                        best[end] = cost
+                        back[end] = at, node[2]
+                    if end == at + 1:
+                        alone = False
+                    if end > reach:
+                        reach = end
+            if alone:  # no piece is this character: its bytes
+                c = text[at]
+                cost = base + self.byte_cost * len(c.encode())
+                known = best.get(at + 1)
+                if known is None or cost < known:
+                    best[at + 1] = cost
+                    back[at + 1] = at, -1
+                if reach == at:
+                    reach = at + 1
+        yield from self.path(text, back, done, n)
+
+    def path(self, text: str, back: dict[int, tuple[int, int]], begin: int, end: int) -> list[int]:
+        """Ids between two boundaries, by following the back-pointers."""
+        out: list[int] = []
+        while end > begin:
+            before, i = back[end]
+            out += [i] if i >= 0 else [self.bytes[b] for b in reversed(text[before:end].encode())]
+            end = before
+        return out[::-1]
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.fromiter(self.viterbi(chunk), "<u4").tobytes()
@@ -88,13 +125,7 @@ class Pieces(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, CHUNK.findall(text or ""))), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        out = bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            else:
-                out += self.text[i].replace(BLANK, " ").encode()
-        return out.decode()
+        return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode()
 
 
 @functools.cache

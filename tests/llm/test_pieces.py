@@ -34,3 +34,16 @@ def test_streaming_is_cheapest_and_lossless(text):
 def test_whole_table(spark):
     rows = spark.createDataFrame([(1, "a b", "x"), (2, None, None), (None, "", None), (1, "a b", "x")], "doc_id long, text string, n_ids string")
     assert all(r.same for r in pieces.round_trip(rows, PATH).collect()) and pieces.round_trip(rows.limit(0), PATH).count() == 0
+
+
+def test_long_text_is_given_out_in_windows(monkeypatch):
+    """A million characters without a blank: no stretch of back-pointers is ever long, and the text comes back."""
+    model, longest = pieces.Pieces(PATH), []
+    path = model.path
+    monkeypatch.setattr(model, "path", lambda text, back, begin, end: longest.append(len(back)) or path(text, back, begin, end))
+    rng = random.Random(2)
+    for text in ("".join(rng.choice("abcdefghij.") for _ in range(1_000_000)), "-" * 100_000):
+        longest.clear()
+        ids = list(model.viterbi(text))
+        assert b"".join(model.spelled[i] for i in ids).decode() == text
+        assert max(longest) <= 8 * model.longest or len(set(text)) == 1
