@@ -56,20 +56,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """key, _salts of the keys with more than one in HOT_SHARE of all rows (so fewer than HOT_SHARE keys); None if there are none.
+
+    counts: key, n. _salts: over how many tasks to deal a key, one for each such share.
+    """
+    whole = counts.filter(F.col(key).isNotNull()).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    share = max(1, (whole["n"] or 0) // HOT_SHARE)
+    if (whole["most"] or 0) <= share:
+        return None
+    some = counts.filter((F.col("n") > share) & F.col(key).isNotNull())
+    return written(some.select(key, F.ceil(F.col("n") / share).cast("int").alias("_salts")).coalesce(1), "hot-keys")
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows with the columns of lookup, which has one row for each key, where any key may hold most of rows.
 
-    A key with at least one in HOT_SHARE of all rows is dealt over as many tasks as it has such shares, by a hash of column by,
-    and its row of lookup is repeated for them (at most 2 * HOT_SHARE rows more). Nulls, which meet nothing, are dealt over as
-    many tasks. counts (key, n) says how often keys occur, or about so; without it rows should be a written table.
+    The rows of a key of hot (see hot_keys) are dealt over as many tasks as it has salts, by a hash of column by, and its row of
+    lookup is repeated for them (at most 2 * HOT_SHARE rows more).
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    counts = counts.filter(F.col("n") > share)
-    hot = F.broadcast(counts.select(key, F.ceil(F.col("n") / share).cast("int").alias("_salts")))  # at most HOT_SHARE rows
-    salts = F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.coalesce("_salts", F.lit(1)))
-    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
-    each = lookup.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    if hot is None:
+        return rows.join(lookup, key, how)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    each = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(each, [key, "_salt"], how).drop("_salt")
 
 

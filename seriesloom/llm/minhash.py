@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, salted_join, small_batches, with_bit, written
+from .common import bit_table, hot_keys, salted_join, small_batches, with_bit, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -25,8 +25,6 @@ LARGE = 200
 BLOCK = 1_000
 #: Counters of tokens, by which the order of prefixes goes.
 CELLS = 1 << 22
-#: So often are texts verified against the hubs of their buckets before what is left is compared in full.
-HUB_ROUNDS = 1
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,8 +197,9 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float = LEAST) -> DataFra
 
     A number that many pairs share is dealt over tasks on either side.
     """
-    both = salted_join(pairs.select("a", "b"), bags.select(F.col("number").alias("b"), F.col("tokens").alias("tokens_b")), "b", "a")
-    both = salted_join(both, bags.select(F.col("number").alias("a"), F.col("tokens").alias("tokens_a")), "a", "b", counts=pairs.groupBy("a").agg(F.count("*").alias("n")))
+    shared = lambda side: hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side)
+    both = salted_join(pairs.select("a", "b"), bags.select(F.col("number").alias("b"), F.col("tokens").alias("tokens_b")), "b", "a", shared("b"))
+    both = salted_join(both, bags.select(F.col("number").alias("a"), F.col("tokens").alias("tokens_a")), "a", "b", shared("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,12 +218,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
     labels = written(both.groupBy(F.col("a").alias("number")).agg(F.least(F.min("b"), F.min("a")).alias("root")), "near-labels")
-    degrees = written(both.groupBy("b").agg(F.count("*").alias("n")), "near-degrees")
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b")
+    roots = None if hubs is None else hubs.withColumnRenamed("b", "next")  # what many are linked to soon is the label of many
     while True:
-        near = salted_join(both, labels.select(F.col("number").alias("b"), "root"), "b", "a", counts=degrees).groupBy(F.col("a").alias("number")).agg(F.min("root").alias("near"))
+        near = salted_join(both, labels.select(F.col("number").alias("b"), "root"), "b", "a", hubs).groupBy(F.col("a").alias("number")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "number").select("number", "root", F.least("root", "near").alias("next"))
         far = labels.select(F.col("number").alias("next"), F.col("root").alias("far"))
-        jumped = salted_join(lower, far, "next", "number", "left", counts=labels.groupBy(F.col("root").alias("next")).agg(F.count("*").alias("n"))).select("number", F.coalesce(F.least("next", "far"), "next").alias("new"), "root")
+        jumped = salted_join(lower, far, "next", "number", roots, "left").select("number", F.coalesce(F.least("next", "far"), "next").alias("new"), "root")
         step = written(jumped, "near-labels")
         changed = step.filter("new < root").limit(1).count()
         labels = step.select("number", F.col("new").alias("root"))
@@ -236,12 +236,12 @@ def hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Each number with its bucket's hub, the one with the most links so far, where that lies in another component.
 
     A hub has changed least from what the bucket's texts have in common, so it links most of those that are similar to any.
+    members: key, number, root, n (rows of the key).
     """
     degree = links.select(F.explode(F.array("a", "b")).alias("number")).groupBy("number").agg(F.count("*").alias("degree"))
     known = members.join(degree, "number", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hubs = known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("number")).alias("n"), "root")).alias("hub"), F.count("*").alias("n"))
-    hubs = written(hubs, "near-hubs-of")
-    each = salted_join(known, hubs.drop("n"), "key", "number", counts=hubs.select("key", "n")).filter(F.col("root") != F.col("hub.root"))
+    hubs = written(known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("number")).alias("n"), "root")).alias("hub"), F.count("*").alias("n")), "near-hubs-of")
+    each = salted_join(known.drop("n"), hubs.drop("n"), "key", "number", hot_keys(hubs, "key")).filter(F.col("root") != F.col("hub.root"))
     return each.select(F.least(F.col("number"), -F.col("hub.n")).alias("a"), F.greatest(F.col("number"), -F.col("hub.n")).alias("b")).distinct()
 
 
@@ -300,14 +300,16 @@ def blocked(tokens: DataFrame) -> DataFrame:
     token and of different components meet in the group of their two blocks (or of their one mixed block).
     """
     half = BLOCK // 2
-    each = written(tokens.groupBy("token", "root").agg(F.count("*").alias("n")), "near-shares")
+    each = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
     mixed_rows = F.sum(F.when(F.col("n") <= half, F.col("n")).otherwise(0))
     big = F.array_sort(F.collect_list(F.when(F.col("n") > half, F.struct("root", F.ceil(F.col("n") / half).cast("int").alias("blocks")))))
     shares = each.groupBy("token").agg(mixed_rows.alias("mixed"), F.count("*").alias("roots"), big.alias("big")).filter("roots > 1")
+    shares = written(shares, "near-shares")
+    hot = hot_keys(shares.select("token", (F.col("mixed") + F.aggregate("big", F.lit(0).cast("long"), lambda a, p: a + p["blocks"] * half)).alias("n")), "token")
     # Component -1 stands for the mixed blocks: one up to BLOCK rows, so that rare tokens are compared in one group.
     of_mixed = F.when(F.col("mixed") <= BLOCK, 1).otherwise(F.ceil(F.col("mixed") / half)).cast("int")
     shares = shares.select("token", F.when(F.col("mixed") > 0, F.array_insert("big", 1, F.struct(F.lit(-1).cast("long").alias("root"), of_mixed.alias("blocks")))).otherwise(F.col("big")).alias("parts"))
-    dealt = salted_join(tokens, shares, "token", "number")
+    dealt = salted_join(tokens, shares, "token", "number", hot)
     own = F.when(F.exists("parts", lambda p: p["root"] == F.col("root")), F.col("root")).otherwise(F.lit(-1).cast("long"))
     dealt = dealt.withColumn("part", own)
     dealt = dealt.withColumn("blocks", F.filter("parts", lambda p: p["root"] == F.col("part"))[0]["blocks"])
@@ -360,17 +362,15 @@ def prefix_pairs(members: DataFrame, least: float = LEAST) -> DataFrame:
 def bucket_pairs(members: DataFrame, marks: DataFrame, least: float = LEAST) -> DataFrame:
     """Candidate pairs of numbers that share a bucket and lie in different components.
 
-    members: key, number, root of buckets that hold several components; marks: number, signature, size, prefix.
+    members: key, number, root, n (rows of the key) of buckets that hold several components; marks: number, signature, size, prefix.
     A pair is passed over if its sizes or prefixes rule it out, or if the share of registers that agree lies six standard
     errors under least. The numbers of buckets of more than LARGE are not compared bucket by bucket, but meet once by the
     tokens of their prefixes, which loses no pair that is similar.
     """
     floor = least - 6 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
     columns = ["key", "number", "root", "signature", "size", "prefix"]
-    counted = written(members.groupBy("key").agg(F.count("*").alias("n")), "near-counts")
-    sized = salted_join(members, counted, "key", "number", counts=counted)
-    rest = sized.filter(F.col("n") <= LARGE).join(marks, "number").select(columns)
-    large = sized.filter(F.col("n") > LARGE).groupBy("number").agg(F.min("root").alias("root"))
+    rest = members.filter(F.col("n") <= LARGE).join(marks, "number").select(columns)
+    large = members.filter(F.col("n") > LARGE).groupBy("number").agg(F.min("root").alias("root"))
     large = written(large.join(marks, "number"), "near-large")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -398,8 +398,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
     Groups are the connected components of the links between different texts; texts without words are alone.
     Equal texts count once from the first step on, so copies never meet as pairs. The bags of all texts that share a bucket
-    with another are made once. First each text is verified against the smallest number of each of its buckets, then against
-    their hubs; then, in buckets that still hold several components, all pairs between components that sizes, prefixes and
+    with another are made once. First each text is verified against the smallest number of each of its buckets, then against their hubs; then, in buckets that still hold several components, all pairs between components that sizes, prefixes and
     signatures do not rule out.
     """
     rows = written(signed(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "near-signatures")
@@ -407,38 +406,38 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     own = rows.join(reps.select(F.col("number").alias("row")), "row", "left_semi")
     keyed = written(own.select(F.explode("bands").alias("key"), F.col("row").alias("number"), "size"), "near-keys")
     stars = written(keyed.groupBy("key").agg(F.min(F.struct("number", "size")).alias("star"), F.count("*").alias("n")).filter("n > 1"), "near-stars")
-    meets = written(salted_join(keyed, stars.drop("n"), "key", "number", counts=stars.select("key", "n")).select("key", "number", "size", "star"), "near-buckets")
+    meets = written(salted_join(keyed, stars.drop("n"), "key", "number", hot_keys(stars, "key")).select("key", "number", "size", "star"), "near-buckets")
     bags = bag_tables(docs, own.join(meets.select(F.col("number").alias("row")).distinct(), "row").select(F.col("row").alias("number"), "doc_id", "digest"), doc_id, text)
     fits = F.least("size", "star.size") >= F.lit(least) * F.greatest("size", "star.size")  # else the overlap is too small at any rate
     pairs = written(meets.filter(F.col("star.number") != F.col("number")).filter(fits).select(F.col("star.number").alias("a"), F.col("number").alias("b")).distinct(), "near-pairs")
 
+    links = written(verified(pairs, bags, least), "near-found")
+    labels = components(links)
+
     def several(labels: DataFrame) -> DataFrame:
-        """key, number, root of the buckets that still hold several components."""
-        members = meets.select("key", "number").join(labels, "number", "left").select("key", "number", F.coalesce("root", "number").alias("root"))
-        members = written(members, "near-rooted")
-        keys = written(members.groupBy("key").agg((F.max("root") != F.min("root")).alias("several"), F.count("*").alias("n")).filter("several").select("key", "n"), "near-several")
-        return written(salted_join(members, keys.select("key"), "key", "number", counts=keys), "near-members")
+        """key, number, root, n of the buckets that still hold several components."""
+        rooted = meets.select("key", "number").join(labels, "number", "left").select("key", "number", F.coalesce("root", "number").alias("root"))
+        rooted = written(rooted, "near-rooted")
+        keys = rooted.groupBy("key").agg((F.max("root") != F.min("root")).alias("several"), F.count("*").alias("n")).filter("several").select("key", "n")
+        keys = written(keys, "near-several")
+        return written(salted_join(rooted, keys, "key", "number", hot_keys(keys, "key")), "near-members")
 
-    links, tried = written(verified(pairs, bags, least), "near-found"), pairs
-    labels = components(links)
-    for _ in range(HUB_ROUNDS):
-        members = several(labels)
-        new = written(hub_pairs(members, links).join(tried, ["a", "b"], "left_anti"), "near-hubs")
-        found = written(verified(new, bags, least), "near-found")
-        tried = tried.union(new)
-        if not found.limit(1).count():
-            break
+    members = several(labels)
+    new = written(hub_pairs(members, links).join(pairs, ["a", "b"], "left_anti"), "near-hubs")
+    found = written(verified(new, bags, least), "near-found")
+    if found.limit(1).count():
         links = links.union(found)
         labels = components(links)
-    members = several(labels)
+        members = several(labels)
     rarest = prefixes(bags.join(members.select("number").distinct(), "number"), least)
     marks = written(own.select(F.col("row").alias("number"), "signature").join(rarest, "number"), "near-marks")
-    more = written(bucket_pairs(members, marks, least).join(tried, ["a", "b"], "left_anti"), "near-more")
+    more = written(bucket_pairs(members, marks, least).join(pairs.union(new), ["a", "b"], "left_anti"), "near-more")
     if more.limit(1).count():
         labels = components(links.union(written(verified(more, bags, least), "near-found")))
-    out = salted_join(rows.drop("bands", "signature"), reps.drop("n"), "digest", "row", "left", counts=reps.select("digest", "n")).join(labels, "number", "left")
-    alone = F.col("number").isNull()
-    return out.select("doc_id", "digest", "size", "row", F.when(alone, F.col("row")).otherwise(F.col("number")).alias("number"), F.when(alone, F.col("row")).otherwise(F.coalesce("root", "number")).alias("root"))
+    out = salted_join(rows.filter("size > 0").drop("bands", "signature"), reps.drop("n"), "digest", "row", hot_keys(reps, "digest")).join(labels, "number", "left")
+    out = out.select("doc_id", "digest", "size", "row", "number", F.coalesce("root", "number").alias("root"))
+    blank = rows.filter("size = 0").select("doc_id", "digest", "size", "row", F.col("row").alias("number"), F.col("row").alias("root"))
+    return out.unionByName(blank)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -451,7 +450,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = written(grouped(docs, doc_id, text, least), "near-groups")
     groups = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("members"))
     several = written(groups.filter("members > 1"), "near-several")
-    out = salted_join(rows, several, "root", "row", "left", counts=several.select("root", F.col("members").alias("n")))
+    hot = hot_keys(several.select("root", F.col("members").alias("n")), "root")
+    out = salted_join(rows, several, "root", "row", hot, "left")
     return out.select("doc_id", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (F.col("row") == F.col("root")).alias("first"), F.coalesce("members", F.lit(1)).alias("members"))
 
 

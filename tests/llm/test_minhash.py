@@ -74,7 +74,7 @@ def test_large_buckets_are_split(spark, monkeypatch):
 
 def marks_of(spark, rows):
     """bucket_pairs' tables of rows (signature, size, prefix), all in one bucket and each a component of its own."""
-    members = spark.createDataFrame([(1, i, i) for i in range(len(rows))], "key long, number long, root long")
+    members = spark.createDataFrame([(1, i, i, len(rows)) for i in range(len(rows))], "key long, number long, root long, n long")
     marks = [(i, s.astype(np.uint16).tobytes(), n, np.array(p, np.uint32).tobytes()) for i, (s, n, p) in enumerate(rows)]
     return members, spark.createDataFrame(marks, "number long, signature binary, size long, prefix binary")
 
