@@ -103,22 +103,14 @@ def with_bit(rows: DataFrame, bits: DataFrame, name: str, out: str) -> DataFrame
     return held.withColumn(out, F.coalesce(F.getbit(word, bit % 64), F.lit(0)) == 1).drop("_cell", "_bits")
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Left join to a table with one row for each key. lookup should be a written table, for it is counted here.
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, n: str) -> DataFrame:
+    """Left join to a written table with one row for each key, whose column n says how many rows have it.
 
-    A table of up to BROADCAST_ROWS rows is broadcast. Beyond that, the keys with at least one in HOT_SHARE of all
-    rows (so at most HOT_SHARE keys) are joined by broadcast, so that no task gets a hot key, and the others by shuffle.
+    A table of up to BROADCAST_ROWS rows is broadcast; beyond that both are shuffled, with hot keys dealt over tasks.
     """
     if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(lookup), key, "left")
-    n = rows.count()
-    hot = rows.groupBy(key).count().filter((F.col("count") * HOT_SHARE >= n) & F.col(key).isNotNull()).select(key)
-    hot = written(hot, "hot-keys")
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    near = lookup.join(F.broadcast(hot), key, "left_semi")
-    of_hot = marked.filter("_hot").drop("_hot").join(F.broadcast(near), key, "left")
-    of_rest = marked.filter("_hot is null").drop("_hot").join(lookup, key, "left")
-    return of_hot.unionByName(of_rest)
+    return salted_join(rows, lookup, key, by, hot_keys(lookup.select(key, F.col(n).alias("n")), key), "left")
 
 
 def fold(doc_id: Column, mod: int) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches
+from .common import fold, free_name, small_batches
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -167,16 +167,17 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
     return net
 
 
-def sample(docs: DataFrame, lang: str, text: str, doc_id: str, per_language: int, most_languages: int, chars: int = 256) -> list[tuple[str, str]]:
-    """About per_language stretches of text of each language, drawn by a hash of the row; at most most_languages * 2 * per_language rows."""
-    counts = docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col(lang) == r[lang], F.lit(per_language / r["count"])).otherwise(share)
+def sample(docs: DataFrame, lang: str, text: str, doc_id: str, per_language: int, most_rows: int, chars: int = 256) -> list[tuple[str, str]]:
+    """About per_language stretches of text of each language, drawn by a hash of the row; fewer of each where there are so many
+    languages that most_rows would not hold them. No language is left out."""
+    counts = docs.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    n = counts.count()
+    each = max(1, min(per_language, most_rows // max(1, n)))
+    shares = F.broadcast(counts.select("_lang", (F.lit(float(each)) / F.col("_n")).alias("_share")))  # a row for each language
     drawn = F.pmod(F.xxhash64(F.col(doc_id), F.length(text), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     at = F.pmod(F.xxhash64(F.col(doc_id), F.lit(5)), F.greatest(F.length(text) - chars, F.lit(1)).cast("long")).cast("int") + 1
-    rows = docs.filter(drawn < share).select(lang, F.substring(F.col(text), at, F.lit(chars)).alias("part")).limit(most_languages * 2 * per_language)
-    return sorted((r[0], r[1]) for r in rows.collect() if r[1] and LETTER.search(r[1]))
+    rows = docs.select(F.col(lang).alias("_lang"), F.substring(F.col(text), at, F.lit(chars)).alias("_part"), drawn.alias("_drawn")).join(shares, "_lang").filter("_drawn < _share")
+    return sorted((r[0], r[1]) for r in rows.select("_lang", "_part").collect() if r[1] and LETTER.search(r[1]))
 
 
 def windows_of(parts: list[tuple[str, str]], size: int = 64) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -191,10 +192,10 @@ def windows_of(parts: list[tuple[str, str]], size: int = 64) -> tuple[np.ndarray
     return np.array(rows, np.uint8).reshape(-1, size), np.array(labels), languages
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_languages: int = 64) -> Network | None:
-    """Learns from docs with a language and a text; from about per_language rows of each of the most frequent languages."""
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_rows: int = 50_000) -> Network | None:
+    """Learns from docs with a language and a text; from about per_language rows of each language, and about most_rows at most."""
     known = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
-    rows, labels, languages = windows_of(sample(known, lang, text, doc_id, per_language, most_languages))
+    rows, labels, languages = windows_of(sample(known, lang, text, doc_id, per_language, most_rows))
     return train(rows, labels, languages) if len(rows) else None
 
 
@@ -225,13 +226,12 @@ def pooled(net: Network, texts: list[bytes], windows: int = 2048) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score, the pooled probability of the language; `und` and 0 where there is no letter or no model.
+def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """Adds pred and score_name, the pooled probability of the language; `und` and 0 where there is no letter or no model.
 
-    Every byte of every text counts. Null and empty texts are `und`. Columns of these names are replaced.
+    Every byte of every text counts. Null and empty texts are `und`. docs must not have columns of these names.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,22 +246,25 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
                 for i, row in zip(some, p, strict=True):
                     best = int(row.argmax())
                     lang[i], score[i] = model.languages[best], min(1.0, float(row[best]))
-            yield pa.RecordBatch.from_arrays([*(c for c, f in zip(batch.columns, batch.schema, strict=True) if f.name in kept), pa.array(lang), pa.array(score)], names=[*(n for n in batch.schema.names if n in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, pred, score_name])
 
-    kept = set(docs.columns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{pred}` string, `{score_name}` double")
 
 
 def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document, learnt from those that are not held out."""
     held = fold(F.col(doc_id), 3) == 1
     net = fit(docs.filter(~held), doc_id, text, lang)
-    return identify(docs.select(doc_id, text, held.alias("held_out")), net, text).select(doc_id, "held_out", "lang_pred", "score")
+    return identify(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), held.alias("held_out")), net, "_text").select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The documents with a language: neither `und` nor of a pooled probability under least. Columns and texts stay as they are."""
+    """The documents with a language: neither `und` nor of a pooled probability under least.
+
+    Columns and texts stay as they are, whatever their names; doc_id, text and lang are read under these names.
+    """
     net = fit(docs)
-    names = docs.columns
-    return identify(docs, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = identify(docs, net, "text", pred, score)
+    return found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)

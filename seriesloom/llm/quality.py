@@ -86,16 +86,15 @@ def fit(featured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", most: in
     return Logistic(table[:, 1:], table[:, 0])
 
 
-def with_evidence(rows: DataFrame, model: Logistic | None, source: str = "x") -> DataFrame:
-    """Adds p_doc, the classifier's probability, from features or, where source is a text column, from the text."""
+def with_evidence(rows: DataFrame, model: Logistic | None, text: str | None = None) -> DataFrame:
+    """Adds p_doc, the classifier's probability, from the features in x or from the field text of the struct _row."""
     small_batches(rows.sparkSession)
-    rows = rows.drop("p_doc")
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(source)
-            x = np.array([v.as_py() if source == "x" else features(v.as_py()) for v in values])
+            values = batch.column("x") if text is None else pa.StructArray.field(batch.column("_row"), text)
+            x = np.array([v.as_py() if text is None else features(v.as_py()) for v in values])
             p = shared.value(x) if shared.value is not None and len(x) else np.full(len(values), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p_doc"])
 
@@ -112,23 +111,29 @@ def sites(evidence: DataFrame, host: str = "_host", path: str = "_path") -> tupl
     """site (host and path), n and s of the path, host_mean and strengths, by grouped sums; and the global mean.
 
     A host's mean shrinks toward the global one and a path's toward its host's, by as many pseudo-documents as the spread of
-    the means between groups calls for (method of moments), at least 10 and at most 10,000.
+    documents within paths is larger than that of the means (analysis of variance), at least 10 and at most 10,000.
     """
-    by_path = evidence.groupBy(host, path).agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
+    by_path = evidence.groupBy(host, path).agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"), F.sum(F.col("p_doc") * F.col("p_doc")).alias("q"))
     by_path = written(by_path, "quality-paths")
-    by_host = by_path.groupBy(host).agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-
-    def strength(groups: DataFrame, n: str, s: str, mean: float) -> float:
-        far = groups.agg(F.count("*").alias("g"), F.sum(F.col(n)).alias("n"), F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - mean, F.lit(2))).alias("ss")).first()
-        if not far["n"]:
-            return 10.0
-        noise = mean * (1 - mean)
-        between = (far["ss"] - far["g"] * noise) / far["n"]
-        return float(min(10_000.0, max(10.0, noise / between - 1 if between > 0 else 10_000.0)))
-
-    whole = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = whole["s"] / whole["n"] if whole["n"] else 0.5
-    k_host, k_path = strength(by_host, "host_n", "host_s", mean), strength(by_path, "n", "s", mean)
+    by_host = by_path.groupBy(host).agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum(F.col("n") * F.col("n")).alias("host_nn"), F.sum("q").alias("host_q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("host_ss"), F.count("*").alias("paths"))
+    by_host = written(by_host, "quality-hosts")
+    # Sums of squares of paths' means around their hosts', of hosts' around the global one, and of documents within paths.
+    own = F.col("host_s") * F.col("host_s") / F.col("host_n")
+    t = by_host.agg(
+        F.sum("host_n").alias("n"), F.sum("host_s").alias("s"), F.count("*").alias("hosts"), F.sum("paths").alias("paths"),
+        F.sum(F.col("host_q") - F.col("host_ss")).alias("within"), F.sum(F.col("host_ss") - own).alias("of_paths"), F.sum(own).alias("of_hosts"),
+        F.sum(F.col("host_nn") / F.col("host_n")).alias("nn_paths"), F.sum(F.col("host_n") * F.col("host_n")).alias("nn_hosts"),
+    ).first()
+    n, mean = t["n"] or 0, t["s"] / t["n"] if t["n"] else 0.5
+    noise = max(t["within"], 0.0) / (n - t["paths"]) if n and n > t["paths"] else mean * (1 - mean)
+
+    def strength(squares: float, free: int, size: float) -> float:
+        """free: groups less the means that they are held against; size: what a unit of spread adds to the sum of squares."""
+        spread = (squares - free * noise) / size if size > 0 else 0.0
+        return float(min(10_000.0, max(10.0, noise / spread if spread > 0 else 10_000.0)))
+
+    k_host = strength(t["of_hosts"] - n * mean * mean, t["hosts"] - 1, n - t["nn_hosts"] / n) if n else 10.0
+    k_path = strength(t["of_paths"], t["paths"] - t["hosts"], n - t["nn_paths"]) if n else 10.0
     out = by_path.join(by_host, host).select(
         F.sha2(F.concat_ws("\x00", host, path), 256).alias("_site"), "n", "s", "host_n", "host_s", F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path")
     )
@@ -141,7 +146,7 @@ def combined(rows: DataFrame, site_table: DataFrame, mean: float, weight: float
     The site's odds against the global ones are added to the document's own, damped by weight; a document's own evidence is
     first taken out of its site's, so that it is not counted twice.
     """
-    of = lookup_join(rows, site_table, "_site")
+    of = lookup_join(rows, site_table, "_site", "p_doc", "n")
     host_mean = (F.col("k_host") * mean + F.col("host_s") - F.col("p_doc")) / (F.col("k_host") + F.col("host_n") - 1)
     out = of.withColumn("host_mean", host_mean)
     out = out.withColumn("path_mean", (F.col("k_path") * F.col("host_mean") + F.col("s") - F.col("p_doc")) / (F.col("k_path") + F.col("n") - 1))
@@ -171,11 +176,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: tuple[str, ...] = ("lang",), least: float = 0.5) -> DataFrame:
-    """The documents whose score is at least least; columns and texts stay as they are. Evidence is made anew from each text
-    in the second pass, so that no text is shuffled where the table of sites is small enough to be broadcast."""
-    names = docs.columns
+    """The documents whose score is at least least; columns and texts stay as they are, whatever their names. Evidence is made
+    anew from each text in the second pass, so that no text is shuffled where the table of sites is small enough to be broadcast."""
     featured = written(with_features(placed(docs.select("doc_id", "text", host, *path), host, path).select("doc_id", "text", "_host", "_path")), "quality-features")
     model = fit(featured, labels)
     table, mean = sites(with_evidence(featured, model).select("_host", "_path", "p_doc"))
-    again = with_evidence(placed(docs, host, path), model, "text")
-    return combined(again, table, mean).filter(F.col("score") >= least).select(*names)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host).alias("_in0"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(path, 1)])
+    inner = placed(whole, "_in0", tuple(f"_in{i}" for i in range(1, len(path) + 1))).select("_row", "_site")
+    return combined(with_evidence(inner, model, "text"), table, mean).filter(F.col("score") >= least).select("_row.*")

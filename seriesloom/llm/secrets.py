@@ -45,18 +45,18 @@ def varied(value: Column, digits: int = 3, kinds: int = 10) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base and extra, the spans of each text, to the documents that may have any; the others are left out."""
+    """Adds base and extra, the spans of each text, to all documents; both are empty for most."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    some = docs.filter(may_hold(whole))
+    none = F.array().cast(SPAN)
     base = F.concat(
         F.filter(located(whole, ASSIGN, 0, 2), lambda s: F.char_length(s["value"]) >= LEAST_GROUP),
         located(whole, ACCESS, 1),
         located(whole, HEX, 2),
     )
     extra = F.filter(located(whole, TOKEN, 3), lambda s: varied(s["value"]))
-    return some.withColumns({"base": F.array_sort(base), "extra": extra}).withColumn(
-        "extra", F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    )
+    some = docs.withColumn("_may", may_hold(whole))
+    some = some.withColumns({"base": F.when(F.col("_may"), F.array_sort(base)).otherwise(none), "extra": F.when(F.col("_may"), extra).otherwise(none)})
+    return some.drop("_may").withColumn("extra", F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
 
 
 def may_hold(whole: Column) -> Column:
@@ -64,37 +64,44 @@ def may_hold(whole: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """digest, owners, repositories, documents: how widely each candidate is held.
+    """digest, owners, repositories, most (repositories of one owner), documents: how widely each candidate is held.
 
     Counted in three steps, so that a value which a third of all documents hold is summed up before each shuffle.
     """
     repos = spans.groupBy("digest", "owner", "repo").agg(F.count("*").alias("docs"))
     owners = repos.groupBy("digest", "owner").agg(F.count("*").alias("repos"), F.sum("docs").alias("docs"))
-    return owners.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"), F.sum("docs").alias("documents"))
+    return owners.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"), F.max("repos").alias("most"), F.sum("docs").alias("documents"))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), copied_owners: int = 3, copied_repos: int = 3) -> DataFrame:
-    """The documents that hold a candidate, with row (unique), base, spans and live arrays of (start, rank, end, value, widely).
+def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = ("doc_id",), copied_owners: int = 3, copied_repos: int = 3) -> DataFrame:
+    """keep (columns of docs) with row (unique), base, spans and live, arrays of (start, rank, end, value, widely), for all documents.
 
-    A candidate that at least copied_owners owners and copied_repos repositories hold is a widely copied example;
-    the others are owner-specific. Base spans always stay; an added token span (only those that look random are candidates)
-    stays if it is owner-specific. live: the owner-specific spans, letters-only passwords too. A null owner or repository counts as one of its own name; a null text holds none;
-    repeated rows are kept apart. Columns of the input named like the new ones are overwritten.
+    A candidate that at least copied_owners owners and copied_repos repositories hold, no one owner more than half of the
+    repositories, is a widely copied example; the others are owner-specific: also one that an owner has in many repositories
+    and that two others have picked up. Base spans always stay; an added token span (only those that look random are
+    candidates) stays if it is owner-specific. live: the owner-specific spans, letters-only passwords too. A null owner or
+    repository counts as one of its own name; a null text holds none; repeated rows are kept apart. keep must not name columns
+    like the new ones. Texts are read once; what is written and joined are spans.
     """
-    found = candidates(docs, text).withColumns({"row": F.monotonically_increasing_id(), "_owner": F.coalesce(F.col(owner).cast("string"), F.lit("")), "_repo": F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo])})
-    found = written(found, "secret-candidates")
-    each = found.select("row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: F.sha2(s["value"], 256)))).alias("digest"))
-    held = written(ownership(each), "secret-ownership")
-    wide = held.filter((F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_repos)).select("digest", F.lit(True).alias("widely"))
-    by_row = lookup_join(each.select("row", "digest"), written(wide, "secret-copied"), "digest").filter("widely").groupBy("row").agg(F.collect_set("digest").alias("copied"))
-    out = found.join(by_row, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<string>")))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    inner = docs.select(*keep, F.col(text).alias("_text"), name(owner).alias("_owner"), F.concat_ws("/", *[name(c) for c in repo]).alias("_repo"))
+    found = written(candidates(inner, "_text").drop("_text").withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
+    some = found.filter((F.size("base") > 0) | (F.size("extra") > 0))
+    each = some.select("row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: F.sha2(s["value"], 256)))).alias("digest"))
+    wide = ownership(each).filter((F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_repos) & (F.col("most") * 2 <= F.col("repositories")))
+    wide = written(wide.select("digest", F.lit(True).alias("widely"), "documents"), "secret-copied")
+    by_row = lookup_join(each.select("row", "digest"), wide, "digest", "row", "documents").filter("widely").groupBy("row").agg(F.collect_set("digest").alias("copied"))
+    out = some.join(by_row, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<string>")))
 
     def judged(spans: Column) -> Column:
         return F.transform(spans, lambda s: s.withField("widely", F.array_contains("copied", F.sha2(s["value"], 256))))
 
     out = out.withColumns({"base": judged(F.col("base")), "extra": judged(F.col("extra"))})
     out = out.withColumn("spans", F.array_sort(F.concat("base", F.filter("extra", lambda s: ~s["widely"]))))
-    return out.withColumn("live", F.filter("spans", lambda s: ~s["widely"])).drop("extra", "copied", "_owner", "_repo")
+    out = out.withColumn("live", F.filter("spans", lambda s: ~s["widely"])).select(*keep, "row", "base", "spans", "live")
+    none = F.array().cast(out.schema["base"].dataType)
+    rest = found.filter((F.size("base") == 0) & (F.size("extra") == 0)).select(*keep, "row", *[none.alias(c) for c in ("base", "spans", "live")])
+    return out.unionByName(rest)
 
 
 def listed(spans: Column) -> Column:
@@ -105,10 +112,10 @@ def listed(spans: Column) -> Column:
 
 def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: counts of base spans by kind, the digest of their list, and all spans."""
-    found = find_secrets(docs.select(doc_id, text, "source", "lang"), text)
+    found = find_secrets(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_whole"), "source", "lang"), "_whole")
     of = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
-    some = found.select(
-        doc_id,
+    return found.select(
+        "doc_id",
         of(0).alias("n_assign"),
         of(1).alias("n_access"),
         of(2).alias("n_hex"),
@@ -117,16 +124,17 @@ def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.size("live").cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["widely"])).cast("long").alias("n_copied"),
     )
-    none = docs.filter(~may_hold(F.coalesce(F.col(text), F.lit(""))))
-    zero = F.lit(0).cast("long")
-    rest = none.select(doc_id, zero.alias("n_assign"), zero.alias("n_access"), zero.alias("n_hex"), F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), zero.alias("n_live"), zero.alias("n_copied"))
-    return some.unionByName(rest)
 
 
 def masked(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the live credentials of each text replaced by mark; the columns stay."""
-    found = find_secrets(docs, text)
-    whole = F.col(text)
+    """docs with the live credentials of each text replaced by mark; all rows and columns stay, whatever their names.
+
+    Documents without a candidate are told by the patterns and pass straight through.
+    """
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_whole"), F.col("source").alias("_in0"), F.col("lang").alias("_in1"))
+    may = may_hold(F.coalesce(F.col("_whole"), F.lit("")))
+    found = find_secrets(inner.filter(may), "_whole", "_in0", ("_in0", "_in1"), ("_doc",))
+    whole = F.col("_doc")[text]
     # From left to right; a span that begins inside the one before only moves its end.
     past = F.lit(2147483647)
     cut = F.aggregate(
@@ -138,7 +146,6 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         ),
         lambda a: F.concat(a["done"], F.substr(whole, a["at"] + 1, past)),
     )
-    live = F.size("live") > 0
-    some = found.withColumn(text, F.when(live, cut).otherwise(whole))
-    rest = docs.filter(~may_hold(F.coalesce(F.col(text), F.lit(""))))
-    return some.select(*docs.columns).unionByName(rest)
+    new = F.when(F.size("live") > 0, cut).otherwise(whole)
+    some = found.select(*[new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
+    return some.unionByName(inner.filter(~may).select("_doc.*"))

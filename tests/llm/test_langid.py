@@ -58,3 +58,24 @@ def test_no_rows(spark):
     assert langid.predict_languages(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = langid.predict_languages(spark.createDataFrame([(1, "abc", None, None)] * 2, SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)] * 2
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs = frame(spark).withColumns({"lang_pred": F.concat(F.lit("p"), F.col("doc_id").cast("string")), "SCORE_": F.lit(3)})
+    before = {(r.doc_id, r.text): r.asDict() for r in docs.collect()}
+    out = [r.asDict() for r in langid.keep_identified(docs).collect()]
+    assert len(out) == 182 and all(r == before[r["doc_id"], r["text"]] for r in out)
+
+
+def test_pooling_equals_one_text_at_a_time():
+    """Each position's probabilities, window by window of one text, against all texts at once."""
+    net, rng = langid.fresh(["a", "b", "c"]), np.random.default_rng(1)
+    texts = [bytes(rng.integers(32, 250, n, np.uint8)) for n in (1, 5, 127, 128, 129, 700, 0, 300)]
+    got = langid.pooled(net, texts, windows=3)
+    for row, raw in zip(got, texts, strict=True):
+        total = np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            padded = b" " * langid.WARM + raw + b" " * (langid.WINDOW + langid.WARM)
+            ids = np.frombuffer(padded[at : at + langid.WINDOW + 2 * langid.WARM], np.uint8).astype(np.intp)[:, None]
+            total += langid.position_probabilities(net, ids)[: min(langid.WINDOW, len(raw) - at), 0].sum(0)
+        assert np.allclose(row, total / max(1, len(raw)), atol=1e-5)

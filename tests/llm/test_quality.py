@@ -52,3 +52,36 @@ def test_without_labels_or_rows(spark):
     none = labels(spark).filter("false")
     assert [r.p_doc for r in quality.quality_scores(docs, none).collect()] == [0.5] * 6
     assert quality.quality_scores(docs.filter("false"), none).count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["n", "s", "host_n", "p_doc", "_site", "_row", "x", "k_path"]
+    docs = spark.createDataFrame(rows(), SCHEMA).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    before = {r.doc_id: r.asDict() for r in docs.collect()}
+    out = [r.asDict() for r in quality.keep_good(docs, labels(spark)).collect()]
+    assert len(out) > 200 and all(r == before[r["doc_id"]] for r in out)
+
+
+def test_strengths_equal_brute_force(spark):
+    """Analysis of variance by hand: paths around their hosts' means, hosts around the global one."""
+    rng = np.random.default_rng(4)
+    evidence = [(f"h{h}", f"p{p}", float(np.clip(0.2 * h + 0.1 * p + rng.normal(0, 0.1), 0, 1))) for h in range(4) for p in range(3) for _ in range(5 + 7 * p + h)]
+    table, mean = quality.sites(spark.createDataFrame(evidence, "_host string, _path string, p_doc double"))
+    r = table.first()
+    values = np.array([p for *_, p in evidence])
+    host, path = np.array([h for h, *_ in evidence]), np.array([h + p for h, p, _ in evidence])
+    mean_of = lambda g: np.array([values[g == k].mean() for k in g])
+    size_of = lambda g: np.array([(g == k).sum() for k in g])
+    noise = ((values - mean_of(path)) ** 2).sum() / (len(values) - 12)
+    of_paths = (((mean_of(path) - mean_of(host)) ** 2).sum() - 8 * noise) / (len(values) - (size_of(path) / size_of(host)).sum())
+    of_hosts = (((mean_of(host) - mean) ** 2).sum() - 3 * noise) / (len(values) - size_of(host).sum() / len(values))
+    assert abs(r.k_path - np.clip(noise / of_paths, 10, 10_000)) < 1e-6 and abs(r.k_host - np.clip(noise / of_hosts, 10, 10_000)) < 1e-6
+
+
+def test_many_sites_are_joined_by_shuffle(spark, monkeypatch):
+    from seriesloom.llm import common
+
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    small = sorted(map(str, quality.quality_scores(docs, labels(spark)).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert [x.split("p_doc")[0] for x in sorted(map(str, quality.quality_scores(docs, labels(spark)).collect()))] == [x.split("p_doc")[0] for x in small]

@@ -68,3 +68,24 @@ def test_empty_table_and_nulls(spark):
     assert secrets.secret_report(frame(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "token=abcdefgh1", None, None)] * 2, "doc_id long, text string, lang string, source string")
     assert [r.n_assign for r in secrets.secret_report(rows).collect()] == [1, 1]
+
+
+def test_many_repositories_of_one_owner_are_not_wide(spark):
+    """One owner's value in six repositories, picked up by two others, is the owner's own; spread evenly it is an example."""
+    value = "password = Ab3dEf6hIj9kLm2nOp5q"
+    own = [(i, value, f"l{i}", "a") for i in range(6)] + [(6, value, "l0", "b"), (7, value, "l0", "c")]
+    even = [(i, value, f"l{i % 2}", "abc"[i // 2]) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string"
+    assert {r.n_live for r in secrets.secret_report(spark.createDataFrame(own, schema)).collect()} == {1}
+    assert {(r.n_live, r.n_copied) for r in secrets.secret_report(spark.createDataFrame(even, schema)).collect()} == {(0, 1)}
+
+
+def test_clashing_columns_keep_their_values(spark):
+    from pyspark.sql import functions as F
+
+    names = ["row", "extra", "copied", "base", "spans", "live", "_doc", "_whole", "_owner"]
+    docs = frame(spark, [f'a token = "{HEX}" b', "clean", None, "clean"]).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    before = {r.doc_id: r.asDict() for r in docs.collect()}
+    out = {r.doc_id: r.asDict() for r in secrets.masked(docs).collect()}
+    assert out[0].pop("text") == 'a [SECRET]" b' and before[0].pop("text")
+    assert out == before
