@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept as written
+from ..sources.scratch import scratch_path as scratch
+
 #: Rows of a lookup table that may be broadcast; its rows are narrow (under about 200 bytes), so this is at most 20 MB.
 BROADCAST_ROWS = 100_000
 #: A key is hot if it has at least one row in so many; so there are at most so many hot keys.
@@ -22,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="seriesloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once, and outlives the executors that made it."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python workers in batches of few rows, so that long ones fit in memory.
 
@@ -69,15 +51,15 @@ def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
     return written(some.select(key, F.ceil(F.col("n") / share).cast("int").alias("_salts")).coalesce(1), "hot-keys")
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, by: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows with the columns of lookup, which has one row for each key, where any key may hold most of rows.
 
-    The rows of a key of hot (see hot_keys) are dealt over as many tasks as it has salts, by a hash of column by, and its row of
+    The rows of a key of hot (see hot_keys) are dealt over as many tasks as it has salts, by a hash of by (columns that tell its rows apart), and its row of
     lookup is repeated for them (at most 2 * HOT_SHARE rows more).
     """
     if hot is None:
         return rows.join(lookup, key, how)
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     each = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(each, [key, "_salt"], how).drop("_salt")
 
@@ -103,7 +85,7 @@ def with_bit(rows: DataFrame, bits: DataFrame, name: str, out: str) -> DataFrame
     return held.withColumn(out, F.coalesce(F.getbit(word, bit % 64), F.lit(0)) == 1).drop("_cell", "_bits")
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, by: str, n: str) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, by: str | list[str], n: str) -> DataFrame:
     """Left join to a written table with one row for each key, whose column n says how many rows have it.
 
     A table of up to BROADCAST_ROWS rows is broadcast; beyond that both are shuffled, with hot keys dealt over tasks.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, small_batches, written
+from .common import free_name, lookup_join, small_batches, written
 
 WIDTH = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -112,8 +112,9 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
     Every reference is kept; the columns are null where no payload has the digest. Positions and captions stay as they are.
     """
     others = [c for c in media.columns if c != "digest"]
-    one = media.groupBy("digest").agg(*[F.first(c).alias(c) for c in others])
-    return lookup_join(refs, written(one, "media-by-digest"), "digest")
+    n = free_name(refs, "_copies")
+    one = media.groupBy("digest").agg(*[F.first(c).alias(c) for c in others], F.count("*").alias(n))
+    return lookup_join(refs, written(one, "media-by-digest"), "digest", [c for c in refs.columns if c != "digest"], n).drop(n)
 
 
 def encode(payload: bytes) -> bytes:

@@ -41,8 +41,8 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marked = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
-    groups = marked.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = lookup_join(marked, written(groups, "warc-groups"), "digest")
+    groups = marked.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    first = lookup_join(marked, written(groups.withColumnRenamed("n", "copies"), "warc-groups"), "digest", "page_id", "copies").drop("copies")
     return first.withColumn("refers_to", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 
 
