@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, three_way
+from ..sources.scratch import kept, scratch_path
 
 # Thresholds that make a feature a warning.
 SIGNAL_RULES = (("yield_spread", "lt", 0.0), ("yield_inverted_months", "gt", 0.0), ("unrate_12m_change", "gt", 0.0), ("gdp_growth_annualized", "lt", 0.0), ("info_employment_yoy", "lt", 0.0))
@@ -28,31 +29,47 @@ def weighted(train: DataFrame, label: str) -> DataFrame:
 
 
 class Scored:
-    """A fitted model with its features: adds probability and prediction."""
+    """A fitted model with its features: adds probability and prediction. probability: from a DataFrame, that DataFrame with _p."""
 
-    def __init__(self, name: str, features: list[str], stages: list[Model], weights: dict[str, float]) -> None:
-        self.name, self.features, self.stages, self.weights = name, features, stages, weights
+    def __init__(self, name: str, features: list[str], probability: Callable[[DataFrame], DataFrame], weights: dict[str, float]) -> None:
+        self.name, self.features, self.probability, self.weights = name, features, probability, weights
 
     def score(self, df: DataFrame) -> DataFrame:
-        out = VectorAssembler(inputCols=self.features, outputCol="_x").transform(df)
-        for stage in self.stages:
-            out = stage.transform(out)
-        return out.withColumn("_p", vector_to_array("_p")[1]).select(*df.columns, F.col("_p").alias("probability"), F.col("_y").cast("int").alias("prediction"))
+        return self.probability(df).select(*df.columns, F.col("_p").alias("probability"), (F.col("_p") > 0.5).cast("int").alias("prediction"))
+
+
+def line(intercept: float, terms: dict[str, tuple[float, float, float]]) -> Callable[[DataFrame], DataFrame]:
+    """The logistic probability from column arithmetic; terms: weight, mean and deviation by feature. A null feature gives null."""
+    odds = F.lit(intercept)
+    for name, (weight, mean, deviation) in terms.items():
+        odds = odds + (F.lit(weight / deviation if deviation else 0.0) * (F.col(name) - mean))
+    return lambda df: df.withColumn("_p", 1 / (1 + F.exp(-odds)))
 
 
 def train_logistic(train: DataFrame, features: list[str], label: str = "label") -> Scored:
-    """Standardised features, balanced classes, an L2 penalty of half the squared weights against the summed loss."""
+    """Standardised features, balanced classes, an L2 penalty of half the squared weights against the summed loss.
+
+    Scoring needs coefficients, means and deviations only; the fitted model, which holds its training summary and with it the
+    session, is not kept.
+    """
     n = train.count()
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(weighted(train, label))
     scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(rows)
     model = LogisticRegression(featuresCol="_z", labelCol=label, weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(scaler.transform(rows))
-    return Scored("logistic", features, [scaler, model], dict(zip(features, map(float, model.coefficients), strict=True)))
+    weights = dict(zip(features, map(float, model.coefficients), strict=True))
+    terms = {f: (w, float(m), float(d)) for (f, w), m, d in zip(weights.items(), scaler.mean, scaler.std, strict=True)}
+    return Scored("logistic", features, line(float(model.intercept), terms), weights)
 
 
 def forest(train: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int = 42) -> Scored:
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(weighted(train, label))
     model = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(rows)
-    return Scored("forest", features, [model], dict(zip(features, map(float, model.featureImportances.toArray()), strict=True)))
+    # Saved and read back: the model as fitted holds its training summary, and with it the session.
+    path = scratch_path(train.sparkSession, "forest")
+    model.write().save(path)
+    model = RandomForestClassificationModel.load(path)
+    vote = lambda df: model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df)).withColumn("_p", vector_to_array("_p")[1])
+    return Scored("forest", features, vote, dict(zip(features, map(float, model.featureImportances.toArray()), strict=True)))
 
 
 def expanding_folds(train: DataFrame, folds: int, month: str = "month") -> list[tuple[DataFrame, DataFrame]]:
@@ -66,7 +83,7 @@ def expanding_folds(train: DataFrame, folds: int, month: str = "month") -> list[
 
 def train_forest(train: DataFrame, features: list[str], label: str = "label", grid: tuple = ((100, 200, 500), (3, 5, 10, 30), (5, 10, 20)), folds: int = 5, seed: int = 42) -> Scored:
     """The forest of the grid (trees, depth, rows of a leaf) with the best mean area under the curve over expanding folds; a fold that fails counts 0."""
-    train = train.cache()
+    train = kept(train, "forest-rows")
     parts = expanding_folds(train, folds)
 
     def quality(setting: tuple[int, int, int]) -> float:
@@ -80,7 +97,6 @@ def train_forest(train: DataFrame, features: list[str], label: str = "label", gr
     settings = list(itertools.product(*grid))
     best = max(settings, key=quality) if len(settings) > 1 else settings[0]
     out = forest(train, features, label, *best, seed=seed)
-    train.unpersist()
     return out
 
 

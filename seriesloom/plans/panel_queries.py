@@ -246,17 +246,17 @@ def streak_sql(at: str) -> str:
 SELECT panel, series_id, MAX(n) AS longest FROM (SELECT panel, series_id, g, COUNT(*) AS n FROM (SELECT panel, series_id, pos - ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY month) AS g FROM (SELECT *, {at} AS pos FROM mon) WHERE value < 0) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (panel, series_id)"""
 
 
-MON = f"{OBS}, mon AS (SELECT panel, series_id, CAST(date_trunc('month', date) AS DATE) AS month, AVG(value_adj) AS value FROM obs WHERE series_id = 'SPREAD' GROUP BY 1, 2, 3)"
+MON = f"{OBS}, mon AS (SELECT panel, series_id, CAST(date_trunc('month', date) AS DATE) AS month, AVG(value_adj) AS value FROM obs GROUP BY 1, 2, 3)"
 
 
 @add("longest_streak", streak_sql("ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY month)"), MON)
 def longest_streak(spark, d):
-    return P.longest_streak(P.monthly_mean(observations(spark, d).filter("series_id = 'SPREAD'")), 0.0)
+    return P.longest_streak(P.monthly_mean(observations(spark, d)), 0.0)
 
 
 @add("longest_streak_calendar", streak_sql("year(month) * 12 + month(month)"), MON)
 def longest_streak_calendar(spark, d):
-    return P.longest_streak(P.monthly_mean(observations(spark, d).filter("series_id = 'SPREAD'")), 0.0, calendar=True)
+    return P.longest_streak(P.monthly_mean(observations(spark, d)), 0.0, calendar=True)
 
 
 @add("latest_with_delta", f"SELECT panel, series_id, arg_max(value, date) AS latest, round(coalesce(arg_max(value - before, date), 0), {D}) AS delta, MAX(date) AS date FROM (SELECT *, LAG(value) OVER (PARTITION BY panel, series_id ORDER BY date) AS before FROM obs) GROUP BY 1, 2")
@@ -264,22 +264,17 @@ def latest_with_delta(spark, d):
     return P.latest_with_delta(observations(spark, d), digits=D)
 
 
-TAIL = "(SELECT panel, series_id, date, (value / NULLIF(LAG(value, {lag}) OVER (PARTITION BY panel, series_id ORDER BY date), 0) - 1) * {scale} AS g, ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY date DESC) AS rn FROM obs WHERE series_id IN ('POWER', 'INDEX', 'SECTOR_A'))"
-TREND = ["POWER", "INDEX", "SECTOR_A"]
-
-
-def trending(spark, d):
-    return observations(spark, d).filter(F.col("series_id").isin(TREND))
+TAIL = "(SELECT panel, series_id, date, (value / NULLIF(LAG(value, {lag}) OVER (PARTITION BY panel, series_id ORDER BY date), 0) - 1) * {scale} AS g, ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY date DESC) AS rn FROM obs)"
 
 
 @add("latest_growth", f"SELECT panel, series_id, round(arg_max(g, date), {D}) AS growth, MAX(date) AS date FROM {TAIL.format(lag=12, scale=100)} WHERE g IS NOT NULL AND rn <= 13 GROUP BY 1, 2")
 def latest_growth(spark, d):
-    return P.latest_growth(trending(spark, d), digits=D)
+    return P.latest_growth(observations(spark, d), digits=D)
 
 
 @add("sparkline_tail", f"SELECT panel, series_id, date, round(g, {D}) AS value FROM {TAIL.format(lag=1, scale=100)} WHERE g IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY date DESC) <= 24")
 def sparkline_tail(spark, d):
-    tails = P.sparkline_tail(trending(spark, d), lag=1, digits=D)
+    tails = P.sparkline_tail(observations(spark, d), lag=1, digits=D)
     return tails.select("panel", "series_id", F.explode("points").alias("p")).select("panel", "series_id", "p.date", "p.value")
 
 
@@ -322,7 +317,7 @@ def change_by_kind(spark, d):
 
 @add("trend_tail_stats", f"SELECT panel, series_id, round(arg_max(g, date), {D}) AS latest, round(AVG(g), {D}) AS avg_n, COUNT(*) FILTER (g < 0) AS negative_n, round(MAX(g), {D}) AS peak FROM (SELECT * FROM {TAIL.format(lag=1, scale=400)} WHERE g IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY date DESC) <= 20) GROUP BY 1, 2")
 def trend_tail_stats(spark, d):
-    return P.trend_tail_stats(trending(spark, d), digits=D)
+    return P.trend_tail_stats(observations(spark, d), digits=D)
 
 
 DIFFS = f"(SELECT panel, date, SECTOR_A - LAG(SECTOR_A, 12) OVER p AS da, SECTOR_B - LAG(SECTOR_B, 12) OVER p AS db FROM {wide('SECTOR_A', 'SECTOR_B')} WINDOW p AS (PARTITION BY panel ORDER BY date))"

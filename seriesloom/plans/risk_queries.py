@@ -12,6 +12,7 @@ from ..operators import panel as P
 from ..operators import shock as H
 from .panel_queries import PRED, predictions
 from .stand_ins import OBS, metadata, observations, stories_sql, table
+from ..sources.scratch import kept
 from .story_queries import EARLY, rollup
 
 QUERIES: dict = {}
@@ -46,37 +47,53 @@ STD = f"{OBS}, " + linear("obs", 8, "s")
 DAILY = f"{OBS}, mon AS (SELECT panel, series_id, CAST(date_trunc('month', date) AS DATE) AS date, AVG(value) AS value FROM obs WHERE series_id = 'SPREAD' GROUP BY 1, 2, 3), " + linear("mon", 12, "d")
 
 
+MONTHLY = f"{OBS}, mall AS (SELECT panel, series_id, CAST(date_trunc('month', date) AS DATE) AS date, AVG(value) AS value FROM obs GROUP BY 1, 2, 3), " + linear("mall", 8, "m")
+
+
 def some(spark, d, *ids):
     return observations(spark, d).filter(F.col("series_id").isin(*ids))
 
 
+def by_month(spark, d):
+    """All series; daily ones as monthly means."""
+    return P.monthly_mean(observations(spark, d), col="value").select("panel", "series_id", F.col("month").alias("date"), "value")
+
+
+def by_season(spark, d, method):
+    """Quarterly series with a season of four rows, the others with one of twelve."""
+    rows = by_month(spark, d)
+    parts = [H.shock_forecast(rows.filter(cond), START, END, method, season=n) for cond, n in (("series_id = 'LEVEL'", 4), ("series_id <> 'LEVEL'", 12))]
+    return parts[0].unionByName(parts[1]).withColumn("forecast", F.round("forecast", D))
+
+
 @add("shock_adjust_binary", f"SELECT panel, series_id, date, CASE WHEN date BETWEEN DATE '{START}' AND DATE '{END}' THEN 0.0::DOUBLE ELSE value END AS value_adj FROM obs WHERE series_id = 'FLAG'")
 def shock_adjust_binary(spark, d):
     return H.shock_adjust_binary(some(spark, d, "FLAG"), ["FLAG"], START, END).select("panel", "series_id", "date", "value_adj")
 
 
-@add("shock_forecast", "SELECT panel, series_id, date, round(forecast, 4) AS forecast FROM fs WHERE series_id IN ('RATE3', 'SECTOR_A', 'POP')", STD)
+@add("shock_forecast", "SELECT panel, series_id, date, round(forecast, 4) AS forecast FROM fm", MONTHLY)
 def shock_forecast(spark, d):
-    return H.shock_forecast(some(spark, d, "RATE3", "SECTOR_A", "POP"), START, END).withColumn("forecast", F.round("forecast", 4))
+    return H.shock_forecast(by_month(spark, d), START, END).withColumn("forecast", F.round("forecast", 4))
 
 
-SEASONAL = f"""SELECT a.panel, a.series_id, a.date, b.value AS forecast FROM ns a JOIN (SELECT panel, series_id, COUNT(*) AS c FROM ns WHERE date < DATE '{START}' GROUP BY 1, 2 HAVING COUNT(*) >= 12) k USING (panel, series_id)
-JOIN ns b ON b.panel = a.panel AND b.series_id = a.series_id AND b.n = k.c - 11 + (a.n - k.c - 1) % 12 WHERE a.date >= DATE '{START}' AND a.series_id IN ('RATE3', 'SECTOR_A')"""
+SEASON = "CASE WHEN series_id = 'LEVEL' THEN 4 ELSE 12 END"
+SEASONAL = f"""SELECT a.panel, a.series_id, a.date, round(b.value, {D}) AS forecast FROM nm a JOIN (SELECT panel, series_id, {SEASON} AS season, COUNT(*) AS c FROM nm WHERE date < DATE '{START}' GROUP BY 1, 2 HAVING COUNT(*) >= greatest(8, {SEASON})) k USING (panel, series_id)
+JOIN nm b ON b.panel = a.panel AND b.series_id = a.series_id AND b.n = k.c - k.season + 1 + (a.n - k.c - 1) % k.season WHERE a.date >= DATE '{START}'"""
 
 
-@add("shock_forecast_seasonal", SEASONAL, STD)
+@add("shock_forecast_seasonal", SEASONAL, MONTHLY)
 def shock_forecast_seasonal(spark, d):
-    return H.shock_forecast(some(spark, d, "RATE3", "SECTOR_A"), START, END, "seasonal_naive")
+    return by_season(spark, d, "seasonal_naive")
 
 
 @add("shock_forecast_arima")
 def shock_forecast_arima(spark, d):
-    return H.shock_forecast(some(spark, d, "RATE3", "SECTOR_A"), START, END, "arima")
+    return by_season(spark, d, "arima")
 
 
-@add("taper_blend", f"SELECT panel, series_id, date, round({TAPER}, 4) AS adjusted FROM fs WHERE series_id = 'SECTOR_B'", STD)
+@add("taper_blend", f"SELECT panel, series_id, date, round({TAPER}, 4) AS adjusted FROM fm", MONTHLY)
 def taper_blend(spark, d):
-    obs = some(spark, d, "SECTOR_B")
+    obs = by_month(spark, d)
     both = H.shock_forecast(obs, START, END).join(obs, ["panel", "series_id", "date"])
     return both.select("panel", "series_id", "date", F.round(H.taper_blend(F.col("date"), F.col("forecast"), F.col("value"), END), 4).alias("adjusted"))
 
@@ -96,7 +113,7 @@ LEFT JOIN (SELECT panel, series_id, date, {TAPER} AS new FROM fs) s ON s.panel =
 
 
 def adjusted(spark, d):
-    return H.shock_adjust_all(observations(spark, d), metadata(spark), START, END, ("FLAG",))
+    return H.shock_adjust_all(kept(observations(spark, d), "observations"), metadata(spark), START, END, ("FLAG",))
 
 
 @add("shock_adjust_all", "SELECT panel, series_id, date, round(value_adj, 3) AS value_adj FROM adj", f"{DAILY}, {linear('obs', 8, 's')}, {ALL}")
@@ -180,7 +197,7 @@ def impute_train_median(spark, d):
 
 
 def matrix(spark, d):
-    return X.feature_matrix(observations(spark, d), rollup(spark, d, EARLY), ROLES, cutoff=CUTOFF)
+    return X.feature_matrix(kept(observations(spark, d), "observations"), rollup(spark, d, EARLY), ROLES, cutoff=CUTOFF)
 
 
 @add("feature_matrix", f"SELECT panel, month, {r6sql(*X.FEATURES)}, label, CAST(flag_raw AS INTEGER) AS flag_actual FROM done", FEATS)
@@ -211,7 +228,7 @@ def evaluate_classifier(spark, d):
 
 def logistic(spark, d):
     train, test = X.time_split(matrix(spark, d), CUTOFF)
-    return M.train_logistic(train.cache(), list(X.FEATURES)), test
+    return M.train_logistic(kept(train, "train"), list(X.FEATURES)), test
 
 
 @add("train_logistic")
@@ -220,18 +237,23 @@ def train_logistic(spark, d):
     return spark.createDataFrame(list(model.weights.items()), "feature string, weight double")
 
 
+def tuned(train):
+    """Fewer settings and folds than the operator's defaults, which take minutes whatever the size of the tables."""
+    return M.train_forest(train, list(X.FEATURES), grid=((10, 20), (3,), (5,)), folds=2)
+
+
 @add("train_forest")
 def train_forest(spark, d):
     train, _ = X.time_split(matrix(spark, d), CUTOFF)
-    model = M.train_forest(train, list(X.FEATURES), grid=((10, 20), (3,), (5,)), folds=2)
+    model = tuned(train)
     return spark.createDataFrame(list(model.weights.items()), "feature string, importance double")
 
 
 @add("select_and_score")
 def select_and_score(spark, d):
-    rows = matrix(spark, d).cache()
+    rows = kept(matrix(spark, d), "matrix")
     train, test = X.time_split(rows, CUTOFF)
-    models = [M.train_logistic(train, list(X.FEATURES)), M.forest(train, list(X.FEATURES), "label", 20, 5, 5)]
+    models = [M.train_logistic(train, list(X.FEATURES)), tuned(train)]
     aucs = [M.evaluate_classifier(m.score(test)).first()["auc"] for m in models]
     return M.select_and_score(models, aucs, rows)
 
@@ -321,7 +343,7 @@ def graded_sql(where: str) -> str:
 
 
 def claim_obs(spark, d):
-    return observations(spark, d).select("panel", F.concat_ws(".", "panel", "series_id").alias("metric"), "series_id", "date", "value", "value_adj")
+    return kept(observations(spark, d), "observations").select("panel", F.concat_ws(".", "panel", "series_id").alias("metric"), "series_id", "date", "value", "value_adj")
 
 
 def claims(spark, d):
@@ -436,11 +458,11 @@ def verify_citations(spark, d):
 def narrated(spark, d):
     """Documents that cite their own number and one that is not provided."""
     docs = table(spark, d, "documents").filter("text is not null")
-    head = F.trim(F.regexp_replace(F.substring("text", 1, 80), r"[\s\[\]$\\]+", " "))
+    head = F.trim(F.regexp_replace("text", r"[\s\[\]$\\]+", " "))
     return docs.select(F.col("doc_id").alias("narrative_id"), F.concat(head, F.lit("  [ref:"), "doc_id", F.lit("] , end [ref:999999].")).alias("text"), F.col("text").alias("content"))
 
 
-HEAD = "trim(regexp_replace(substr(text, 1, 80), '[\\s\\[\\]$\\\\]+', ' ', 'g'))"
+HEAD = "trim(regexp_replace(text, '[\\s\\[\\]$\\\\]+', ' ', 'g'))"
 
 
 @add("extract_citations", f"SELECT doc_id AS narrative_id, trim(regexp_replace(regexp_replace({HEAD} || '   , end [ref:999999].', '[ \\t\\r\\f\\v]{{2,}}', ' ', 'g'), '[ \\t\\r\\f\\v]+([,.;:!?])', '\\1', 'g')) AS text, 1 AS records, 1 AS warnings FROM documents WHERE text IS NOT NULL", "")
@@ -456,7 +478,7 @@ def extract_citations(spark, d):
 def validate_narratives(spark, d):
     k = F.col("doc_id") % 4
     said = F.when(k == 1, " rates are driving it").when(k == 2, " Seasonally adjusted figures").otherwise(" nothing")
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("narrative_id"), F.concat("source", said).alias("text"), F.when(k == 3, 3).otherwise(0).alias("citations"), F.lit(True).alias("had_refs"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("narrative_id"), F.concat(F.coalesce("text", F.lit("")), said).alias("text"), F.when(k == 3, 3).otherwise(0).alias("citations"), F.lit(True).alias("had_refs"))
     return K.validate_narratives(rows).select("narrative_id", F.array_join("warnings", "; ").alias("warnings"))
 
 

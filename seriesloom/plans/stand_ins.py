@@ -95,8 +95,8 @@ def stories(spark: SparkSession, sf_dir: str, start: str = "2022-01-01") -> Data
     base = docs.select(
         F.col("doc_id").alias("story_id"),
         F.add_months(F.lit(start).cast("date"), (F.col("doc_id") % 48).cast("int")).alias("month"),
-        F.substring(title, 1, 200).alias("title"),
-        F.substring(F.col("text"), F.length(title) + 2, F.lit(500)).alias("text_excerpt"),
+        title.alias("title"),
+        F.substring(F.col("text"), F.length(title) + 2, F.length("text")).alias("text_excerpt"),
         F.col("n_chars").alias("score"),
         (F.col("doc_id") % 17).alias("num_comments"),
         F.array("source").alias("matched_queries"),
@@ -107,7 +107,7 @@ def stories(spark: SparkSession, sf_dir: str, start: str = "2022-01-01") -> Data
 
 def stories_sql(start: str = "2022-01-01") -> str:
     return f"""stories AS (SELECT d.doc_id AS story_id, CAST(DATE '{start}' + to_months(CAST(d.doc_id % 48 AS INTEGER)) AS DATE) AS month,
-substr(split_part(text, chr(10), 1), 1, 200) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2, 500) AS text_excerpt, n_chars AS score,
+split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS text_excerpt, n_chars AS score,
 d.doc_id % 17 AS num_comments, source, coalesce(l.quality, 0)::DOUBLE AS positive, coalesce(l.toxic, 0)::DOUBLE AS negative FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 scored AS (SELECT *, CASE WHEN gone THEN 0 ELSE positive - negative END AS sentiment_score, CASE WHEN gone THEN 'neutral' WHEN positive > negative THEN 'positive' WHEN negative > positive THEN 'negative' ELSE 'neutral' END AS sentiment_label
 FROM (SELECT *, trim(title) IN ('[deleted]', '[dead]', '[flagged]') AND trim(text_excerpt) = '' AS gone FROM stories)),

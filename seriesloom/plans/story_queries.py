@@ -11,6 +11,7 @@ from ..operators import retrieval as R
 from ..operators import stories as S
 from ..operators import topics as T
 from ..streaming import rollup as U
+from ..sources.scratch import scratch_path
 from .stand_ins import OBS, WORDS, observations, stories, stories_sql, table
 
 QUERIES: dict = {}
@@ -199,8 +200,8 @@ def tfidf_vocabulary(spark, d):
 
 
 def factors(spark, d, iters=8):
-    weights, vocab = T.tfidf(T.tokenize(documents(spark, d), STOPS), max_features=500)
-    return T.nmf_topics(weights, vocab, k=4, iters=iters)
+    weights, vocab = T.tfidf(T.tokenize(documents(spark, d), STOPS))
+    return T.nmf_topics(weights, vocab, k=8, iters=iters)
 
 
 @add("nmf_topics")
@@ -336,11 +337,7 @@ DAYS = "SELECT CAST(ts AS DATE) AS day, round(AVG(value), 6) AS mean_sentiment,
 @add("stream_monthly_rollup", DAYS, "")
 def stream_monthly_rollup(spark, d):
     """Events as an unbounded stream of stories; the days that are complete when the stream has been read."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seriesloom-")
-    here = f"{base}/stream-{uuid.uuid4().hex}"
+    here = scratch_path(spark, "stream")
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     shaped = stream.select(F.col("event_id").alias("story_id"), F.col("ts").alias("created_utc"), F.col("event_type").alias("title"), F.lit("").alias("text_excerpt"), F.col("value").alias("sentiment_score"))

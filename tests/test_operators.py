@@ -183,3 +183,21 @@ def test_claims_on_twelve_months(spark):
     claims = spark.createDataFrame([(i, m, a, v, t, "2024-01", "2024-12", False, True) for i, m, a, v, t in rows], "claim_id long, metric string, aggregation string, value double, threshold double, period_start string, period_end string, per_capita boolean, use_raw boolean")
     got = {r.claim_id: r.passed for r in K.judged_claims(claims, parts, (*K.BOUNDARY, *K.COUNTS), 2).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: False}
+
+
+def test_scoring_after_an_observed_export(spark, tmp_path):
+    """An Observation of the session must not get into scoring; and the arithmetic is that of the fitted model."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    from seriesloom.operators import model as M
+
+    rows = spark.createDataFrame([(float(i % 7), 1.0, float((i * 5) % 3), int(i % 7 > 3 or i % 11 == 0)) for i in range(80)], "a double, b double, c double, label int")
+    seen = Observation("rows")
+    rows.observe(seen, F.count("*").alias("n")).write.csv(str(tmp_path / "out"))
+    assert seen.get["n"] == 80
+    model = M.train_logistic(rows, ["a", "b", "c"])
+    got = model.score(rows).collect()
+    assert {r.prediction for r in got} == {0, 1} and all((r.probability > 0.5) == (r.prediction == 1) for r in got)
+    assert model.score(rows.withColumn("a", F.lit(None).cast("double"))).first().probability is None
+    grown = M.forest(rows, ["a", "b", "c"], "label", 5, 3, 1)
+    assert {r.prediction for r in grown.score(rows).collect()} == {0, 1}
