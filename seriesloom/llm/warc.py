@@ -28,6 +28,11 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def record_id(kind: str, page_id: int | None) -> str:
+    """A page's record id, the same in every run: what a revisit refers to is found by it. Pages that repeat an id share it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}')}>"
+
+
 def header(lines: list[tuple[str, object]]) -> bytes:
     clean = lambda v: str(v).replace("\r", "%0D").replace("\n", "%0A")
     return ("WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in lines if v is not None) + "\r\n").encode()
@@ -75,13 +80,14 @@ def write_archives(pages: DataFrame, uri: str | None = None, file_bytes: int = F
                 head = header(
                     [
                         ("WARC-Type", "response" if refers is None else "revisit"),
-                        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+                        ("WARC-Record-ID", record_id("response" if refers is None else "revisit", page_id)),
                         ("WARC-Target-URI", url.as_py()),
                         ("WARC-Date", "1970-01-01T00:00:00Z"),
                         ("X-Page-Id", page_id),
+                        ("X-Refers-To-Page-Id", refers),
                         ("WARC-Payload-Digest", f"sha256:{digest.as_py()}"),
                         ("X-Payload-Length", n.as_py()),
-                        ("WARC-Refers-To", None if refers is None else f"<urn:page:{refers}>"),
+                        ("WARC-Refers-To", None if refers is None else record_id("response", refers)),
                         ("WARC-Profile", None if refers is None else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
                         ("Content-Type", "application/http;msgtype=response"),
                         ("Content-Length", len(http) + len(body)),
@@ -122,9 +128,9 @@ def records_of(stream, chunk: int, with_data: bool) -> Iterator[tuple]:
             if line in (b"\r\n", b"\n", b""):
                 break
         page = int(fields["x-page-id"]) if "x-page-id" in fields else None
-        kind, refers = fields["warc-type"], fields.get("warc-refers-to", "")
+        kind, refers = fields["warc-type"], fields.get("x-refers-to-page-id")
         stated = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-        refers = int(refers[10:-1]) if refers.startswith("<urn:page:") else None
+        refers = None if refers is None else int(refers)
         if kind == "revisit":
             yield page, kind, refers, stated, 0, True, int(fields["x-payload-length"]), stated, None
         else:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from seriesloom.llm import warc
 
@@ -36,3 +37,15 @@ def test_empty_and_null_ids(spark):
     assert [r.record_type for r in got] == ["response"] * 2
     got = warc.archived(spark.createDataFrame([(None, "u", SAME, None), (1, "u", SAME, None)], SCHEMA)).collect()
     assert sorted((r.page_id is None, r.refers_to) for r in got) == [(False, None), (True, 1)]
+
+
+def test_revisits_name_the_record_of_their_response(spark):
+    ids, refers = {}, {}
+    for r in warc.write_archives(warc.revisits(spark.createDataFrame(ROWS, SCHEMA))).collect():
+        for block in re.split(rb"(?:^|\r\n\r\n)WARC/1\.1\r\n", open(r.file, "rb").read()):
+            lines = dict(x.split(": ", 1) for x in block.decode(errors="replace").split("\r\n") if x.startswith(("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "X-Page-Id")))
+            if "WARC-Record-ID" in lines:
+                ids[lines["WARC-Record-ID"]] = lines["WARC-Type"], int(lines["X-Page-Id"])
+                if "WARC-Refers-To" in lines:
+                    refers[int(lines["X-Page-Id"])] = lines["WARC-Refers-To"]
+    assert len(ids) == len(ROWS) and {p: ids[x] for p, x in refers.items()} == {5: ("response", 3), 9: ("response", 3)}
