@@ -1,7 +1,7 @@
 """Language-model scores: causal self-attention over subword ids, with corpus-wide subword statistics beside it.
 
 Every text is scored whole, in overlapping windows that score each token once. What is counted (words, subwords, pairs of
-subwords) covers all training documents; the attention weights are trained in each partition and averaged.
+subwords) covers all training documents; the attention weights are trained on all of them, in shards, and averaged.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CONTEXT, STRIDE = 32, 32
 WIDTH = 16
 #: A bounded sample starts the attention weights, which all training documents then train.
 FIRST_DOCUMENTS, FIRST_CHARS = 600, 3000
+#: Documents of a shard that trains by itself, and of one call of the training.
+SHARD, TOGETHER = 4_096, 64
 VOCABULARY, END = 50_257, 50_256
 ADD = 0.1
 
@@ -115,7 +117,11 @@ def fresh(classes: int = CLASSES, seed: int = 5) -> Attention:
     return Attention(f(SYMBOLS + 1, d, by=0.5), f(CONTEXT + STRIDE, d, by=0.1), f(2, d, by=0.1), *(f(d, d, by=d**-0.5) for _ in range(5)), np.zeros((d, classes), np.float32), np.zeros(classes, np.float32))
 
 
-MASK = np.where(np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(CONTEXT, CONTEXT + STRIDE)[:, None], 0, -1e9).astype(np.float32)
+#: What each place of a window may see; windows for scoring score the last STRIDE places, those for training all.
+CAUSAL = np.where(np.tri(CONTEXT + STRIDE, dtype=bool), 0, -1e9).astype(np.float32)
+#: The same as a cap of scores, beyond which exp() would no longer be finite.
+CAP = np.where(CAUSAL < 0, CAUSAL, 60).astype(np.float32)
+SCALE = np.float32(WIDTH**-0.5)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -126,24 +132,33 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def forward(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndarray) -> tuple:
-    """inputs: (windows, CONTEXT + STRIDE) of the symbols before each position; of the scored positions, begins: 1 where a word
+    """inputs: (windows, CONTEXT + STRIDE) of the symbols before each position; of the scored (last) positions, begins: 1 where a word
     begins, and prior: logarithms of the classes' probabilities by the pair statistics. The last item: class probabilities.
 
     What attention gives is added to the prior's logarithms, so untrained weights leave the pair statistics as they are.
     """
-    e = m.symbol[inputs] + m.place
-    eq = e[:, CONTEXT:] + m.begin[begins]
-    q, k, v = eq @ m.query, e @ m.key, e @ m.value
+    n, d = len(inputs), WIDTH
+    first = inputs.shape[1] - begins.shape[1]
+    two, three = (lambda x: x.reshape(-1, d)), (lambda x: x.reshape(n, -1, d))
+    e = m.symbol[inputs]
+    e += m.place
+    eq = e[:, first:] + m.begin[begins]
+    q, k, v = three(two(eq) @ (m.query * SCALE)), three(two(e) @ m.key), three(two(e) @ m.value)
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += MASK
-    a = softmax(a)
+    np.minimum(a, CAP[first:], out=a)
+    np.exp(a, out=a)
+    a *= 1 / (a.sum(-1, keepdims=True) + np.float32(1e-30))
     o = a @ v
-    t = np.tanh(eq @ m.skip + o @ m.mix)
-    return e, eq, q, k, v, a, o, t, softmax(t @ m.out + m.bias + prior)
-
-
-CAP = np.where(MASK < 0, MASK, 60).astype(np.float32)
+    t = two(eq) @ m.skip
+    t += two(o) @ m.mix
+    np.tanh(t, out=t)
+    p = t @ m.out
+    np.clip(p, -40, 40, out=p)
+    p += m.bias
+    p += prior.reshape(p.shape)
+    np.exp(p, out=p)
+    p *= 1 / p.sum(-1, keepdims=True)
+    return e, eq, q, k, v, a, o, three(t), p.reshape(n, -1, p.shape[-1])
 
 
 def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -159,7 +174,7 @@ def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.n
     flat = e.reshape(-1, d)
     q = (eq @ (m.query * np.float32(d**-0.5))).reshape(n, STRIDE, d)
     a = q @ (flat @ m.key).reshape(n, -1, d).transpose(0, 2, 1)
-    np.minimum(a, CAP, out=a)
+    np.minimum(a, CAP[CONTEXT:], out=a)
     np.exp(a, out=a)
     v = np.ones((len(flat), d + 1), np.float32)  # the last column sums up what each position gives out
     np.matmul(flat, m.value, out=v[:, :d])
@@ -180,27 +195,29 @@ def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.n
 def gradients(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy of the scored positions that are valid, and its gradients."""
     e, eq, q, k, v, a, o, t, p = forward(m, inputs, begins, prior)
-    d = WIDTH
     n = max(1, int(valid.sum()))
-    i, j = np.indices(targets.shape)
-    loss = float(-(np.log(p[i, j, targets] + 1e-9) * valid).sum() / n)
-    p[i, j, targets] -= 1
-    p *= (valid / n)[..., None].astype(np.float32)
     two = lambda x: x.reshape(-1, x.shape[-1])
-    dz = (p @ m.out.T) * (1 - t * t)
-    do, deq = dz @ m.mix.T, dz @ m.skip.T
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(d**-0.5)
+    back = lambda x: x.reshape(len(inputs), -1, WIDTH)
+    p2, at = two(p), (np.arange(targets.size), targets.ravel())
+    loss = float(-(np.log(p2[at] + 1e-9) * valid.ravel()).sum() / n)
+    p2[at] -= 1
+    p2 *= (valid.ravel() / n).astype(np.float32)[:, None]
+    dz = back((p2 @ m.out.T) * (1 - two(t) ** 2))
+    do, deq = back(two(dz) @ m.mix.T), back(two(dz) @ m.skip.T)
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (do * o).sum(-1, keepdims=True)
+    ds *= a
     dv, dq, dk = a.transpose(0, 2, 1) @ do, ds @ k, ds.transpose(0, 2, 1) @ q
-    de = dk @ m.key.T + dv @ m.value.T
-    deq += dq @ m.query.T
-    de[:, CONTEXT:] += deq
-    g_symbol, g_begin = np.zeros_like(m.symbol), np.stack([deq[begins == k].sum(0) for k in (0, 1)])
-    np.add.at(g_symbol, inputs.ravel(), two(de))
+    dq *= SCALE
+    de = back(two(dk) @ m.key.T + two(dv) @ m.value.T)
+    deq += back(two(dq) @ m.query.T)
+    de[:, -deq.shape[1] :] += deq
+    g_begin = np.stack([deq[begins == k].sum(0) for k in (0, 1)])
+    g_symbol = np.stack([np.bincount(inputs.ravel(), column, SYMBOLS + 1) for column in two(de).T], 1).astype(np.float32)
     return loss, [g_symbol, de.sum(0), g_begin, two(eq).T @ two(dq), two(e).T @ two(dk), two(e).T @ two(dv), two(eq).T @ two(dz), two(o).T @ two(dz), two(t).T @ two(p), two(p).sum(0)]
 
 
-def train(m: Attention, examples: Examples, passes: int, rate: float, batch: int = 64, seed: int = 5) -> Attention:
+def train(m: Attention, examples: Examples, passes: int, rate: float, batch: int = 32, seed: int = 5) -> Attention:
     """Adam, with a rate that falls to a tenth."""
     inputs = examples.inputs
     m = m.filled(m.flat())
@@ -259,18 +276,20 @@ class Model:
         total = np.concatenate(([0], np.cumsum(lengths)))
         return ids, begins, total[ends] - total[np.concatenate(([0], ends[:-1]))]
 
-    def windows(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """inputs (windows, CONTEXT + STRIDE), and where each scored position lies in ids (windows, STRIDE), with -1 past a text's end."""
-        counts = -(-sizes // STRIDE)
+    def windows(self, ids: np.ndarray, sizes: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """inputs (windows, CONTEXT + STRIDE), and where each scored position lies in ids, with -1 past a text's end: all but the
+        first context ones, so each id is scored once."""
+        stride = CONTEXT + STRIDE - context
+        counts = -(-sizes // stride)
         owner = np.repeat(np.arange(len(sizes)), counts)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         begin = (np.cumsum(sizes) - sizes)[owner]
-        within = number[:, None] * STRIDE + np.arange(-CONTEXT, STRIDE)  # the position that each input stands before
+        within = number[:, None] * stride + np.arange(-context, stride)  # the position that each input stands before
         before = within - 1
         symbols = self.symbol[ids]
         ok = (before >= 0) & (before < sizes[owner][:, None])
         inputs = np.where(ok, symbols[np.clip(begin[:, None] + before, 0, len(ids) - 1)], START)
-        scored = within[:, CONTEXT:]
+        scored = within[:, context:]
         return inputs, np.where(scored < sizes[owner][:, None], begin[:, None] + scored, -1), owner
 
     def before(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -278,7 +297,7 @@ class Model:
         return np.where(begins, START, np.concatenate(([START], self.symbol[ids][:-1])))
 
     def examples(self, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Examples:
-        inputs, where, _ = self.windows(ids, sizes)
+        inputs, where, _ = self.windows(ids, sizes, 0)
         at = np.maximum(where, 0)
         return Examples(inputs, self.before(ids, begins)[at], self.kind[ids[at]], where >= 0, self.prior)
 
@@ -363,30 +382,51 @@ def shares_of(group: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def averaged(docs: DataFrame, model: Model, text: str, path: str, pattern: str, rate: float = 0.003, shards: int = 32) -> Attention:
-    """Attention weights trained on from model's in each partition, and their mean by trained windows.
+def averaged(docs: DataFrame, model: Model, text: str, path: str, pattern: str, doc_id: str = "doc_id", n_docs: int | None = None, rate: float = 0.003, sums: int = 32) -> Attention:
+    """Attention weights trained on from model's in each shard of about SHARD documents, and their mean by trained windows.
 
-    A partition sends one vector of weights; they are summed in shards before the driver gets at most so many.
+    The shard of a document is a hash of its id and text, and a shard is trained in the order of those: so the weights are a
+    function of the table, whatever its files and partitions. A task sums the weights of its shards to one vector; these are
+    summed again in a fixed number of groups before the driver gets them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    n_docs = docs.count() if n_docs is None else n_docs
+    shards = max(1, -(-n_docs // SHARD))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pieces, now, seen = shared.value, word_pieces(path, pattern), shared.value.attention, 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                texts = [words_of(t) for t in batch.column(0).slice(a, 64).to_pylist()]
-                examples = m.examples(*m.encode(pieces, texts))
+        m, pieces = shared.value, word_pieces(path, pattern)
+        total, windows = np.zeros(m.attention.flat().size), 0
+        shard, held, now, seen = None, [], m.attention, 0
+
+        def learn() -> None:
+            nonlocal held, now, seen
+            if held:
+                examples = m.examples(*m.encode(pieces, [words_of(t) for t in held]))
                 now = train(now, examples, 1, rate)
-                seen += len(examples.inputs)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % shards]), pa.array([seen]), pa.array([now.flat().astype(np.float64) * seen], pa.list_(pa.float64()))], names=["shard", "n", "w"])
+                held, seen = [], seen + len(examples.inputs)
+
+        for batch in batches:
+            for number, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number != shard:
+                    learn()
+                    total, windows = total + now.flat().astype(np.float64) * seen, windows + seen
+                    shard, now, seen = number, m.attention, 0
+                held.append(whole)
+                if len(held) == TOGETHER:
+                    learn()
+        learn()
+        total, windows = total + now.flat().astype(np.float64) * seen, windows + seen
+        if windows:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % sums]), pa.array([windows]), pa.array([total], pa.list_(pa.float64()))], names=["shard", "n", "w"])
 
     def add(table: pa.Table) -> pa.Table:
         w = sum(np.asarray(x.values) for x in table.column("w"))
         return pa.table({"n": [sum(table.column("n").to_pylist())], "w": pa.array([w], pa.list_(pa.float64()))})
 
-    rows = docs.select(text).mapInArrow(run, "shard long, n long, w array<double>").groupBy("shard").applyInArrow(add, "n long, w array<double>").collect()
+    dealt = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).alias("_shard"), F.col(text).alias("_text"), F.col(doc_id).alias("_id"))
+    dealt = dealt.repartition("_shard").sortWithinPartitions("_shard", "_id", "_text").select("_shard", "_text")
+    rows = dealt.mapInArrow(run, "shard long, n long, w array<double>").groupBy("shard").applyInArrow(add, "n long, w array<double>").collect()
     if not rows:
         return model.attention
     return model.attention.filled(sum(np.array(r["w"]) for r in rows) / sum(r["n"] for r in rows))
@@ -415,7 +455,7 @@ def fit(train_docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]],
     some = train_docs.filter(F.pmod(F.xxhash64(doc_id, F.lit(2)), F.lit(1 << 30)) < int((1 << 30) * share)).select(F.substring(F.col(text), at, F.lit(FIRST_CHARS)).alias("t")).limit(2 * FIRST_DOCUMENTS)
     texts = [words_of(t) for t in sorted(r["t"] or "" for r in some.collect())] or [[]]
     model.attention = train(model.attention, model.examples(*model.encode(pieces, texts)), 2, 0.01)
-    model.attention = averaged(train_docs, model, text, path, pattern)
+    model.attention = averaged(train_docs, model, text, path, pattern, doc_id, n_docs)
     return model
 
 

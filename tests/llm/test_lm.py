@@ -146,3 +146,19 @@ def test_all_training_documents_train_the_attention(spark, monkeypatch):
     docs = [(d, t) for d, t in corpus() if zlib.crc32(str("" if d is None else d).encode()) % 10]
     lm.score_documents(spark.createDataFrame([(d, t, "en", None) for d, t in corpus()], SCHEMA), PATH, PATTERN).collect()
     assert Counter(reached) == Counter(t for _, t in docs)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Several shards, over other files and partitions in another order: the same scores."""
+    monkeypatch.setattr(lm, "SHARD", 20)
+    docs = spark.createDataFrame([(i, t, "en", None) for i, t in corpus()], SCHEMA)
+    of = lambda frame: {r.doc_id: r.score for r in lm.score_documents(frame, PATH, PATTERN).collect()}
+    one, other = of(docs.coalesce(1)), of(docs.repartition(7, "lang", "text"))
+    assert one.keys() == other.keys() and all(math.isclose(one[i], other[i], rel_tol=1e-6) for i in one)
+
+
+def test_long_texts_are_scored_whole(spark):
+    long = "the quiet river " * 40_000
+    docs = spark.createDataFrame([(1, long, "en", None), (2, "the quiet river", "en", None), (10, long + "zebra", "en", None)], SCHEMA)
+    got = {r.doc_id: r for r in lm.score_documents(docs, PATH, PATTERN).collect()}
+    assert (got[1].n_tokens, got[10].n_tokens) == (120_001, 120_002) and got[10].score < got[1].score < got[2].score
