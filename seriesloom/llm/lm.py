@@ -34,7 +34,7 @@ WIDTH = 16
 #: A bounded sample starts the attention weights, which all training documents then train.
 FIRST_DOCUMENTS, FIRST_CHARS = 600, 3000
 #: Documents of a shard that trains by itself, and of one call of the training.
-SHARD, TOGETHER = 4_096, 64
+SHARD, TOGETHER = 1_024, 64
 VOCABULARY, END = 50_257, 50_256
 ADD = 0.1
 
@@ -425,7 +425,8 @@ def averaged(docs: DataFrame, model: Model, text: str, path: str, pattern: str,
         return pa.table({"n": [sum(table.column("n").to_pylist())], "w": pa.array([w], pa.list_(pa.float64()))})
 
     dealt = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).alias("_shard"), F.col(text).alias("_text"), F.col(doc_id).alias("_id"))
-    dealt = dealt.repartition("_shard").sortWithinPartitions("_shard", "_id", "_text").select("_shard", "_text")
+    # A partition for each shard or so: by size alone there would be few, and training is long.
+    dealt = dealt.repartition(min(shards, 10_000), "_shard").sortWithinPartitions("_shard", "_id", "_text").select("_shard", "_text")
     rows = dealt.mapInArrow(run, "shard long, n long, w array<double>").groupBy("shard").applyInArrow(add, "n long, w array<double>").collect()
     if not rows:
         return model.attention
