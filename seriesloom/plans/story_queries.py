@@ -119,7 +119,7 @@ def monthly_sentiment_rollup(spark, d):
     return rollup(spark, d).withColumn("mean_sentiment", F.round("mean_sentiment", D))
 
 
-@add("top_k_reference_stories", "SELECT '_SOCIAL' AS series_id, 'social:hn:' || story_id AS doc_type, title, CASE WHEN trim(text_excerpt) = '' THEN title ELSE title || chr(10) || chr(10) || trim(text_excerpt) END AS content FROM stories QUALIFY ROW_NUMBER() OVER (PARTITION BY month ORDER BY score DESC, story_id) <= 5")
+@add("top_k_reference_stories", "SELECT '_SOCIAL' AS series_id, 'social:hn:' || story_id AS doc_type, substr(title, 1, 240) AS title, CASE WHEN trim(text_excerpt) = '' THEN title ELSE title || chr(10) || chr(10) || trim(text_excerpt) END AS content FROM stories QUALIFY ROW_NUMBER() OVER (PARTITION BY month ORDER BY score DESC, story_id) <= 5")
 def top_k_reference_stories(spark, d):
     return S.top_k_reference_stories(stories(spark, d))
 
