@@ -202,6 +202,7 @@ def parse_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     Claims without metric_type, series_id or a numeric expected_value are left out; only a date_range of two counts.
     """
     text = F.col("text")
+    # Fixed value: the pattern of a fenced block.
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     parsed = [F.when(F.get_json_object(c, "$").startswith("{"), F.from_json(c, RESPONSE)) for c in (text, fenced, braces)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 4
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 BLANK_LINE = re.compile(r"\n\s*\n")
-#: Queries are compared with all vectors in blocks of so many.
-QUERY_BLOCK = 4096
+#: Blocks of so many queries meet blocks of so many vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 4_096, 32_768
 
 
 def size_of(text: str) -> int:
@@ -33,31 +35,27 @@ def units_of(text: str, most: int) -> Iterator[str]:
             yield from (s for s in map(str.strip, SENTENCE_END.split(p)) if s)
 
 
+def ranges_of(sizes: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of units, each as long as fits into most (a first unit that is too long stands alone).
+
+    A range that took more than overlap units hands its last ones on, and what follows them is taken whatever its size.
+    """
+    upto = [0, *itertools.accumulate(sizes)]
+    start = carried = 0
+    while start + carried < len(sizes):
+        end = max(start + carried + 1, bisect.bisect_right(upto, upto[start] + most) - 1)
+        yield start, end
+        carried = overlap if 0 < overlap < end - start else 0
+        start = end - carried
+
+
 def chunks_of(text: str | None, most: int = 200, overlap: int = 1) -> list[str]:
-    """Units packed in order up to most tokens each; a chunk begins with the last units of the one before, if that had more of them."""
+    """The text whole if it has at most most tokens, else its units joined by ranges_of(); a blank text has none."""
     text = (text or "").strip()
-    if not text:
-        return []
     if size_of(text) <= most:
-        return [text]
-    out: list[str] = []
-    held: list[str] = []
-
-    def close() -> list[str]:
-        if held:
-            out.append(" ".join(held).strip())
-        return held[-overlap:] if 0 < overlap < len(held) else []
-
-    for unit in units_of(text, most):
-        n = size_of(unit)
-        if held and sum(map(size_of, held)) + n > most:
-            held = close()
-        elif not held and n > most:
-            out.append(unit)
-            continue
-        held.append(unit)
-    close()
-    return [c for c in out if c]
+        return [text] if text else []
+    units = list(units_of(text, most))
+    return [" ".join(units[a:b]) for a, b in ranges_of([size_of(u) for u in units], most, overlap)]
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = 200, overlap: int = 1) -> DataFrame:
@@ -75,7 +73,7 @@ def hashed_encoder(texts: list[str], size: int = 64) -> np.ndarray:
     out = np.zeros((len(texts), size), np.float32)
     for i, text in enumerate(texts):
         for word in text.lower().split():
-            out[i, zlib.crc32(word.encode()) % size] += 1
+            out[i, int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % size] += 1
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -90,61 +88,57 @@ def embed_chunks(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray] =
     return chunks.select(F.concat_ws("::", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", embed(F.col("text")).alias("embedding"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def blocks_for(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
 
 
 def knn_retrieve(vectors: DataFrame, queries: DataFrame, k: int = 5, hint_col: str | None = None, metric: str = "cosine") -> DataFrame:
     """query_id, doc_id, rank, distance: the k nearest vectors (doc_id, embedding) of each query (query_id, embedding[, hint]).
 
-    With hint_col a query with a hint only meets vectors of that value; if there is none it meets all. Vectors are compared with
-    a block of queries at a time; each task keeps k for each query, so what is ranked does not grow with the vectors' number.
+    With hint_col a query with a hint only meets vectors of that value; if there is none it meets all. Blocks of queries meet
+    blocks of vectors, each pair of blocks in a group of its own, which keeps k rows for each query; so neither the driver nor a
+    task holds more than a block of either side.
     """
-    n = queries.count()
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))))
-    columns = ["query_id", "embedding", *(["hint"] if hint_col else [])]
-    found = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        rows = numbered.filter(F.col("_block") == block).select(columns).collect()  # a block of the stated queries
-        part = search(vectors, rows, k, hint_col, metric)
-        if hint_col:
-            missed = {r["query_id"] for r in rows if r["hint"] is not None} - {r["query_id"] for r in part.select("query_id").distinct().collect()}
-            if missed:
-                part = part.unionByName(search(vectors, [r for r in rows if r["query_id"] in missed], k, None, metric))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def search(vectors: DataFrame, rows: list, k: int, hint_col: str | None, metric: str) -> DataFrame:
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    q = np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1)
-    hints = [r["hint"] if hint_col else None for r in rows]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            v, doc = matrix(batch.column("embedding")), batch.column("doc_id").to_numpy()
-            if metric == "cosine":
-                d = 1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1) + 1e-300)
-            else:
-                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T, 0))
-            if hint_col:
-                of = batch.column(hint_col).to_pylist()
-                d[np.array([[h is not None and h != o for o in of] for h in hints])] = np.inf
-            out: list[tuple] = []
-            for i, row in enumerate(d):
-                few = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                few = few[np.lexsort((doc[few], row[few]))][:k]
-                out += [(int(ids[i]), int(doc[j]), float(row[j])) for j in few if np.isfinite(row[j])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "doc_id", "distance"])
-
-    near = vectors.select("doc_id", "embedding", *([hint_col] if hint_col else [])).mapInArrow(run, "query_id long, doc_id long, distance double")
+    n_q, n_v = blocks_for(queries.count(), QUERY_BLOCK), blocks_for(vectors.count(), VECTOR_BLOCK)
+    hint = F.lit(None).cast("string").alias("_hint")
+    if hint_col:
+        known = vectors.select(F.col(hint_col).cast("string").alias("_hint")).filter("_hint is not null").distinct().withColumn("_known", F.lit(True))
+        queries = queries.withColumn("_hint", F.col("hint").cast("string")).join(known, "_hint", "left")
+        hint = F.when(F.col("_known"), F.col("_hint")).alias("_hint")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("x"), hint, block("query_id", n_q).alias("_q"), each(n_v).alias("_v"))
+    of = (F.col(hint_col).cast("string") if hint_col else F.lit(None).cast("string")).alias("_of")
+    right = vectors.select(F.col("doc_id").alias("doc_id"), F.col("embedding").alias("y"), of, each(n_q).alias("_q"), block("doc_id", n_v).alias("_v"))
+    near = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(lambda q, v: nearest_in(q, v, k, metric), "query_id long, doc_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "distance")
 
 
+def nearest_in(queries: pa.Table, vectors: pa.Table, k: int, metric: str) -> pa.Table:
+    """The k nearest of a block of vectors to each of a block of queries, ties to the smaller id."""
+    out: list[tuple] = []
+    if len(queries) and len(vectors):
+        q, v, doc = matrix(queries["x"]), matrix(vectors["y"]), vectors["doc_id"].to_numpy()
+        of = np.array(vectors["_of"].to_pylist(), object)
+        lengths = np.linalg.norm(v, axis=1), (v * v).sum(1)
+        for query_id, hint, x in zip(queries["query_id"].to_pylist(), queries["_hint"].to_pylist(), q):
+            if metric == "cosine":
+                d = 1 - (v @ x) / (np.linalg.norm(x) * lengths[0] + 1e-300)
+            else:
+                d = np.sqrt(np.maximum(x @ x + lengths[1] - 2 * (v @ x), 0))
+            d = np.where(np.isfinite(d) & ((of == hint) if hint is not None else True), d, np.inf)
+            few = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            few = few[np.lexsort((doc[few], d[few]))][:k]
+            out += [(query_id, int(doc[j]), float(d[j])) for j in few if np.isfinite(d[j])]
+    names, kinds = ("query_id", "doc_id", "distance"), (pa.int64(), pa.int64(), pa.float64())
+    return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=list(names))
+
+
 def retrieve_with_floor(hits: DataFrame, pool: DataFrame, min_class: int = 3, class_prefix: str = "scholarly", excluded: tuple[str, ...] = ("series_notes", "release_info", "category_path")) -> DataFrame:
     """hits (query_id, doc_id, doc_type, rank, distance) with more documents of a class from the pool where they hold fewer than min_class.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_of
+from .arima import arima_forecast
 
 KEYS = ["panel", "series_id"]
 
@@ -25,38 +25,11 @@ def shock_adjust_binary(obs: DataFrame, ids: list[str], start: str, end: str) ->
     return obs.withColumn("value_adj", F.when(F.col("series_id").isin(ids) & inside(start, end), 0.0).otherwise(F.col("value_adj")))
 
 
-def autoregression(history: np.ndarray, n: int, season: int, orders: int = 3) -> np.ndarray:
-    """n steps ahead by the autoregression on differences whose AICc is least: up to orders lags and up to two seasonal ones.
-
-    The same role as a stepwise seasonal ARIMA, by least squares; a seasonal part only with at least two seasons of history.
-    """
-    y = np.diff(history)
-    best = None
-    for p in range(orders + 1):
-        for s in range(3 if len(history) >= 2 * season else 1):
-            lags = [*range(1, p + 1), *(season * k for k in range(1, s + 1))]
-            skip = max(lags, default=0)
-            if len(y) - skip <= len(lags) + 3:
-                continue
-            x = np.column_stack([np.ones(len(y) - skip), *(y[skip - k : len(y) - k] for k in lags)])
-            w, *_ = np.linalg.lstsq(x, y[skip:], rcond=None)
-            m, k = len(x), len(lags) + 2
-            rss = float(((y[skip:] - x @ w) ** 2).sum())
-            score = m * np.log(max(rss / m, 1e-12)) + 2 * k + 2 * k * (k + 1) / max(1, m - k - 1)
-            if best is None or score / m < best[0]:
-                best = score / m, lags, w
-    steps = list(y)
-    for _ in range(n):
-        lags, w = (best[1], best[2]) if best else ([], [0.0])
-        steps.append(float(np.clip(w[0] + sum(w[i + 1] * steps[-k] for i, k in enumerate(lags)), -1e12, 1e12)))
-    return history[-1] + np.cumsum(steps[len(y) :])
-
-
-def shock_forecast(obs: DataFrame, start: str, end: str, method: str = "linear", min_obs: int = 8, season: int = 12, col: str = "value") -> DataFrame:
+def shock_forecast(obs: DataFrame, start: str, end: str, method: str = "arima", min_obs: int = 8, season: int = 12, col: str = "value") -> DataFrame:
     """panel, series_id, date, forecast for the dates of each series within the window, from what lies before it.
 
     linear: the trend over row numbers; seasonal_naive: the value one season of rows before the window, again and again; arima:
-    autoregression(). Series with fewer than min_obs rows before the window have no forecast.
+    arima_forecast(). Series with fewer than min_obs rows before the window have no forecast.
     """
     w = Window.partitionBy(*KEYS).orderBy("date")
     rows = obs.filter(F.col("date") <= date_of(end)).select(*KEYS, "date", F.col(col).cast("double").alias("v"))
@@ -68,7 +41,7 @@ def shock_forecast(obs: DataFrame, start: str, end: str, method: str = "linear",
             if before.sum() < min_obs or before.all():
                 return pdf.iloc[:0][[*KEYS, "date"]].assign(forecast=0.0)
             out = pdf.loc[~before, [*KEYS, "date"]].copy()
-            out["forecast"] = autoregression(pdf.loc[before, "v"].to_numpy(), len(out), season)
+            out["forecast"] = arima_forecast(pdf.loc[before, "v"].to_numpy(), len(out), season)
             return out
 
         return rows.groupBy(*KEYS).applyInPandas(fit, "panel string, series_id string, date date, forecast double")
@@ -97,11 +70,11 @@ def replaced(obs: DataFrame, forecasts: DataFrame, end: str) -> DataFrame:
     return both.withColumn("value_adj", F.when(F.col("forecast").isNotNull(), new).otherwise(F.col("value_adj"))).drop("forecast")
 
 
-def shock_adjust_standard(obs: DataFrame, start: str, end: str, method: str = "linear", season: int = 12) -> DataFrame:
+def shock_adjust_standard(obs: DataFrame, start: str, end: str, method: str = "arima", season: int = 12) -> DataFrame:
     return replaced(obs, shock_forecast(obs, start, end, method, 8, season), end)
 
 
-def shock_adjust_daily(obs: DataFrame, start: str, end: str, method: str = "linear", min_months: int = 12) -> DataFrame:
+def shock_adjust_daily(obs: DataFrame, start: str, end: str, method: str = "arima", min_months: int = 12) -> DataFrame:
     """Monthly means are forecast and tapered, and each day of a month (all of the end's month) takes its month's value."""
     monthly = obs.groupBy(*KEYS, month_of(F.col("date")).alias("date")).agg(F.avg("value").alias("value"))
     ahead = shock_forecast(monthly, start[:7] + "-01", end[:7] + "-01", method, min_months)
@@ -109,11 +82,11 @@ def shock_adjust_daily(obs: DataFrame, start: str, end: str, method: str = "line
     return obs.withColumn("month", month_of(F.col("date"))).join(new, [*KEYS, "month"], "left").withColumn("value_adj", F.coalesce("new", "value_adj")).drop("month", "new")
 
 
-def shock_adjust_all(obs: DataFrame, meta: DataFrame, start: str = "2020-03-01", end: str = "2022-01-01", binary_ids: tuple[str, ...] = (), method: str = "linear") -> DataFrame:
+def shock_adjust_all(obs: DataFrame, meta: DataFrame, start: str = "2020-03-01", end: str = "2022-01-01", binary_ids: tuple[str, ...] = (), method: str = "arima") -> DataFrame:
     """Each series by its kind: binary, daily, quarterly, other. What lies outside the window stays as it is."""
     columns = obs.columns
     kind = F.when(F.col("series_id").isin(*binary_ids), "binary").otherwise(F.col("frequency")) if binary_ids else F.col("frequency")
-    tagged = obs.join(F.broadcast(meta.select("series_id", "frequency")), "series_id", "left").withColumn("_kind", F.coalesce(kind, F.lit("other"))).drop("frequency")
+    tagged = obs.join(meta.select("series_id", "frequency"), "series_id", "left").withColumn("_kind", F.coalesce(kind, F.lit("other"))).drop("frequency")
     of = lambda cond: tagged.filter(cond).drop("_kind")
     parts = [
         shock_adjust_binary(of("_kind = 'binary'"), list(binary_ids), start, end),

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import panel as P
 from ..operators import profiling as Q
 from ..sources import loading as L
+from ..sources.scratch import scratch_path
 from .stand_ins import META, OBS, metadata, observations, table
 
 QUERIES: dict = {}
@@ -352,3 +353,37 @@ SPLIT = "SELECT p.panel, date, probability, part FROM pred p JOIN (SELECT panel,
 @add("prediction_split", SPLIT, f"{OBS}, {PRED}")
 def prediction_split(spark, d):
     return P.prediction_split(predictions(spark, d))
+
+
+# ---- a wide panel: one for each supplier ----
+WIDE = """sup AS (SELECT l_suppkey AS panel, 'PIECES' AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, SUM(CAST(l_quantity AS BIGINT))::DOUBLE AS value FROM lineitem GROUP BY 1, 3)"""
+
+
+def by_supplier(spark, d):
+    """panel (a supplier), series_id, date, value: pieces shipped a month."""
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("panel"), F.trunc("l_shipdate", "MM").alias("date"), F.col("l_quantity").cast("long").alias("n"))
+    return lines.groupBy("panel", "date").agg(F.sum("n").cast("double").alias("value")).select("panel", F.lit("PIECES").alias("series_id"), "date", "value")
+
+
+@add("mom_yoy_change_by_supplier", f"SELECT panel, series_id, date, value AS level, round((value / NULLIF(LAG(value) OVER p, 0) - 1) * 100, {D + 1}) AS mom_pct, round((value / NULLIF(LAG(value, 12) OVER p, 0) - 1) * 100, {D}) AS yoy_pct FROM sup WINDOW p AS (PARTITION BY panel, series_id ORDER BY date)", WIDE)
+def mom_yoy_change_by_supplier(spark, d):
+    return P.mom_yoy_change(by_supplier(spark, d), ["PIECES"], digits=D)
+
+
+@add("longest_streak_by_supplier", "SELECT panel, series_id, coalesce(MAX(n), 0) AS longest FROM (SELECT DISTINCT panel, series_id FROM sup) LEFT JOIN (SELECT panel, series_id, COUNT(*) AS n FROM (SELECT *, k - ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY date) AS run FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY panel, series_id ORDER BY date) AS k FROM sup) WHERE value < 60) GROUP BY panel, series_id, run) USING (panel, series_id) GROUP BY ALL", WIDE)
+def longest_streak_by_supplier(spark, d):
+    return P.longest_streak(by_supplier(spark, d).withColumnRenamed("date", "month"), 60.0)
+
+
+# ---- export ----
+EXPORTED = "SELECT 'monthly_pieces' AS name, COUNT(*) AS written, COUNT(*) AS reread FROM sup UNION ALL SELECT 'events', COUNT(*), COUNT(*) FROM events UNION ALL SELECT 'regions', COUNT(*), COUNT(*) FROM region"
+
+
+@add("export_queries_csv", EXPORTED, WIDE)
+def export_queries_csv(spark, d):
+    """Three frames written as CSV files: rows counted while they were written, and rows read back."""
+    frames = {"monthly_pieces": by_supplier(spark, d), "events": table(spark, d, "events").select("event_id", "ts", "event_type", "value"), "regions": table(spark, d, "region").select("r_regionkey", "r_name")}
+    out = scratch_path(spark, "csv")
+    counts = L.export_queries_csv(frames, out)
+    rows = [(name, n, spark.read.option("header", True).csv(f"{out}/{name}").count()) for name, n in counts.items()]
+    return spark.createDataFrame(rows, "name string, written long, reread long")

@@ -73,7 +73,7 @@ def shock_adjust_binary(spark, d):
 
 @add("shock_forecast", "SELECT panel, series_id, date, round(forecast, 4) AS forecast FROM fm", MONTHLY)
 def shock_forecast(spark, d):
-    return H.shock_forecast(by_month(spark, d), START, END).withColumn("forecast", F.round("forecast", 4))
+    return H.shock_forecast(by_month(spark, d), START, END, "linear").withColumn("forecast", F.round("forecast", 4))
 
 
 SEASON = "CASE WHEN series_id = 'LEVEL' THEN 4 ELSE 12 END"
@@ -94,7 +94,7 @@ def shock_forecast_arima(spark, d):
 @add("taper_blend", f"SELECT panel, series_id, date, round({TAPER}, 4) AS adjusted FROM fm", MONTHLY)
 def taper_blend(spark, d):
     obs = by_month(spark, d)
-    both = H.shock_forecast(obs, START, END).join(obs, ["panel", "series_id", "date"])
+    both = H.shock_forecast(obs, START, END, "linear").join(obs, ["panel", "series_id", "date"])
     return both.select("panel", "series_id", "date", F.round(H.taper_blend(F.col("date"), F.col("forecast"), F.col("value"), END), 4).alias("adjusted"))
 
 
@@ -103,7 +103,7 @@ DAILY_SQL = f"SELECT o.panel, o.series_id, o.date, round(coalesce(f.new, o.value
 
 @add("shock_adjust_daily", DAILY_SQL, DAILY)
 def shock_adjust_daily(spark, d):
-    return H.shock_adjust_daily(some(spark, d, "SPREAD"), START, END).select("panel", "series_id", "date", F.round("value_adj", 4).alias("value_adj"))
+    return H.shock_adjust_daily(some(spark, d, "SPREAD"), START, END, "linear").select("panel", "series_id", "date", F.round("value_adj", 4).alias("value_adj"))
 
 
 ALL = f"""adj AS (SELECT o.panel, o.series_id, o.date, o.value, CASE WHEN o.series_id = 'FLAG' THEN CASE WHEN o.date BETWEEN DATE '{START}' AND DATE '{END}' THEN 0.0 ELSE o.value END
@@ -112,8 +112,8 @@ LEFT JOIN (SELECT panel, series_id, date AS month, {TAPER} AS new FROM fd) f ON
 LEFT JOIN (SELECT panel, series_id, date, {TAPER} AS new FROM fs) s ON s.panel = o.panel AND s.series_id = o.series_id AND s.date = o.date)"""
 
 
-def adjusted(spark, d):
-    return H.shock_adjust_all(kept(observations(spark, d), "observations"), metadata(spark), START, END, ("FLAG",))
+def adjusted(spark, d, method="linear"):
+    return H.shock_adjust_all(kept(observations(spark, d), "observations"), metadata(spark), START, END, ("FLAG",), method)
 
 
 @add("shock_adjust_all", "SELECT panel, series_id, date, round(value_adj, 3) AS value_adj FROM adj", f"{DAILY}, {linear('obs', 8, 's')}, {ALL}")
@@ -121,6 +121,11 @@ def shock_adjust_all(spark, d):
     return adjusted(spark, d).select("panel", "series_id", "date", F.round("value_adj", 3).alias("value_adj"))
 
 
+@add("shock_adjust_all_arima")
+def shock_adjust_all_arima(spark, d):
+    return adjusted(spark, d, "arima").select("panel", "series_id", "date", F.round("value_adj", 3).alias("value_adj"))
+
+
 INSIDE = "date_trunc('month', date) BETWEEN DATE '1998-03-01' AND DATE '2000-01-01'"
 
 
@@ -265,6 +270,21 @@ def scenario_grid(spark, d):
     return M.scenario_grid(spark, M.AXES, latest, model)
 
 
+# Weights of a stated model, so that SQL can score the grid too.
+STATED = {f: (-1) ** i * (i + 1) / 100 for i, f in enumerate(X.FEATURES)}
+LINE = "-0.5" + "".join(f" + ({w}::DOUBLE * {'g' if f in M.AXES else 'x'}.{f})" for f, w in STATED.items())
+PLACES = {"yield_spread": "i // 1170", "unrate": "i // 130 % 9", "gdp_growth_annualized": "i // 10 % 13", "cpi_yoy": "i % 10"}
+CELLS = "g AS (SELECT i AS scenario_id, " + ", ".join(f"({low} + {step} * ({PLACES[a]})) / 100 AS {a}" for a, (low, step, _) in M.AXES.items()) + " FROM (SELECT unnest(range(11700)) AS i)), x AS (SELECT * FROM done ORDER BY month DESC, panel LIMIT 1)"
+
+
+@add("scenario_grid_stated", f"SELECT scenario_id, {', '.join('g.' + a for a in M.AXES)}, round(1 / (1 + exp(-({LINE}))), {D}) AS probability FROM g, x", f"{FEATS}, {CELLS}")
+def scenario_grid_stated(spark, d):
+    """The whole grid under stated weights, with the other features of the latest row."""
+    model = M.Scored("stated", list(X.FEATURES), M.line(-0.5, {f: (w, 0.0, 1.0) for f, w in STATED.items()}), STATED)
+    latest = matrix(spark, d).orderBy(F.desc("month"), "panel").limit(1)
+    return r6(M.scenario_grid(spark, M.AXES, latest, model).drop("model_name"), "probability")
+
+
 AXES = {"yield_spread": (-150, 50, 10), "unrate": (3000, 500, 9)}
 LEVELS = "mid AS (SELECT AVG(value) AS mid FROM obs WHERE series_id = 'RATE3'), grid AS (SELECT i * 9 + j AS scenario_id, (-150 + 50 * i) / 100 AS yield_spread, (3000 + 500 * j) / 100 AS unrate, 1 / (1 + exp(((-150 + 50 * i) / 100 - ((3000 + 500 * j) / 100 - mid)) / 10)) AS probability FROM mid, (SELECT unnest(range(10)) AS i), (SELECT unnest(range(9)) AS j))"
 

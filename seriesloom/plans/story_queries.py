@@ -287,6 +287,21 @@ def embed_chunks(spark, d):
     return R.embed_chunks(R.chunk_documents(table(spark, d, "documents").select("doc_id", "text")))
 
 
+WORDS_IN = """SELECT doc_id || '::0' AS chunk_id, cell, COUNT(*) AS words FROM (SELECT doc_id, ('0x' || substr(md5(word), 1, 6))::BIGINT % 64 AS cell
+FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS word FROM documents)) GROUP BY ALL"""
+
+
+@add("embed_whole", WORDS_IN, "")
+def embed_whole(spark, d):
+    """Whole texts as chunks; the vectors of the stand-in encoder, of length 1, scaled back to their words' number."""
+    chunks = table(spark, d, "documents").filter("text is not null").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    vectors = R.embed_chunks(chunks)
+    sizes = chunks.select(F.concat(F.col("doc_id").cast("string"), F.lit("::0")).alias("chunk_id"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))).alias("n"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    cells = vectors.join(sizes, "chunk_id").withColumn("total", total).select("chunk_id", "n", "total", F.posexplode("embedding").alias("cell", "w")).filter("w > 0")
+    return cells.select("chunk_id", F.col("cell").cast("long").alias("cell"), F.round(F.col("w") * F.col("n") / F.col("total")).cast("long").alias("words"))
+
+
 def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
@@ -334,13 +349,26 @@ def reference_context(spark, d):
 DAYS = "SELECT CAST(ts AS DATE) AS day, round(AVG(value), 6) AS mean_sentiment, COUNT(*) AS story_count, COUNT(*) FILTER (event_type IN ('click', 'view')) AS tag_story_count FROM events GROUP BY 1 HAVING CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY"
 
 
-@add("stream_monthly_rollup", DAYS, "")
-def stream_monthly_rollup(spark, d):
-    """Events as an unbounded stream of stories; the days that are complete when the stream has been read."""
+def streamed_days(spark, d):
     here = scratch_path(spark, "stream")
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     shaped = stream.select(F.col("event_id").alias("story_id"), F.col("ts").alias("created_utc"), F.col("event_type").alias("title"), F.lit("").alias("text_excerpt"), F.col("value").alias("sentiment_score"))
     query = U.stream_monthly_rollup(shaped, f"{here}/days", f"{here}/state", ("click", "view"))
     query.awaitTermination()
-    return spark.read.schema("day date, mean_sentiment double, story_count long, tag_story_count long").parquet(f"{here}/days").withColumn("mean_sentiment", F.round("mean_sentiment", D))
+    return spark.read.schema("day date, mean_sentiment double, story_count long, tag_story_count long").parquet(f"{here}/days")
+
+
+@add("stream_monthly_rollup", DAYS, "")
+def stream_monthly_rollup(spark, d):
+    """Events as an unbounded stream of stories; the days that are complete when the stream has been read."""
+    return streamed_days(spark, d).withColumn("mean_sentiment", F.round("mean_sentiment", D))
+
+
+MONTHS = f"SELECT CAST(date_trunc('month', day) AS DATE) AS month, round(SUM(mean_sentiment * story_count) / SUM(story_count), {D}) AS mean_sentiment, CAST(SUM(story_count) AS BIGINT) AS story_count, CAST(SUM(tag_story_count) AS BIGINT) AS tag_story_count FROM ({DAYS.replace('round(AVG(value), 6)', 'AVG(value)')}) GROUP BY 1"
+
+
+@add("stream_months", MONTHS, "")
+def stream_months(spark, d):
+    """The stream's complete days summed up by month."""
+    return U.monthly_of_days(streamed_days(spark, d)).withColumn("mean_sentiment", F.round("mean_sentiment", D))

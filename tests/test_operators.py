@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from seriesloom.functions import columns as C
 from seriesloom.functions.unicode import nfkc
+from seriesloom.operators import arima as A
 from seriesloom.operators import claims as K
 from seriesloom.operators import model as M
 from seriesloom.operators import panel as P
@@ -83,11 +84,34 @@ def test_taper_weights(spark):
     assert [round(r.x, 6) for r in got] == [0.0, 1.0, 32.0, 62.0, 93.0]
 
 
-def test_autoregression_follows_a_line_and_a_season():
+def test_arima_follows_a_line_and_a_season():
     line = 3.5 + 0.1 * np.arange(36)
-    assert np.allclose(H.autoregression(line, 4, 12), 7.1 + 0.1 * np.arange(4), atol=1e-6)
+    assert np.allclose(A.arima_forecast(line, 4, 12), 7.1 + 0.1 * np.arange(4), atol=1e-6)
     season = np.tile(np.sin(np.arange(12)), 5)
-    assert np.abs(H.autoregression(season, 12, 12) - season[:12]).max() < 0.2
+    assert np.abs(A.arima_forecast(season, 12, 12) - season[:12]).max() < 0.2
+    for short in (np.arange(8.0), np.full(9, 2.0), np.array([1.0, 5.0] * 5)):
+        assert np.isfinite(A.arima_forecast(short, 5, 12)).all()
+
+
+def test_arima_finds_moving_averages_and_lags():
+    """Weights near those that made a long series; no weights of a fine grid around them give smaller squared errors."""
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=600)
+    z = np.zeros(600)
+    for t in range(1, 600):
+        z[t] = 0.6 * z[t - 1] + e[t] + 0.5 * e[t - 1]
+    total, model = A.fitted(z, [1], [1], True)
+    assert abs(model.ar[1] - 0.6) < 0.1 and abs(model.ma[1] - 0.5) < 0.1
+
+    def brute(a, b):
+        y, out, last = z - model.mean, 0.0, 0.0
+        for t in range(600):
+            last = y[t] - (a * y[t - 1] if t else 0.0) - b * last
+            out += last * last
+        return out
+
+    assert np.isclose(brute(model.ar[1], model.ma[1]), total)
+    assert min(brute(model.ar[1] + a, model.ma[1] + b) for a in (-0.02, 0, 0.02) for b in (-0.02, 0, 0.02)) >= total * (1 - 1e-6)
 
 
 def test_short_series_keep_their_values(spark):
@@ -120,6 +144,35 @@ def test_chunks(text, n):
     assert all(R.size_of(c) <= 200 for c in chunks)
 
 
+def test_chunk_ranges_against_one_unit_at_a_time():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        sizes, most, overlap = list(rng.integers(1, 12, rng.integers(1, 15))), int(rng.integers(1, 20)), int(rng.integers(0, 4))
+        want, held = [], []
+        for i, n in enumerate(sizes):
+            if held and sum(sizes[j] for j in held) + n > most:
+                want.append(held)
+                held = held[-overlap:] if 0 < overlap < len(held) else []
+            held = [*held, i]
+        want.append(held)
+        assert [list(range(a, b)) for a, b in R.ranges_of(sizes, most, overlap)] == want
+
+
+def test_nearest_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(points)], "doc_id long, embedding array<double>, label long")
+    asked = rows.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding", F.when(F.col("doc_id") % 2 == 0, F.lit(9)).otherwise(F.col("label")).alias("hint"))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 11)
+    got = {(r.query_id, r["rank"]): r.doc_id for r in R.knn_retrieve(rows, asked, 5, "label", "l2").collect()}
+    for q in range(20):
+        among = [i for i in range(60) if q % 2 == 0 or i % 3 == q % 3]
+        near = sorted(among, key=lambda i: (((points[i] - points[q]) ** 2).sum(), i))[:5]
+        assert [got[q, k] for k in range(1, 6)] == near
+    assert R.knn_retrieve(rows.limit(0), asked, 5).count() == 0
+
+
 def test_chunks_overlap_and_keep_long_units():
     units = [f"Sentence number {i} has some words in it." for i in range(40)]
     chunks = R.chunks_of(" ".join(units), 60, 1)
