@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, langid, lm, media, minhash, packing, pieces, quality, quartiles, secrets, warc
+from . import alignment, ann, langid, lm, media, minhash, packing, pieces, prefixes, quality, quartiles, secrets, warc
 from .common import table
 
 
@@ -66,7 +66,11 @@ def op12_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartiles.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pieces, op3_media, op4_minhash, op5_nearest, op6_quality, op7_lm, op8_packing, op9_warc, op10_secrets, op11_alignment, op12_quartiles)}
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pieces, op3_media, op4_minhash, op5_nearest, op6_quality, op7_lm, op8_packing, op9_warc, op10_secrets, op11_alignment, op12_quartiles, op13_prefixes)}
 ORACLE = {
     "op9_warc": """SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to,
 CASE WHEN refers IS NULL THEN greatest(1, CAST(ceil(octet_length(encode(h)) / 65536) AS BIGINT)) ELSE 0 END AS chunks, true AS intact FROM (
