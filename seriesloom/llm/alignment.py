@@ -6,11 +6,12 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hot_keys, salted_join, small_batches, written
@@ -25,38 +26,25 @@ MEASURES = "digest binary, n_a long, n_b long, n_groups long, n_links long, n_be
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-class Aligned:
+class Aligned(NamedTuple):
     """Of a piece of text: tokens of either kind, groups, links (pairs of ids whose tokens end together) and the groups as text."""
 
-    __slots__ = ("groups", "links", "n_a", "n_b", "n_groups")
-
-    def __init__(self, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> None:
-        ends_a, ends_b = (np.cumsum([len(bytes_[i]) for i in ids]).tolist() for ids, bytes_ in ((a, bytes_a), (b, bytes_b)))
-        pairs, groups, i, j = [], [], 0, 0
-        from_i = from_j = 0
-        while i < len(a) and j < len(b):  # no token is empty, so the ends of either kind rise
-            if ends_a[i] == ends_b[j]:
-                pairs.append(a[i] << SHIFT | b[j])
-                groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                i, j = from_i, from_j = i + 1, j + 1
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.groups, self.links = ";".join(groups), np.array(pairs, np.int64).tobytes()
-
-
-class Aligner(dict):
-    """Alignments of chunks of a text with a blank before it.
-
-    A chunk is what follows a blank behind a character that is no white space, up to the next such blank. Neither tokenizer has
-    a token across that place (the pattern of the first starts a token at every run of white space; no piece of the second has a
-    blank behind another character), so chunks are encoded by themselves, and the alignment of a text is that of its chunks in
-    order. Short ones are kept; they are forgotten when there are too many. None: the second tokenizer does not give back the bytes.
+    n_a: int
+    n_b: int
+    n_groups: int
+    links: np.ndarray
+    groups: str
+
+
+class Aligner:
+    """Both tokenizers, and the alignment of their tokens of a text with a blank before it.
+
+    A long text is cut into pieces before a blank behind a character that is no white space. Neither tokenizer has a token across
+    that place (the pattern of the first starts a token at every run of white space; no piece of the second has a blank behind
+    another character), so its alignment is that of its pieces in order, and memory follows the longest piece.
     """
 
-    LIMIT, LONGEST = 400_000, 48
+    PIECE = 1 << 16
 
     def __init__(self, ranks: str, pattern: str, pieces: str) -> None:
         import sentencepiece
@@ -72,46 +60,57 @@ class Aligner(dict):
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(names)]
         self.blank = model.piece_to_id(BLANK)
-        #: Whether texts may be cut into chunks: no piece has a blank behind another character.
+        #: Whether texts may be cut: no piece has a blank behind another character.
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in names)
-
-    def __missing__(self, chunk: str) -> Aligned | None:
-        a, b = self.first.encode_ordinary(" " + chunk), self.second.encode(chunk) or [self.blank]  # the model puts no blank before nothing
-        raw = b" " + chunk.encode()
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-        out = Aligned(a, b, self.bytes_a, self.bytes_b) if same else None
-        if len(chunk) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def chunks(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if not self.cuts:
-            return [text]
-        if all(parts) and not any(p[-1].isspace() for p in parts):
-            return parts
-        out, open_ = [], False
-        for p in parts:
-            if open_:
-                out[-1].append(p)
-            else:
-                out.append([p])
-            open_ = not p or p[-1].isspace()
-        return [" ".join(c) for c in out]
+        self.size_a, self.size_b = (np.array([len(b) for b in some], np.int64) for some in (self.bytes_a, self.bytes_b))
+        #: Each id as text and what follows it: within a group and at its end, of the first tokenizer and then of the second.
+        self.spelled = [f"{i}{mark}" for n, marks in ((len(self.bytes_a), ",|"), (len(names), ",;")) for i in range(n) for mark in marks]
+
+    def piece(self, text: str) -> Aligned | None:
+        a, b = self.first.encode_ordinary(" " + text), self.second.encode(text) or [self.blank]  # the model puts no blank before nothing
+        raw = b" " + text.encode()
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw:  # the first tokenizer splits bytes and changes none
+            return None
+        a, b = np.array(a), np.array(b)
+        ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
+        if ends_a[-1] != len(raw):
+            return None
+        is_end = np.zeros((2, len(raw) + 1), bool)  # no token is empty, so the ends of either kind rise
+        is_end[0, ends_a], is_end[1, ends_b] = True, True
+        cut_a, cut_b = is_end[1, ends_a], is_end[0, ends_b]  # tokens that end a group
+        at_a, at_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
+        # A group's tokens of the first kind stand before those of the second, behind all tokens of the groups before it.
+        behind_a = np.append(0, at_b + 1)[np.cumsum(cut_a) - cut_a]
+        behind_b = (at_a + 1)[np.cumsum(cut_b) - cut_b]
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + behind_a] = 2 * a + cut_a
+        codes[np.arange(len(b)) + behind_b] = 2 * (b + len(self.bytes_a)) + cut_b
+        groups = "".join(map(self.spelled.__getitem__, codes.tolist()))[:-1]
+        return Aligned(len(a), len(b), len(at_a), a[at_a] << SHIFT | b[at_b], groups)
+
+    def pieces(self, text: str) -> Iterator[str]:
+        at = 0
+        while self.cuts and len(text) - at > self.PIECE:
+            k = text.find(" ", at + self.PIECE)
+            while k > 0 and text[k - 1].isspace():
+                k = text.find(" ", k + 1)
+            if k < 0:
+                break
+            yield text[at:k]
+            at = k + 1
+        yield text[at:]
 
     def align(self, text: str) -> list[Aligned] | None:
-        """The alignments of a text's chunks; None if it is empty or a tokenizer does not give back its bytes."""
+        """The alignments of a text's pieces; None if it is empty or a tokenizer does not give back its bytes."""
         if not text or BLANK in text:
             return None
-        found = [self[c] for c in self.chunks(text)]
-        return None if None in found else found
+        found = [self.piece(p) for p in self.pieces(text)]
+        return None if any(f is None for f in found) else found
 
 
 @functools.cache
 def aligner(ranks: str, pattern: str, pieces: str) -> Aligner:
-    """One for each Python worker; its tasks share what it has seen."""
+    """One for each Python worker."""
     return Aligner(ranks, pattern, pieces)
 
 
@@ -122,7 +121,7 @@ class Block:
         self.number, self.rows, self.pairs, self.seen, self.size = number, [], [], [], 0
 
     def add(self, digest: bytes, times: int, found: list[Aligned]) -> None:
-        pairs, seen = np.unique(np.frombuffer(b"".join([c.links for c in found]), np.int64), return_counts=True)
+        pairs, seen = np.unique(np.concatenate([c.links for c in found]), return_counts=True)
         groups = hashlib.sha256(";".join([c.groups for c in found]).encode()).hexdigest()
         self.rows.append((digest, times, sum(c.n_a for c in found), sum(c.n_b for c in found), int(seen.sum()), groups))
         self.pairs.append(pairs)
@@ -166,11 +165,15 @@ def aligned_texts(texts: DataFrame, ranks: str, pattern: str, pieces: str) -> Da
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """pair, count, best: how many links of the corpus hold each pair of ids, and whether no pair of its second id has more."""
-    cells = aligned.filter(F.col("digest").isNull()).select(F.explode(F.arrays_zip("pairs", "pair_counts")).alias("x"))
-    totals = cells.groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.pair_counts").alias("count")).withColumn("second", F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)))
-    most = totals.groupBy("second").agg(F.max("count").alias("most"))
-    return totals.join(most, "second").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+    """of_block, at (place in the block's list of pairs), count, best: how many links of the corpus hold the pair of ids there, and 1 if no pair of its second id has more.
+
+    A block's pairs are shuffled once, by their second id; sums and the highest of them are taken over windows.
+    """
+    cells = aligned.filter(F.col("digest").isNull()).select("block", F.posexplode(F.arrays_zip("pairs", "pair_counts")).alias("at", "x"))
+    second = F.col("x.pairs").bitwiseAND(F.lit((1 << SHIFT) - 1))
+    keyed = cells.select(F.col("block").alias("of_block"), "at", F.col("x.pairs").alias("pair"), F.col("x.pair_counts").alias("n"), second.alias("second")).repartition("second")
+    totals = keyed.withColumn("count", F.sum("n").over(Window.partitionBy("second", "pair")))
+    return totals.select("of_block", "at", "count", (F.col("count") == F.max("count").over(Window.partitionBy("second"))).cast("long").alias("best"))
 
 
 def measured(key: tuple, rows: pa.Table, lookup: pa.Table) -> pa.Table:
@@ -203,10 +206,8 @@ def align(docs: DataFrame, ranks: str, pattern: str, pieces: str, doc_id: str =
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     texts = rows.filter(F.length("text") > 0).groupBy("text").agg(F.count("*").alias("times"))
     aligned = written(aligned_texts(texts, ranks, pattern, pieces), "aligned")
-    own = aligned.filter(F.col("digest").isNull()).select("block", F.posexplode("pairs").alias("at", "pair"))
-    lookup = own.join(pair_counts(aligned), "pair").select(F.col("block").alias("of_block"), "at", "count", F.col("best").cast("long").alias("best"))
     each = aligned.filter(F.col("digest").isNotNull()).select("block", "digest", "n_a", "n_b", "n_groups", "groups_sha256", "links", "seen")
-    measures = written(each.groupBy("block").cogroup(lookup.groupBy("of_block")).applyInArrow(measured, MEASURES), "measures")
+    measures = written(each.groupBy("block").cogroup(pair_counts(aligned).groupBy("of_block")).applyInArrow(measured, MEASURES), "measures")
     keyed = rows.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     hot = hot_keys(aligned.filter(F.col("digest").isNotNull()).select("digest", F.col("times").alias("n")), "digest")
     joined = salted_join(keyed, measures, "digest", "doc_id", hot, "left")

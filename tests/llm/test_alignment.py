@@ -74,10 +74,12 @@ def check(spark, docs, parts=3):
 WORDS = ["alpha", "béta", "\U0001f600", "the", "of", "don't", "x" * 60, "\n", "\n\n", "", "", "\t", "\r\n", ";\r", "a;\r\n", "  ", "　", "\x1c", "\x85", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x0A>", "ﬁ", "é", "123456", "\x00", "{\r\n  }", " q", "naïve."]
 
 
-def test_chunks_by_themselves_are_as_within_the_text():
+@pytest.mark.parametrize("size", [1, 9, 1 << 16])
+def test_pieces_by_themselves_are_as_within_the_text(monkeypatch, size):
+    monkeypatch.setattr(A.Aligner, "PIECE", size)
     tool, rng = A.Aligner(*PATHS), random.Random(3)
     assert tool.cuts
-    for _ in range(3000):
+    for _ in range(1500):
         text = rng.choice((" ", "", "\n")).join(rng.choice(WORDS) for _ in range(rng.choice((1, 3, 12)))) + rng.choice(("", " ", "\n"))
         both, found = tokens(text), tool.align(text)
         assert (both is None) == (found is None), text
