@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_of
-from .arima import arima_forecast
+from .arima import arima_forecasts
 
 KEYS = ["panel", "series_id"]
 
@@ -29,22 +32,30 @@ def shock_forecast(obs: DataFrame, start: str, end: str, method: str = "arima",
     """panel, series_id, date, forecast for the dates of each series within the window, from what lies before it.
 
     linear: the trend over row numbers; seasonal_naive: the value one season of rows before the window, again and again; arima:
-    arima_forecast(). Series with fewer than min_obs rows before the window have no forecast.
+    the seasonal models of arima_forecasts(), many series of a partition at a time, from values that are finite. Series with fewer than min_obs
+    such rows before the window have no forecast.
     """
-    w = Window.partitionBy(*KEYS).orderBy("date")
     rows = obs.filter(F.col("date") <= date_of(end)).select(*KEYS, "date", F.col(col).cast("double").alias("v"))
     if method == "arima":
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("date")
-            before = pdf["date"] < pd.Timestamp(start).date()
-            if before.sum() < min_obs or before.all():
-                return pdf.iloc[:0][[*KEYS, "date"]].assign(forecast=0.0)
-            out = pdf.loc[~before, [*KEYS, "date"]].copy()
-            out["forecast"] = arima_forecast(pdf.loc[before, "v"].to_numpy(), len(out), season)
-            return out
-
-        return rows.groupBy(*KEYS).applyInPandas(fit, "panel string, series_id string, date date, forecast double")
+        past = F.col("date") < date_of(start)
+        known = past & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+        # A set number of partitions, as the work does not follow the bytes; each holds whole batches of series.
+        dealt = rows.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+        series = dealt.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.when(known, F.struct("date", "v"))))["v"].alias("history"), F.sort_array(F.collect_list(F.when(~past, F.col("date")))).alias("dates"))
+        asked = series.filter((F.size("history") >= min_obs) & (F.size("dates") > 0))
+
+        def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    ahead = [len(x) for x in batch.column("dates")]
+                    values = arima_forecasts([np.array(x.values) for x in batch.column("history")], ahead, season)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *ahead]), pa.int32()), pa.array(np.concatenate(values), pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*KEYS, "dates")), lists], names=[*KEYS, "dates", "forecasts"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        found = asked.mapInArrow(forecast, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", dates array<date>, forecasts array<double>")
+        return found.select(*KEYS, F.explode(F.arrays_zip("dates", "forecasts")).alias("x")).select(*KEYS, F.col("x.dates").alias("date"), F.col("x.forecasts").alias("forecast"))
+    w = Window.partitionBy(*KEYS).orderBy("date")
     numbered = rows.withColumns({"n": F.row_number().over(w).cast("double"), "past": F.col("date") < date_of(start)})
     past, ahead = numbered.filter("past"), numbered.filter("not past")
     if method == "linear":

@@ -10,7 +10,7 @@ from ..operators import features as X
 from ..operators import model as M
 from ..operators import panel as P
 from ..operators import shock as H
-from .panel_queries import PRED, predictions
+from .panel_queries import PRED, by_supplier, predictions
 from .stand_ins import OBS, metadata, observations, stories_sql, table
 from ..sources.scratch import kept
 from .story_queries import EARLY, rollup
@@ -121,6 +121,12 @@ def shock_adjust_all(spark, d):
     return adjusted(spark, d).select("panel", "series_id", "date", F.round("value_adj", 3).alias("value_adj"))
 
 
+@add("shock_forecast_arima_by_supplier")
+def shock_forecast_arima_by_supplier(spark, d):
+    """Pieces shipped a month, a series for each supplier."""
+    return H.shock_forecast(by_supplier(spark, d), START, END, "arima").select("panel", "series_id", "date", F.round("forecast", 3).alias("forecast"))
+
+
 @add("shock_adjust_all_arima")
 def shock_adjust_all_arima(spark, d):
     return adjusted(spark, d, "arima").select("panel", "series_id", "date", F.round("value_adj", 3).alias("value_adj"))
