@@ -6,10 +6,11 @@ Observations: metric, date, value, value_adj. people: metric, month, people.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_of, ratio, within_tolerance
+from .ordered import running
 
 BOUNDARY = ("latest", "change_pct", "pct_of_start", "direction")
 COUNTS = ("count_below", "count_above")
@@ -43,17 +44,75 @@ def monthly_parts(obs: DataFrame, people: DataFrame | None = None) -> DataFrame:
     return parts.join(people, ["metric", "month"], "left") if people is not None else parts.withColumn("people", F.lit(None).cast("double"))
 
 
+def keyed(claims: DataFrame) -> DataFrame:
+    """What measured() needs of claims; months as numbers of months since year 0."""
+    month = lambda c: F.year(first_day(c)) * 12 + F.month(first_day(c))
+    return claims.select("claim_id", "metric", "aggregation", "threshold", F.coalesce("per_capita", F.lit(False)).alias("pc"), F.coalesce("use_raw", F.lit(False)).alias("raw"), month("period_start").alias("low"), month("period_end").alias("high"))
+
+
+def points(parts: DataFrame, keys: DataFrame) -> DataFrame:
+    """metric, pc, raw, month (number), v1, v2 (first and last value), s (sum), n: of the ways to read a metric that some claim of keys asks for."""
+    ways = F.explode(F.array(*[F.struct(F.lit(pc).alias("pc"), F.lit(raw).alias("raw")) for pc in (False, True) for raw in (False, True)]))
+    each = parts.withColumn("way", ways).select("*", "way.pc", "way.raw")
+    head = F.when(F.col("pc"), F.col("people")).otherwise(F.lit(1.0))
+    value = lambda s: ratio(F.when(F.col("raw"), F.col(f"{s}_raw")).otherwise(F.col(f"{s}_adj")), head)
+    each = each.select("metric", "pc", "raw", (F.year("month") * 12 + F.month("month")).alias("month"), value("first").alias("v1"), value("last").alias("v2"), value("sum").alias("s"), "n").filter("v1 is not null")
+    return each.join(keys.select("metric", "pc", "raw").distinct(), ["metric", "pc", "raw"], "left_semi")
+
+
+def ranged(keys: DataFrame, each: DataFrame) -> DataFrame:
+    """claim_id, a, b, mean, months: first and last value within the claim's months, their mean, and how many of them have values.
+
+    Claims stand in the order of the months as two marks, before their first month and behind their last: sums are differences of running
+    sums, first and last values are the nearest ones to the marks. A sum over a value that is not finite is not a number.
+    """
+    ids = keys.schema["claim_id"].dataType
+    finite = F.abs("s") < float("inf")  # not for NaN, which is above all numbers
+    values = each.select("metric", "pc", "raw", "month", F.lit(1).alias("mark"), F.lit(None).cast(ids).alias("claim_id"), F.when(finite, F.col("s")).otherwise(0.0).alias("s"), F.when(finite, 0).otherwise(1).cast("long").alias("odd"), "n", F.lit(1).cast("long").alias("one"), F.struct("month", F.col("v1").alias("v")).alias("first"), F.struct("month", F.col("v2").alias("v")).alias("last"))
+    marks = keys.withColumn("x", F.explode(F.array(F.struct(F.col("low").alias("month"), F.lit(0).alias("mark")), F.struct(F.col("high").alias("month"), F.lit(2).alias("mark")))))
+    marks = marks.select("metric", "pc", "raw", "x.month", "x.mark", "claim_id").filter("month is not null")
+    run = running(values.unionByName(marks, allowMissingColumns=True), ["metric", "pc", "raw"], ["month", "mark"], ("s", "odd", "n", "one"), ("last",), ("first",)).filter("mark != 1")
+    difference = lambda c: F.sum(F.when(F.col("mark") == 2, F.col(f"{c}_sum")).otherwise(-F.col(f"{c}_sum")))
+    at = lambda mark, c: F.max(F.when(F.col("mark") == mark, F.col(c)))
+    found = run.groupBy("claim_id").agg(at(0, "first_next").alias("first"), at(2, "last_last").alias("last"), at(0, "month").alias("low"), at(2, "month").alias("high"), *[difference(c).alias(c) for c in ("s", "odd", "n", "one")])
+    mean = F.when(F.col("odd") > 0, float("nan")).otherwise(F.col("s") / F.col("n"))
+    return found.filter("one > 0 and low <= high").select("claim_id", F.col("first.v").alias("a"), F.col("last.v").alias("b"), mean.alias("mean"), F.col("one").alias("months"))
+
+
+def dominated(keys: DataFrame, each: DataFrame) -> DataFrame:
+    """claim_id, under: of the months within a claim's period, how many have a mean below its threshold (count_below) or not above it (count_above).
+
+    The months before a bound are blocks of 1, 2, 4, ... months, one for each bit of their number; a month's mean stands in the block of each
+    size that it lies in, and claims stand in the order of the means by their thresholds. So a claim costs two rows for each bit, whatever
+    the number of months, and no claim meets the means.
+    """
+    ids = keys.schema["claim_id"].dataType
+    asked = keys.filter(F.col("aggregation").isin(*COUNTS) & F.col("threshold").isNotNull() & (F.col("low") <= F.col("high")))
+    span = each.agg(F.min("month").alias("low"), F.max("month").alias("high")).first()
+    first, size = (span["low"], span["high"] - span["low"] + 1) if span["low"] is not None else (0, 0)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(size.bit_length())))
+    block = lambda n: F.call_function("shiftright", n, F.col("level"))
+    means = each.withColumn("level", levels).select("metric", "pc", "raw", "level", block(F.col("month") - first).alias("block"), (F.col("s") / F.col("n")).alias("value"), F.lit(1).alias("mark"), F.lit(1).cast("long").alias("one"), F.lit(None).cast(ids).alias("claim_id"), F.lit(None).cast("int").alias("sign"))
+    bound = lambda c: F.greatest(F.lit(0), F.least(F.lit(size), c - first))
+    ends = F.explode(F.array(F.struct(bound(F.col("low")).alias("to"), F.lit(-1).alias("sign")), F.struct(bound(F.col("high") + 1).alias("to"), F.lit(1).alias("sign"))))
+    marks = asked.withColumn("x", ends).withColumn("level", levels).filter(F.getbit(F.col("x.to").cast("long"), F.col("level")) == 1)
+    mark = F.when(F.col("aggregation") == "count_below", 0).otherwise(2)
+    marks = marks.select("metric", "pc", "raw", "level", (block(F.col("x.to")) - 1).alias("block"), F.col("threshold").cast("double").alias("value"), mark.alias("mark"), F.lit(0).cast("long").alias("one"), "claim_id", F.col("x.sign").alias("sign"))
+    run = running(means.unionByName(marks), ["metric", "pc", "raw", "level", "block"], ["value", "mark"], ("one",)).filter("claim_id is not null")
+    return run.groupBy("claim_id").agg(F.sum(F.col("sign") * F.col("one_sum")).alias("under"))
+
+
 def measured(claims: DataFrame, parts: DataFrame) -> DataFrame:
-    """claim_id with a, b (first and last value of its period), mean, below, above: a join on the metric and the range of months."""
-    keys = claims.select("claim_id", "metric", first_day("period_start").alias("_from"), first_day("period_end").alias("_to"), "threshold", F.coalesce("per_capita", F.lit(False)).alias("_pc"), F.coalesce("use_raw", F.lit(False)).alias("_raw"))
-    rows = keys.join(parts, "metric").filter(F.col("month").between(F.col("_from"), F.col("_to")))
-    head = F.when(F.col("_pc"), F.col("people")).otherwise(F.lit(1.0))
-    value = lambda s: ratio(F.when(F.col("_raw"), F.col(f"{s}_raw")).otherwise(F.col(f"{s}_adj")), head)
-    rows = rows.withColumns({"v1": value("first"), "v2": value("last"), "s": value("sum")}).filter("v1 is not null")
-    mean = F.col("s") / F.col("n")
-    return rows.groupBy("claim_id").agg(
-        F.min_by("v1", "month").alias("a"), F.max_by("v2", "month").alias("b"), (F.sum("s") / F.sum("n")).alias("mean"), F.count_if(mean < F.col("threshold")).alias("below"), F.count_if(mean > F.col("threshold")).alias("above")
-    )
+    """claim_id with a, b (first and last value of its period), mean, below, above: running sums and nearest values, no join of claims with months.
+
+    claim_id is unique. below and above count months by their means; they are 0 without a threshold and only counted for the aggregation that asks.
+    """
+    keys = keyed(claims)
+    each = points(parts, keys)
+    both = ranged(keys, each).join(keys.select("claim_id", "aggregation", "threshold"), "claim_id").join(dominated(keys, each), "claim_id", "left")
+    under = F.coalesce("under", F.lit(0).cast("long"))
+    counted = lambda kind, n: F.when((F.col("aggregation") == kind) & F.col("threshold").isNotNull(), n).otherwise(F.lit(0).cast("long"))
+    return both.select("claim_id", "a", "b", "mean", counted("count_below", under).alias("below"), counted("count_above", F.col("months") - under).alias("above"))
 
 
 def computed() -> Column:
@@ -101,18 +160,22 @@ def verify_count_claims(claims: DataFrame, parts: DataFrame, digits: int = 2) ->
 def verify_prediction_claims(claims: DataFrame, predictions: DataFrame, grid: DataFrame, red_counts: DataFrame, digits: int = 4) -> DataFrame:
     """Claims about predictions (metric, date, probability), the scenario grid (probability) and red features (metric, red_count).
 
-    The as-of lookup puts claims and predictions in one order of dates and carries the last probability on, so no claim meets
-    all predictions.
+    As-of lookups put claims among the predictions in the order of dates, counts put them in the order of probabilities by their thresholds:
+    either is read off running values, so no claim meets the predictions, and a metric's rows may lie in many tasks.
     """
     of = claims.filter(F.col("aggregation").isin(*PREDICTIONS)).withColumn("_at", F.last_day(first_day("period_start")))
-    w = Window.partitionBy("metric").orderBy("date", "claim_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = predictions.select("metric", "date", "probability", F.lit(None).cast("long").alias("claim_id")).unionByName(of.select("metric", F.col("_at").alias("date"), F.lit(None).cast("double").alias("probability"), F.col("claim_id").cast("long").alias("claim_id")))
-    as_of = both.withColumn("as_of", F.last("probability", ignorenulls=True).over(w)).filter("claim_id is not null").select("claim_id", "as_of")
-    whole = predictions.groupBy("metric").agg(F.max_by("probability", "date").alias("latest"), F.min_by("probability", "date").alias("first"))
-    over = of.filter("aggregation = 'prediction_count_above'").join(predictions, "metric").groupBy("claim_id").agg(F.count_if(F.col("probability") > F.col("threshold")).alias("over"))
-    rows = of.join(whole, "metric", "left").join(as_of, "claim_id", "left").join(over, "claim_id", "left")
+    ids = claims.schema["claim_id"].dataType
+    rows = predictions.select("metric", "date", F.col("probability").cast("double").alias("probability"), F.lit(0).alias("mark"), F.lit(None).cast(ids).alias("claim_id"))
+    marks = of.filter("_at is not null").select("metric", F.col("_at").alias("date"), F.lit(None).cast("double").alias("probability"), F.lit(1).alias("mark"), "claim_id")
+    as_of = running(rows.unionByName(marks), ["metric"], ["date", "mark"], last=("probability",)).filter("mark = 1").select("claim_id", F.col("probability_last").alias("as_of"))
+    whole = predictions.groupBy("metric").agg(F.max_by("probability", "date").alias("latest"), F.count("probability").alias("known"))
+    scores = rows.filter("probability is not null").select("metric", "probability", "mark", F.lit(1).cast("long").alias("one"), "claim_id")
+    asked = of.filter("aggregation = 'prediction_count_above' and threshold is not null").select("metric", F.col("threshold").cast("double").alias("probability"), F.lit(1).alias("mark"), F.lit(0).cast("long").alias("one"), "claim_id")
+    under = running(scores.unionByName(asked), ["metric"], ["probability", "mark"], ("one",)).filter("mark = 1").select("claim_id", F.col("one_sum").alias("under"))
+    rows = of.join(whole, "metric", "left").join(as_of, "claim_id", "left").join(under, "claim_id", "left")
+    over = F.when(F.col("known").isNotNull(), F.when(F.col("threshold").isNull(), 0).otherwise(F.col("known") - F.col("under")))
     kind, value = F.col("aggregation"), F.col("value")
-    actual = F.when(kind == "prediction_latest", F.col("latest")).when(kind == "prediction_at_date", F.col("as_of")).when(kind == "prediction_count_above", F.col("over").cast("double")).otherwise(F.when(F.col("latest") > F.col("as_of"), 1.0).otherwise(-1.0))
+    actual = F.when(kind == "prediction_latest", F.col("latest")).when(kind == "prediction_at_date", F.col("as_of")).when(kind == "prediction_count_above", over.cast("double")).otherwise(F.when(F.col("latest") > F.col("as_of"), 1.0).otherwise(-1.0))
     rows = rows.withColumn("_actual", actual)
     near = F.when(kind == "prediction_count_above", F.abs(value - F.col("_actual")) <= COUNT_SLACK).when(kind == "prediction_direction", (value > 0) == (F.col("_actual") > 0)).otherwise(within_tolerance(value, F.col("_actual")))
     out = graded(rows, F.col("_actual"), near, "no prediction", digits)

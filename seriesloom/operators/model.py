@@ -9,11 +9,12 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, three_way
 from ..sources.scratch import kept, scratch_path
+from .ordered import running
 
 # Thresholds that make a feature a warning.
 SIGNAL_RULES = (("yield_spread", "lt", 0.0), ("yield_inverted_months", "gt", 0.0), ("unrate_12m_change", "gt", 0.0), ("gdp_growth_annualized", "lt", 0.0), ("info_employment_yoy", "lt", 0.0))
@@ -103,12 +104,11 @@ def train_forest(train: DataFrame, features: list[str], label: str = "label", gr
 def evaluate_classifier(scored: DataFrame, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """precision, recall, f1 (0 where undefined), auc (null with one class only), by rank sums with mean ranks for ties.
 
-    Rows are first counted by probability, so the window runs over different probabilities, not over rows.
+    Rows are first counted by probability; counts of the rows below each are running sums over ranges of probabilities, so no task meets them all.
     """
     y, p = F.col(label) == 1, F.col("prediction") == 1
     counts = scored.groupBy(*by, "probability").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
-    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    below = running(counts, list(by), ["probability"], ("neg",)).withColumn("below", F.col("neg_sum") - F.col("neg"))
     sums = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), *[F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp", "fn")])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return sums.select(*by, zero(ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("precision"), zero(ratio(F.col("tp"), F.col("tp") + F.col("fn"))).alias("recall"), zero(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"), ratio(F.col("u"), F.col("pos") * F.col("neg")).alias("auc"))

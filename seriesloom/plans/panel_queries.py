@@ -340,8 +340,12 @@ def post_event_index_change(spark, d):
 
 
 def predictions(spark, d):
+    return predictions_of(observations(spark, d))
+
+
+def predictions_of(obs):
     """Monthly shares as probabilities, the flag (up to 2000) as what happened."""
-    wide_ = P.side_by_side(observations(spark, d), ["RATE3", "FLAG"]).filter("RATE3 is not null and FLAG is not null")
+    wide_ = P.side_by_side(obs, ["RATE3", "FLAG"]).filter("RATE3 is not null and FLAG is not null")
     actual = F.when(F.col("date") <= F.lit("2000-01-01").cast("date"), F.col("FLAG").cast("int"))
     return wide_.select("panel", "date", (F.col("RATE3") / 100).alias("probability"), (F.col("RATE3") > 50).cast("int").alias("prediction"), actual.alias("actual"))
 

