@@ -38,6 +38,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A struct of all columns of df, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns])
+
+
 def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
     """key, _salts of the keys with more than one in HOT_SHARE of all rows (so fewer than HOT_SHARE keys); None if there are none.
 

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fold, free_name, small_batches
+from .common import fold, small_batches, whole_row
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -226,10 +227,11 @@ def pooled(net: Network, texts: list[bytes], windows: int = 2048) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
-def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str = "lang_pred", score_name: str = "score") -> DataFrame:
+def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str = "lang_pred", score_name: str = "score", inside: str | None = None) -> DataFrame:
     """Adds pred and score_name, the pooled probability of the language; `und` and 0 where there is no letter or no model.
 
     Every byte of every text counts. Null and empty texts are `und`. docs must not have columns of these names.
+    inside: the struct column whose field text is.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -237,7 +239,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(text).to_pylist()
+            texts = (batch.column(text) if inside is None else pa.StructArray.field(batch.column(inside), text)).to_pylist()
             with_letter = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for a in range(0, len(with_letter), 64):
@@ -248,8 +250,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str
                     lang[i], score[i] = model.languages[best], min(1.0, float(row[best]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, pred, score_name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{pred}` string, `{score_name}` double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score_name, DoubleType())]))
 
 
 def predict_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -265,6 +266,5 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     Columns and texts stay as they are, whatever their names; doc_id, text and lang are read under these names.
     """
     net = fit(docs)
-    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
-    found = identify(docs, net, "text", pred, score)
-    return found.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
+    found = identify(docs.select(whole_row(docs).alias("_row")), net, "text", inside="_row")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

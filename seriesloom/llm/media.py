@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import free_name, lookup_join, small_batches, written
+from .common import free_name, lookup_join, small_batches, whole_row, written
 
 WIDTH = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -87,18 +88,18 @@ def parse(html: str | None) -> list[dict]:
 
 
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds items, the ordered text and media structs of each page. A null or empty html gives no items."""
+    """Adds items, the ordered text and media structs of each page. A null or empty html gives no items. Other columns stay, whatever their names."""
     small_batches(pages.sparkSession)
     pages = pages.drop("items")
+    rows = pages.select(whole_row(pages).alias("_row"))
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = pa.array([parse(x) for x in batch.column(html).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, items], names=[*batch.schema.names, "items"])
+            items = pa.array([parse(x) for x in pa.StructArray.field(batch.column("_row"), html).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), items], names=["_row", "items"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return pages.mapInArrow(run, f"{fields}, items {SEQUENCE}")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("items", DataType.fromDDL(SEQUENCE))])).select("_row.*", "items")
 
 
 def references(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import lookup_join, small_batches, written
+from .common import lookup_join, small_batches, whole_row, written
 
 MARKS = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
 CHUNK_WORDS = 64
@@ -98,8 +99,7 @@ def with_evidence(rows: DataFrame, model: Logistic | None, text: str | None = No
             p = shared.value(x) if shared.value is not None and len(x) else np.full(len(values), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "p_doc"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, p_doc double")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("p_doc", DoubleType())]))
 
 
 def logit(p: Column) -> Column:
@@ -181,6 +181,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: tu
     featured = written(with_features(placed(docs.select("doc_id", "text", host, *path), host, path).select("doc_id", "text", "_host", "_path")), "quality-features")
     model = fit(featured, labels)
     table, mean = sites(with_evidence(featured, model).select("_host", "_path", "p_doc"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host).alias("_in0"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(path, 1)])
+    whole = docs.select(whole_row(docs).alias("_row"), F.col(host).alias("_in0"), *[F.col(c).alias(f"_in{i}") for i, c in enumerate(path, 1)])
     inner = placed(whole, "_in0", tuple(f"_in{i}" for i in range(1, len(path) + 1))).select("_row", "_site")
     return combined(with_evidence(inner, model, "text"), table, mean).filter(F.col("score") >= least).select("_row.*")

@@ -5,10 +5,10 @@ Only DataFrame functions: the regular expressions and the counting run in the JV
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup_join, written
+from .common import lookup_join, whole_row, written
 
 # The patterns of the base kinds.
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -17,26 +17,21 @@ HEX = r"[0-9a-f]{24,}+"
 # What the method adds: a bare run of token characters with a digit.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "token")
-LEAST_GROUP = 6
+LEAST_GROUP, TOKEN_RANK = 6, 3
+#: Code points of a block of a text that is masked.
+CHARS = 4096
 
-SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
+HITS = "array<struct<rank:int,place:int,gap:int,size:int,value:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,value:string,widely:boolean,past:int>>"
 
 
-def located(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
-    """Spans of all leftmost non-overlapping matches, in code points: the lengths of gaps and matches add up."""
+def hits(text: Column, pattern: str, rank: int, group: int = 0) -> Column:
+    """All leftmost non-overlapping matches: their place, code points before each since the one before, size and value."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.char_length).alias("gap"), F.transform(found, F.char_length).alias("size"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-    return F.aggregate(steps, start, step)["out"]
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), F.transform(found, F.char_length).alias("size"), values.alias("value"))
+    return F.transform(steps, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("place"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value")))
 
 
 def varied(value: Column, digits: int = 3, kinds: int = 10) -> Column:
@@ -44,19 +39,23 @@ def varied(value: Column, digits: int = 3, kinds: int = 10) -> Column:
     return (F.length(F.regexp_replace(value, "[^0-9]", "")) >= digits) & (F.size(F.array_distinct(F.split(value, ""))) >= kinds)
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds base and extra, the spans of each text, to all documents; both are empty for most."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast(SPAN)
-    base = F.concat(
-        F.filter(located(whole, ASSIGN, 0, 2), lambda s: F.char_length(s["value"]) >= LEAST_GROUP),
-        located(whole, ACCESS, 1),
-        located(whole, HEX, 2),
-    )
-    extra = F.filter(located(whole, TOKEN, 3), lambda s: varied(s["value"]))
-    some = docs.withColumn("_may", may_hold(whole))
-    some = some.withColumns({"base": F.when(F.col("_may"), F.array_sort(base)).otherwise(none), "extra": F.when(F.col("_may"), extra).otherwise(none)})
-    return some.drop("_may").withColumn("extra", F.filter("extra", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+def candidates(found: DataFrame) -> DataFrame:
+    """row, owner, repo, start, rank, end, value of every candidate span of found (row, _owner, _repo, hits); added ones overlap none of the base.
+
+    Starts are running sums over a text's matches. An added span overlaps a base one that begins before it if that reaches beyond its start,
+    and one that begins later if the next of them begins before its end: both are running values over a text's spans, so n of them take a
+    sort and no comparison of pairs.
+    """
+    each = found.select("row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.inline("hits")).repartition("row")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    base, size = F.col("rank") < TOKEN_RANK, F.char_length("value")
+    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    spans = spans.filter(F.when(F.col("rank") == 0, size >= LEAST_GROUP).when(base, True).otherwise(varied(F.col("value"))))
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(base, F.col("start"))).over(behind))
+    clear = (F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return spans.filter(base | clear).select("row", "owner", "repo", "start", "rank", "end", "value", F.sha2("value", 256).alias("digest"))
 
 
 def may_hold(whole: Column) -> Column:
@@ -74,7 +73,7 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), keep: tuple[str, ...] = ("doc_id",), copied_owners: int = 3, copied_repos: int = 3) -> DataFrame:
-    """keep (columns of docs) with row (unique), base, spans and live, arrays of (start, rank, end, value, widely), for all documents.
+    """keep (columns of docs) with row (unique), base, spans and live, arrays of (start, rank, end, value, widely, past), for all documents.
 
     A candidate that at least copied_owners owners and copied_repos repositories hold, no one owner more than half of the
     repositories, is a widely copied example; the others are owner-specific: also one that an owner has in many repositories
@@ -85,23 +84,22 @@ def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     inner = docs.select(*keep, F.col(text).alias("_text"), name(owner).alias("_owner"), F.concat_ws("/", *[name(c) for c in repo]).alias("_repo"))
-    found = written(candidates(inner, "_text").drop("_text").withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    some = found.filter((F.size("base") > 0) | (F.size("extra") > 0))
-    each = some.select("row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), F.explode(F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: F.sha2(s["value"], 256)))).alias("digest"))
-    wide = ownership(each).filter((F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_repos) & (F.col("most") * 2 <= F.col("repositories")))
+    whole = F.coalesce("_text", F.lit(""))
+    every = F.concat(*[hits(whole, pattern, rank, 2 if rank == 0 else 0) for rank, pattern in enumerate((ASSIGN, ACCESS, HEX, TOKEN))])
+    held = inner.withColumn("hits", F.when(may_hold(whole), every).otherwise(F.array().cast(HITS))).drop("_text")
+    found = written(held.withColumn("row", F.monotonically_increasing_id()), "secret-hits")
+    spans = written(candidates(found.filter(F.size("hits") > 0).select("row", "_owner", "_repo", "hits")), "secret-candidates")
+    wide = ownership(spans.select("row", "owner", "repo", "digest").distinct()).filter((F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_repos) & (F.col("most") * 2 <= F.col("repositories")))
     wide = written(wide.select("digest", F.lit(True).alias("widely"), "documents"), "secret-copied")
-    by_row = lookup_join(each.select("row", "digest"), wide, "digest", "row", "documents").filter("widely").groupBy("row").agg(F.collect_set("digest").alias("copied"))
-    out = some.join(by_row, "row", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<string>")))
-
-    def judged(spans: Column) -> Column:
-        return F.transform(spans, lambda s: s.withField("widely", F.array_contains("copied", F.sha2(s["value"], 256))))
-
-    out = out.withColumns({"base": judged(F.col("base")), "extra": judged(F.col("extra"))})
-    out = out.withColumn("spans", F.array_sort(F.concat("base", F.filter("extra", lambda s: ~s["widely"]))))
-    out = out.withColumn("live", F.filter("spans", lambda s: ~s["widely"])).select(*keep, "row", "base", "spans", "live")
-    none = F.array().cast(out.schema["base"].dataType)
-    rest = found.filter((F.size("base") == 0) & (F.size("extra") == 0)).select(*keep, "row", *[none.alias(c) for c in ("base", "spans", "live")])
-    return out.unionByName(rest)
+    judged = lookup_join(spans.select("row", "start", "rank", "end", "value", "digest"), wide, "digest", ["row", "start"], "documents").withColumn("widely", F.coalesce("widely", F.lit(False)))
+    # How far the live spans before one reach, for masking.
+    past = F.max(F.when(~F.col("widely"), F.col("end"))).over(Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1))
+    span = F.struct("start", "rank", "end", "value", "widely", F.coalesce("past", F.lit(0)).alias("past"))
+    of = lambda which: F.sort_array(F.collect_list(F.when(which, span)))
+    base, live = F.col("rank") < TOKEN_RANK, ~F.col("widely")
+    by_row = judged.withColumn("past", past).groupBy("row").agg(of(base).alias("base"), of(base | live).alias("spans"), of(live).alias("live"))
+    none = F.array().cast(SPAN)
+    return found.select(*keep, "row").join(by_row, "row", "left").select(*keep, "row", *[F.coalesce(c, none).alias(c) for c in ("base", "spans", "live")])
 
 
 def listed(spans: Column) -> Column:
@@ -131,21 +129,22 @@ def masked(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     Documents without a candidate are told by the patterns and pass straight through.
     """
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_whole"), F.col("source").alias("_in0"), F.col("lang").alias("_in1"))
+    inner = docs.select(whole_row(docs).alias("_doc"), F.col(text).alias("_whole"), F.col("source").alias("_in0"), F.col("lang").alias("_in1"))
     may = may_hold(F.coalesce(F.col("_whole"), F.lit("")))
     found = find_secrets(inner.filter(may), "_whole", "_in0", ("_in0", "_in1"), ("_doc",))
     whole = F.col("_doc")[text]
-    # From left to right; a span that begins inside the one before only moves its end.
-    past = F.lit(2147483647)
-    cut = F.aggregate(
-        F.array_sort("live"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["done"], F.substr(whole, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["done"]).alias("done"),
-        ),
-        lambda a: F.concat(a["done"], F.substr(whole, a["at"] + 1, past)),
-    )
+    # The text in blocks, so that a piece of it is found without walking from its start; a generator, so that they are made once for each text.
+    found = found.withColumn("_blocks", F.explode(F.array(F.when(F.size("live") > 0, F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))))))
+
+    def piece(a: Column, b: Column) -> Column:
+        first = F.floor(a / CHARS).cast("int")
+        return F.substr(F.array_join(F.slice("_blocks", first + 1, F.floor(b / CHARS).cast("int") - first + 1), ""), a % CHARS + 1, b - a)
+
+    # A span that begins inside the one before is masked with it.
+    gaps = F.transform(F.filter("live", lambda s: s["start"] >= s["past"]), lambda s: F.concat(piece(s["past"], s["start"]), F.lit(mark)))
+    at = F.array_max(F.transform("live", lambda s: s["end"]))
+    rest = F.substr(F.array_join(F.slice("_blocks", F.floor(at / CHARS).cast("int") + 1, F.size("_blocks")), ""), at % CHARS + 1, F.lit(2147483647))
+    cut = F.concat(F.array_join(gaps, ""), rest)
     new = F.when(F.size("live") > 0, cut).otherwise(whole)
     some = found.select(*[new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns])
     return some.unionByName(inner.filter(~may).select("_doc.*"))

@@ -79,3 +79,13 @@ def test_pooling_equals_one_text_at_a_time():
             ids = np.frombuffer(padded[at : at + langid.WINDOW + 2 * langid.WARM], np.uint8).astype(np.intp)[:, None]
             total += langid.position_probabilities(net, ids)[: min(langid.WINDOW, len(raw) - at), 0].sum(0)
         assert np.allclose(row, total / max(1, len(raw)), atol=1e-5)
+
+
+def test_columns_of_any_name_stay(spark):
+    from odd_columns import as_rows, with_odd_columns
+
+    docs = with_odd_columns(frame(spark))
+    out = langid.keep_identified(docs)
+    assert out.columns == docs.columns
+    ids = {(r.doc_id, r.text) for r in out.collect()}
+    assert len(ids) == 182 and as_rows(out) == [x for x in as_rows(docs.filter(F.col("text").isNotNull())) if any(f"'doc_id': {i}," in x for i, _ in ids)]

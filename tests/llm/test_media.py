@@ -43,3 +43,13 @@ def test_join_by_digest_keeps_unresolved_references(spark):
     got = media.resolve(refs, store).orderBy("position").collect()
     assert [(r.position, r.digest, bytes(r.stored) if r.stored else None) for r in got] == [(0, "aa", b"1"), (1, "zz", None), (2, None, None)]
     assert media.resolve(refs.filter(F.lit(False)), store).count() == 0
+
+
+def test_pages_keep_columns_of_any_name(spark):
+    from odd_columns import as_rows, with_odd_columns
+
+    pages = with_odd_columns(spark.createDataFrame([(1, "<p>one <img src='media:ab'> two"), (2, None), (3, "")], "page_id long, html string"), "page_id")
+    out = media.sequences(pages)
+    assert out.columns == [*pages.columns, "items"] and as_rows(out.drop("items")) == as_rows(pages)
+    assert out.filter("size(items) = 0").count() == 2
+    assert media.sequences(pages.limit(0)).count() == 0

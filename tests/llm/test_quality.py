@@ -85,3 +85,13 @@ def test_many_sites_are_joined_by_shuffle(spark, monkeypatch):
     small = sorted(map(str, quality.quality_scores(docs, labels(spark)).collect()))
     monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
     assert [x.split("p_doc")[0] for x in sorted(map(str, quality.quality_scores(docs, labels(spark)).collect()))] == [x.split("p_doc")[0] for x in small]
+
+
+def test_columns_of_any_name_stay(spark):
+    from odd_columns import as_rows, with_odd_columns
+
+    docs = with_odd_columns(spark.createDataFrame(rows(), SCHEMA))
+    out = quality.keep_good(docs, labels(spark))
+    assert out.columns == docs.columns
+    kept = as_rows(out)
+    assert len(kept) > 200 and set(kept) <= set(as_rows(docs))
