@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quarter_label
+from ..sources.scratch import kept
 
 # Tokens that are no words of a topic.
 EXTRA_STOP_WORDS = (
@@ -52,70 +53,107 @@ def tfidf(tokens: DataFrame, min_df: int = 3, max_df: float = 0.85, max_features
     return raw.select("doc_id", "term", (F.col("w") / length).alias("weight")), vocab
 
 
-def row_weights(idx: np.ndarray, val: np.ndarray, h: np.ndarray, hh: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """A document's topic weights for given topics, by multiplicative updates from equal ones."""
-    w, target = np.full(len(h), 0.1), h[:, idx] @ val
-    for _ in range(rounds):
-        w *= target / (hh @ w + 1e-10)
-    return w
+class Rows:
+    """Documents of an Arrow batch as sparse rows: all columns and values one after another, and where each row begins."""
 
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        lists = batch.column("idx")
+        self.n, self.cols, self.values = len(lists), np.asarray(lists.flatten()), np.asarray(batch.column("weight").flatten())
+        self.begins = np.asarray(lists.offsets)[:-1] - (np.asarray(lists.offsets)[0] if len(lists) else 0)  # no row is empty
+        self.owner = np.repeat(np.arange(self.n), np.diff(np.append(self.begins, len(self.cols))))
 
-def nmf_topics(weights: DataFrame, vocab: DataFrame, k: int = 8, iters: int = 300, seed: int = 42, tol: float = 1e-4, shards: int = 16) -> tuple[DataFrame, DataFrame]:
-    """W (doc_id, weights), H (topic_id, term, weight).
+    def times(self, h: np.ndarray) -> np.ndarray:
+        """The product with h transposed: documents by topics."""
+        return np.add.reduceat(self.values[:, None] * h.T[self.cols], self.begins, axis=0)
 
-    Documents stay where they are: each round sends the topics (k by vocabulary) out, fits every document's weights to them,
-    and brings back two sums, which update the topics. Only the vocabulary (bounded) and these sums reach the driver.
+    def turned_times(self, w: np.ndarray, terms: int) -> np.ndarray:
+        """The product of w transposed with the rows: topics by terms."""
+        return np.stack([np.bincount(self.cols, self.values * column[self.owner], terms) for column in w.T])
+
+
+def coordinate_descent(x: np.ndarray, target: np.ndarray, gram: np.ndarray, sweeps: int, tol: float = 0.0) -> np.ndarray:
+    """Rows of non-negative weights with a smaller squared error: one coordinate of all rows after the other takes its best value.
+
+    The error of a row w is w gram w / 2 - w target. Coordinates without weight in gram become 0.
     """
-    terms = [r["term"] for r in vocab.orderBy("term").collect()]
-    ids = weights.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
-    docs = weights.join(F.broadcast(ids), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("x")).select("doc_id", "x.idx", "x.weight").cache()
-    rng = np.random.default_rng(seed)
-    h = rng.random((k, max(1, len(terms)))) + 0.1
+    x = x.copy()
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(gram)):
+            new = np.maximum(0.0, x[:, j] + (target[:, j] - x @ gram[:, j]) / gram[j, j]) if gram[j, j] > 1e-12 else np.zeros(len(x))
+            moved = max(moved, float(np.abs(new - x[:, j]).max(initial=0.0)))
+            x[:, j] = new
+        if moved <= tol * max(1e-12, float(x.max(initial=0.0))):
+            break
+    return x
+
+
+def document_weights(rows: Rows, h: np.ndarray) -> np.ndarray:
+    """Every document's best weights for given topics; they depend on nothing else, so a task that is run again gives the same."""
+    return coordinate_descent(np.zeros((rows.n, len(h))), rows.times(h), h @ h.T, 200, 1e-6)
+
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, v in zip(batch.column("idx"), batch.column("weight"), strict=True):
-            yield np.asarray(i.values), np.asarray(v.values)
+def better_topics(h: np.ndarray, wx: np.ndarray, ww: np.ndarray) -> np.ndarray:
+    return coordinate_descent(h.T, wx.T, ww, 20, 1e-6).T
+
+
+def first_topics(k: int, terms: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).random((k, max(1, terms))) + 0.1
+
+
+def nmf_topics(weights: DataFrame, vocab: DataFrame, k: int = 8, iters: int = 300, seed: int = 42, tol: float = 1e-4, shards: int = 16, losses: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """W (doc_id, weights), H (topic_id, term, weight), by least squares in turn.
+
+    Documents stay where they are, in a written table: each round sends the topics (k by vocabulary) out, finds every document's best
+    weights for them, and brings back sums (products of weights with weights and with documents, and the squared error), which give
+    better topics. The error falls in every round; the rounds end when it falls by less than tol of the first one. Only the vocabulary,
+    which is bounded, and the sums of at most shards groups of tasks reach the driver. losses: gets the error of each round.
+    """
+    spark = weights.sparkSession
+    terms = [r["term"] for r in vocab.orderBy("term").collect()]
+    ids = spark.createDataFrame(list(enumerate(terms)), "idx int, term string")
+    docs = kept(weights.filter("weight != 0").join(F.broadcast(ids), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("x")).select("doc_id", "x.idx", "x.weight"), "sparse-rows")
+    h = first_topics(k, len(terms), seed)
 
     def sums_of(h: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            hh, wx, ww, seen = h @ h.T, np.zeros_like(h), np.zeros((len(h), len(h))), False
+            total, seen = np.zeros(h.size + len(h) ** 2 + 1), False
             for batch in batches:
-                for i, v in rows(batch):
-                    w = row_weights(i, v, h, hh)
-                    wx[:, i] += w[:, None] * v
-                    ww += np.outer(w, w)
+                if batch.num_rows:
+                    rows = Rows(batch)
+                    w = document_weights(rows, h)
+                    wx, ww = rows.turned_times(w, h.shape[1]), w.T @ w
+                    total += np.concatenate((wx.ravel(), ww.ravel(), [(rows.values**2).sum() - 2 * (wx * h).sum() + (ww * (h @ h.T)).sum()]))
                     seen = True
             if seen:
-                flat = np.concatenate((wx.ravel(), ww.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % shards]), pa.array([flat], pa.list_(pa.float64()))], names=["shard", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % shards]), pa.array([total], pa.list_(pa.float64()))], names=["shard", "sums"])
 
         return run
 
     def add(table: pa.Table) -> pa.Table:
         return pa.table({"sums": pa.array([sum(np.asarray(x.values) for x in table.column("sums"))], pa.list_(pa.float64()))})
 
+    errors: list[float] = [] if losses is None else losses
     for _ in range(iters if terms else 0):
         parts = docs.mapInArrow(sums_of(h), "shard long, sums array<double>").groupBy("shard").applyInArrow(add, "sums array<double>").collect()
+        if not parts:
+            break
         total = sum(np.array(r["sums"]) for r in parts)
-        wx, ww = total[: h.size].reshape(h.shape), total[h.size :].reshape(k, k)
-        new = h
-        for _ in range(5):
-            new = new * wx / (ww @ new + 1e-10)
-        change = np.abs(new - h).max() / max(1e-12, np.abs(h).max())
-        h = new
-        if change < tol:
+        errors.append(float(total[-1]))
+        if len(errors) > 1 and errors[-2] - errors[-1] < tol * errors[0]:
             break
+        h = better_topics(h, total[: h.size].reshape(h.shape), total[h.size : -1].reshape(k, k))
     last = h
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh = last @ last.T
         for batch in batches:
-            w = [row_weights(i, v, last, hh) for i, v in rows(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w, pa.list_(pa.float64()))], names=["doc_id", "weights"])
+            if batch.num_rows:
+                w = list(document_weights(Rows(batch), last))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w, pa.list_(pa.float64()))], names=["doc_id", "weights"])
 
-    topics = docs.sparkSession.createDataFrame([(t, term, float(h[t, j])) for t in range(k) for j, term in enumerate(terms)], "topic_id int, term string, weight double")
+    topics = spark.createDataFrame([(t, term, float(h[t, j])) for t in range(k) for j, term in enumerate(terms)], "topic_id int, term string, weight double")
     return docs.mapInArrow(apply, "doc_id long, weights array<double>"), topics
 
 

@@ -199,9 +199,9 @@ def tfidf_vocabulary(spark, d):
     return T.tfidf(T.tokenize(documents(spark, d), STOPS))[1].withColumn("idf", F.round("idf", D))
 
 
-def factors(spark, d, iters=8):
+def factors(spark, d):
     weights, vocab = T.tfidf(T.tokenize(documents(spark, d), STOPS))
-    return T.nmf_topics(weights, vocab, k=8, iters=iters)
+    return T.nmf_topics(weights, vocab)
 
 
 @add("nmf_topics")

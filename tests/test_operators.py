@@ -326,3 +326,40 @@ def test_scoring_after_an_observed_export(spark, tmp_path):
     assert model.score(rows.withColumn("a", F.lit(None).cast("double"))).first().probability is None
     grown = M.forest(rows, ["a", "b", "c"], "label", 5, 3, 1)
     assert {r.prediction for r in grown.score(rows).collect()} == {0, 1}
+
+
+def dense_factors(x, k, rounds, seed):
+    """Least squares in turn over a dense matrix, one number at a time; also the error before each round."""
+    h, errors = T.first_topics(k, x.shape[1], seed), []
+    for _ in range(rounds):
+        w = np.zeros((len(x), k))
+        for _ in range(300):
+            for j in range(k):
+                w[:, j] = np.maximum(0, w[:, j] + ((x - w @ h) @ h[j]) / (h[j] @ h[j]))
+        errors.append(float(((x - w @ h) ** 2).sum()))
+        best = h
+        for _ in range(20):
+            for j in range(k):
+                best = best.copy()
+                best[j] = np.maximum(0, best[j] + (w[:, j] @ (x - w @ best)) / (w[:, j] @ w[:, j]))
+        h = best
+    return w, h, errors
+
+
+def test_factors_are_those_of_a_dense_run(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((60, 12)) * (rng.random((60, 12)) < 0.4), 3)
+    x[x.sum(1) == 0, 0] = 0.5
+    terms = [f"t{j:02d}" for j in range(12)]
+    rows = [(i, terms[j], float(x[i, j])) for i in range(60) for j in range(12) if x[i, j]]
+    weights, vocab = spark.createDataFrame(rows, "doc_id long, term string, weight double").repartition(3), spark.createDataFrame([(t,) for t in terms], "term string")
+    losses: list[float] = []
+    w, h = T.nmf_topics(weights, vocab, k=3, iters=400, tol=1e-5, losses=losses)
+    want_w, _, errors = dense_factors(x, 3, len(losses), 42)
+    assert np.allclose(losses, errors, rtol=1e-6)
+    assert all(a >= b - 1e-9 for a, b in zip(losses, losses[1:])) and 3 < len(losses) < 400
+    got = {r.doc_id: r.weights for r in w.collect()}
+    _, want_h, _ = dense_factors(x, 3, len(losses) - 1, 42)
+    assert np.allclose([got[i] for i in range(60)], want_w, atol=1e-4)
+    assert np.allclose([[r.weight for r in sorted(h.filter(f"topic_id = {t}").collect(), key=lambda r: r.term)] for t in range(3)], want_h, atol=1e-4)
+    assert T.nmf_topics(weights.limit(0), vocab.limit(0))[0].count() == 0
