@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import panel as P
 from ..operators import profiling as Q
 from ..sources import loading as L
+from ..sources import tables as B
 from ..sources.scratch import scratch_path
 from .stand_ins import META, OBS, metadata, observations, table
 
@@ -379,6 +380,78 @@ def longest_streak_by_supplier(spark, d):
     return P.longest_streak(by_supplier(spark, d).withColumnRenamed("date", "month"), 60.0)
 
 
+# ---- files ----
+FILES = """SELECT panel || '.' || series_id AS series_id, m.name, COUNT(*) AS n, round(SUM(value), 4) AS total, MIN(date) AS first, 1 AS n_broken FROM obs JOIN meta m USING (series_id)
+WHERE date >= DATE '1996-01-01' AND month(date) <> 2 AND NOT (panel = 'ASIA' AND series_id = 'FLAG') GROUP BY 1, 2"""
+
+
+@add("load_series_files", FILES, f"{OBS}, {META}")
+def load_series_files(spark, d):
+    """The panel written as a JSON file for each series and read back: months without a number, and a file that is cut off."""
+    rows = observations(spark, d).join(F.broadcast(metadata(spark).select("series_id", "name", "frequency")), "series_id")  # eleven rows
+    value = F.when(F.month("date") == 2, ".").otherwise(F.col("value").cast("string"))
+    each = rows.groupBy(F.concat_ws(".", "panel", "series_id").alias("id"), "name", "frequency").agg(F.sort_array(F.collect_list(F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), value.alias("value")))).alias("observations"))
+    text = F.to_json(F.struct(F.col("id").alias("series_id"), "name", "frequency", "observations"))
+    out = scratch_path(spark, "series-json")
+    each.select("id", F.when(F.col("id") == "ASIA.FLAG", F.substring(text, 1, 200)).otherwise(text).alias("value")).repartition("id").write.partitionBy("id").text(out)
+    raw = L.read_series_json(spark, out)
+    found = L.clean_observations(raw, "1996-01-01").groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("date").alias("first"))
+    broken = L.file_errors(raw).agg(F.sum("n_broken").alias("n_broken"))
+    return found.join(L.series_metadata(raw).select("series_id", "name"), "series_id").crossJoin(F.broadcast(broken)).select("series_id", "name", "n", "total", "first", "n_broken")
+
+
+@add("load_story_files", "SELECT doc_id AS story_id, n_chars AS score, length(text) AS length, CAST('2023-0' || (1 + doc_id % 9) || '-01' AS DATE) AS month, 1 AS n_broken FROM documents WHERE text IS NOT NULL", "")
+def load_story_files(spark, d):
+    """Documents written as stories, a JSON value on each line, and read back beside a line that is cut off."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("story_id"), F.concat(F.lit("2023-0"), 1 + F.col("doc_id") % 9, F.lit("-05T00:00:00Z")).alias("created_utc"), F.col("text").alias("title"), F.col("n_chars").alias("score"), F.lit(0.0).alias("sentiment_score"), F.lit("neutral").alias("sentiment_label"))
+    out = scratch_path(spark, "stories-json")
+    rows.write.json(out)
+    spark.createDataFrame([('{"story_id": 1, "title": "cut o',)], "value string").coalesce(1).write.mode("append").text(out)
+    stories, counts = L.stories_and_counts(spark, out, lines=True)
+    return stories.select("story_id", "score", F.char_length("title").alias("length"), "month", F.lit(counts["broken"]).alias("n_broken"))
+
+
+CURATED = """SELECT source AS series_id, 'scholarly:' || doc_id AS doc_type, 'title ' || doc_id AS title, length(text) AS length FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING COUNT(*) > 1) AND trim(text, ' ') <> ''
+UNION ALL SELECT '_CROSS_SERIES', 'concept:item' || item_id, 'Item ' || item_id, length(text) + length(item_id::VARCHAR) + 8 FROM benchmark"""
+
+
+@add("load_curated_files", CURATED, "")
+def load_curated_files(spark, d):
+    """Documents written as JSON and benchmark items as a Markdown file each, and read back; sources of a single document are unknown."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    n = F.col("doc_id").cast("string")
+    base = scratch_path(spark, "curated")
+    docs.select(n.alias("id"), F.col("source").alias("series_id"), F.concat(F.lit("title "), n).alias("title"), F.col("text").alias("content")).write.json(f"{base}/json")
+    k = F.col("item_id").cast("string")
+    items.select(F.concat(F.lit("item"), k).alias("name"), F.concat(F.lit("# Item "), k, F.lit("\n"), "text").alias("value")).repartition("name").write.partitionBy("name").text(f"{base}/notes")
+    known = docs.groupBy(F.col("source").alias("series_id")).count().filter("count > 1")
+    out = L.load_curated_docs(spark, f"{base}/json", f"{base}/notes", known, "2024-01-01", lines=True)
+    # The writer names files itself, so a note is known by its folder; it ends each value with a line end.
+    note, title = F.col("series_id") == "_CROSS_SERIES", F.col("title")
+    kind = F.when(note, F.concat(F.lit("concept:item"), F.regexp_extract(title, "([0-9]+)$", 1))).otherwise(F.col("doc_type"))
+    return out.select("series_id", kind.alias("doc_type"), "title", (F.char_length("content") - note.cast("int")).alias("length"))
+
+
+COMMITTED = """SELECT 'C' || c_custkey AS key, coalesce(t, round(c_acctbal, 2)) AS amount FROM customer LEFT JOIN (SELECT o_custkey, SUM(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / 100 AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey
+UNION ALL SELECT 'S' || s_suppkey, round(s_acctbal, 2) FROM supplier WHERE s_acctbal >= 0"""
+
+
+@add("upsert_committed", COMMITTED, "")
+def upsert_committed(spark, d):
+    """A table by commits: balances of customers, then suppliers and sums of orders upserted (twice, which is once), then suppliers in debt pruned."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("key")
+    path = scratch_path(spark, "balances")
+    customers = table(spark, d, "customer").select(name("C", "c_custkey"), F.round("c_acctbal", 2).alias("amount"))
+    suppliers = table(spark, d, "supplier").select(name("S", "s_suppkey"), F.round("s_acctbal", 2).alias("amount"))
+    sums = table(spark, d, "orders").groupBy("o_custkey").agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100).alias("amount")).select(name("C", "o_custkey"), "amount")
+    B.commit_upsert(spark, path, customers, ["key"], "customers")
+    for _ in range(2):
+        B.commit_upsert(spark, path, suppliers.unionByName(sums), ["key"], "suppliers and orders")
+    B.commit_prune(spark, path, suppliers.filter("amount >= 0"), "key", "S", "pruned")
+    return B.read_table(spark, path)
+
+
 # ---- export ----
 EXPORTED = "SELECT 'monthly_pieces' AS name, COUNT(*) AS written, COUNT(*) AS reread FROM sup UNION ALL SELECT 'events', COUNT(*), COUNT(*) FROM events UNION ALL SELECT 'regions', COUNT(*), COUNT(*) FROM region"
 

@@ -19,6 +19,7 @@ from seriesloom.operators import shock as H
 from seriesloom.operators import stories as S
 from seriesloom.operators import topics as T
 from seriesloom.sources import loading as L
+from seriesloom.sources import tables as B
 
 
 @pytest.mark.parametrize(("expected", "actual", "near"), [(4.2, 4.0, True), (4.2, 5.0, False), (0.1, 0.3, True), (0.0, 0.4, True), (0.0, 0.6, False), (-7.2, -10.0, False), (100.0, 104.0, True)])
@@ -51,6 +52,62 @@ def test_story_files_are_taken_whole_or_not(spark, tmp_path):
     assert L.load_stories_json(spark, str(path)).count() == 0
 
 
+def test_broken_files_and_the_first_file_of_a_series(spark, tmp_path):
+    """Files that are cut off are named and left out; of two files of a series the first by name counts, whatever their sizes."""
+    one = {"series_id": "A", "name": "first", "observations": [{"date": "2024-01-01", "value": 1}]}
+    two = {"series_id": "A", "name": "second", "units": "u", "observations": [{"date": "2024-01-01", "value": 2}, {"date": "2024-02-01", "value": 3}] + [{"date": "2023-01-01", "value": "x" * 999}]}
+    for name, text in (("b.json", json.dumps(two)), ("a.json", json.dumps(one)), ("c.json", '{"series_id": "C", "observations": [{"date": "20'), ("d.json", "")):
+        (tmp_path / name).write_text(text)
+    raw = L.read_series_json(spark, str(tmp_path))
+    meta = {r.series_id: r for r in L.series_metadata(raw).collect()}
+    assert list(meta) == ["A"] and (meta["A"].name, meta["A"].units) == ("first", "u")
+    assert sorted((str(r.date), r.value) for r in L.clean_observations(raw).collect()) == [("2024-01-01", 1.0), ("2024-02-01", 3.0)]
+    assert [(r.file.rsplit("/", 1)[1], r.n_broken) for r in L.file_errors(raw).collect()] == [("c.json", 1)]
+
+
+def test_story_lines_with_broken_and_unscored_ones(spark, tmp_path):
+    story = {"story_id": 1, "created_utc": "2023-06-05T00:00:00Z", "title": "t", "sentiment_score": 0.5, "sentiment_label": "positive"}
+    (tmp_path / "a.json").write_text("\n".join([json.dumps(story), '{"story_id": 9, "tit', json.dumps(story | {"story_id": 2})]))
+    (tmp_path / "b.json").write_text(json.dumps(story | {"title": "of the later file"}))
+    rows, counts = L.stories_and_counts(spark, str(tmp_path), lines=True)
+    assert sorted((r.story_id, r.title) for r in rows.collect()) == [(1, "of the later file"), (2, "t")] and counts == {"rows": 3, "broken": 1, "unscored": 0}
+    (tmp_path / "c.json").write_text('{"story_id": 5, "created_utc": "2023-01-01", "title": "x"}')
+    rows, counts = L.stories_and_counts(spark, str(tmp_path), lines=True)
+    assert rows.count() == 0 and counts["unscored"] == 1
+
+
+def test_commits_that_fail_leave_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/table"
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int, `a b` string")
+    table = lambda: sorted(tuple(r) for r in B.read_table(spark, path).collect())
+    assert B.commit_upsert(spark, path, frame([(f"k{i}", i, "x") for i in range(50)]), ["k"], "one", buckets=8)
+    before, folders = table(), B.commits(spark, path)[-1]["folders"]
+    update = frame([("k3", -3, "y"), ("new", 1, "y")])
+
+    def broken(batches):
+        for batch in batches:
+            yield batch
+            raise ValueError("lost while it was written")
+
+    with pytest.raises(Exception, match="lost while"):
+        B.commit_upsert(spark, path, update.mapInArrow(broken, update.schema), ["k"], "two")
+    assert table() == before
+    with monkeypatch.context() as m:  # all is written, but the driver goes before the entry is published
+        m.setattr(B, "published", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            B.commit_upsert(spark, path, update, ["k"], "two")
+    assert table() == before
+    assert B.commit_upsert(spark, path, update, ["k"], "two", keep_cols=("a b",)) and not B.commit_upsert(spark, path, update, ["k"], "two")
+    after = sorted([r for r in before if r[0] != "k3"] + [("k3", -3, "x"), ("new", 1, "y")])
+    assert table() == after
+    now = B.commits(spark, path)[-1]["folders"]
+    assert sum(now[b] == folders[b] for b in folders) >= len(folders) - 2  # only buckets of the updates are new
+    with pytest.raises(RuntimeError, match="another commit"):
+        B.published(spark, path, {}, 2)
+    assert B.commit_prune(spark, path, frame([("k1", 0, "")]), "k", "k", "three") and table() == [("k1", 1, "x"), ("new", 1, "y")]
+    assert B.commit_prune(spark, path, frame([]), "k", "", "four") and table() == []
+
+
 def test_curated_files(spark, tmp_path):
     docs, notes = tmp_path / "docs", tmp_path / "notes"
     docs.mkdir(), notes.mkdir()
