@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -62,17 +65,48 @@ def train_logistic(train: DataFrame, features: list[str], label: str = "label")
     return Scored("logistic", features, line(float(model.intercept), terms), weights)
 
 
-def forest(train: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int = 42) -> Scored:
+def saved_forest(train: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int) -> str:
+    """Folder of a fitted forest. The model as fitted holds its training summary, and with it the session."""
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(weighted(train, label))
     model = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(rows)
-    # Saved and read back: the model as fitted holds its training summary, and with it the session.
     path = scratch_path(train.sparkSession, "forest")
     model.write().save(path)
-    model = RandomForestClassificationModel.load(path)
+    return path
+
+
+def forest(train: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int = 42) -> Scored:
+    model = RandomForestClassificationModel.load(saved_forest(train, features, label, trees, depth, leaf, seed))
     vote = lambda df: model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df)).withColumn("_p", vector_to_array("_p")[1])
     return Scored("forest", features, vote, dict(zip(features, map(float, model.featureImportances.toArray()), strict=True)))
 
 
+class Trees:
+    """The nodes of a saved forest of two classes, a row for each tree: feature and threshold of each node, its children, and its share of the second class."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "nodeData.impurityStats").toPandas()
+        shape = rows["treeID"].max() + 1, rows["id"].max() + 1
+        at = rows["treeID"].to_numpy(), rows["id"].to_numpy()
+        stats = np.stack(rows["impurityStats"].to_numpy())
+        put = lambda values, kind: (lambda a: (a.__setitem__(at, values), a)[1])(np.zeros(shape, kind))
+        self.share = put(stats[:, 1] / stats.sum(1), float)
+        self.left, self.right = put(rows["leftChild"], int), put(rows["rightChild"], int)
+        self.feature, self.threshold = put(rows["featureIndex"], int), put(rows["threshold"].fillna(0.0), float)
+
+    def nested(self, x: np.ndarray, trees: tuple[int, ...], depths: tuple[int, ...]) -> dict[tuple[int, int], np.ndarray]:
+        """Probabilities of the rows of x by the first so many trees, cut off at so many levels below their roots."""
+        tree, node = np.arange(len(self.share)), np.zeros((len(x), len(self.share)), int)
+        out = {}
+        for level in range(max(depths) + 1):
+            if level in depths:
+                sums = np.cumsum(self.share[tree, node], 1)
+                out |= {(t, level): sums[:, t - 1] / t for t in trees}
+            inner = self.left[tree, node] > 0
+            goes_left = np.take_along_axis(x, np.maximum(self.feature[tree, node], 0), 1) <= self.threshold[tree, node]
+            node = np.where(inner, np.where(goes_left, self.left[tree, node], self.right[tree, node]), node)
+        return out
+
+
 def expanding_folds(train: DataFrame, folds: int, month: str = "month") -> list[tuple[DataFrame, DataFrame]]:
     """Pairs of what came before and what came next: the months in order are cut into folds + 1 parts of about the same length."""
     months = train.select(month).distinct()
@@ -82,23 +116,49 @@ def expanding_folds(train: DataFrame, folds: int, month: str = "month") -> list[
     return [(train.filter(day <= a), train.filter((day > a) & (day <= b))) for a, b in zip(at, [*at[1:], float("inf")], strict=False)]
 
 
-def train_forest(train: DataFrame, features: list[str], label: str = "label", grid: tuple = ((100, 200, 500), (3, 5, 10, 30), (5, 10, 20)), folds: int = 5, seed: int = 42) -> Scored:
-    """The forest of the grid (trees, depth, rows of a leaf) with the best mean area under the curve over expanding folds; a fold that fails counts 0."""
+def nested_scores(rows: DataFrame, trees: Trees, features: list[str], label: str, counts: tuple[int, ...], depths: tuple[int, ...]) -> DataFrame:
+    """trees, depth, label, probability, prediction: of every row of rows for every setting that lies within one forest."""
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features], 1)
+                for (t, d), p in shared.value.nested(x, counts, depths).items():
+                    same = lambda v: pa.array(np.full(len(p), v), pa.int32())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(t), same(d), batch.column(label).cast(pa.int32()), pa.array(p), pa.array((p > 0.5).astype(np.int32))], names=["trees", "depth", "label", "probability", "prediction"])
+
+    return rows.select(*features, label).mapInArrow(run, "trees int, depth int, label int, probability double, prediction int")
+
+
+def train_forest(train: DataFrame, features: list[str], label: str = "label", grid: tuple = ((100, 200, 500), (3, 5, 10, 30), (5, 10, 20)), folds: int = 5, seed: int = 42, workers: int = 4) -> Scored:
+    """The forest of the grid (trees, depth, rows of a leaf) with the best mean area under the curve over expanding folds; a fold that fails counts 0, the first of equal settings wins.
+
+    One forest of the most trees and the greatest depth is fitted for each fold and number of rows of a leaf; smaller settings are scored from its
+    first trees and upper levels, which are forests of those settings themselves (drawn by other random numbers than forests fitted alone).
+    workers of these fits run at a time, as they are many small jobs. The chosen setting is then fitted to all rows.
+    """
+    spark = train.sparkSession
     train = kept(train, "forest-rows")
-    parts = expanding_folds(train, folds)
-
-    def quality(setting: tuple[int, int, int]) -> float:
-        total = 0.0
-        for before, after in parts:
-            if before.select(label).distinct().count() == 2:
-                auc = evaluate_classifier(forest(before, features, label, *setting, seed=seed).score(after), label).first()["auc"]
-                total += auc if auc is not None else 0.0
-        return total / max(1, len(parts))
-
-    settings = list(itertools.product(*grid))
-    best = max(settings, key=quality) if len(settings) > 1 else settings[0]
-    out = forest(train, features, label, *best, seed=seed)
-    return out
+    counts, depths, leaves = (tuple(x) for x in grid)
+    settings = list(itertools.product(counts, depths, leaves))
+    parts = expanding_folds(train, folds) if len(settings) > 1 else []
+    usable = [k for k, (before, _) in enumerate(parts) if before.select(label).distinct().count() == 2]
+
+    def scored(job: tuple[int, int]) -> DataFrame:
+        fold, leaf = job
+        before, after = parts[fold]
+        trees = Trees(spark, saved_forest(before, features, label, max(counts), max(depths), leaf, seed))
+        return kept(nested_scores(after, trees, features, label, counts, depths), "forest-scores").withColumns({"fold": F.lit(fold), "leaf": F.lit(leaf)})
+
+    with ThreadPoolExecutor(workers) as pool:
+        every = list(pool.map(scored, itertools.product(usable, leaves)))
+    total = dict.fromkeys(settings, 0.0)
+    if every:
+        for r in evaluate_classifier(reduce(DataFrame.unionByName, every), by=("fold", "trees", "depth", "leaf")).collect():  # a row for each fold and setting
+            total[r.trees, r.depth, r.leaf] += r.auc if r.auc is not None else 0.0
+    best = max(settings, key=total.get)
+    return forest(train, features, label, *best, seed=seed)
 
 
 def evaluate_classifier(scored: DataFrame, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:

@@ -254,15 +254,10 @@ def train_logistic(spark, d):
     return spark.createDataFrame(list(model.weights.items()), "feature string, weight double")
 
 
-def tuned(train):
-    """Fewer settings and folds than the operator's defaults, which take minutes whatever the size of the tables."""
-    return M.train_forest(train, list(X.FEATURES), grid=((10, 20), (3,), (5,)), folds=2)
-
-
 @add("train_forest")
 def train_forest(spark, d):
     train, _ = X.time_split(matrix(spark, d), CUTOFF)
-    model = tuned(train)
+    model = M.train_forest(train, list(X.FEATURES))
     return spark.createDataFrame(list(model.weights.items()), "feature string, importance double")
 
 
@@ -270,7 +265,7 @@ def train_forest(spark, d):
 def select_and_score(spark, d):
     rows = kept(matrix(spark, d), "matrix")
     train, test = X.time_split(rows, CUTOFF)
-    models = [M.train_logistic(train, list(X.FEATURES)), tuned(train)]
+    models = [M.train_logistic(train, list(X.FEATURES)), M.train_forest(train, list(X.FEATURES))]
     aucs = [M.evaluate_classifier(m.score(test)).first()["auc"] for m in models]
     return M.select_and_score(models, aucs, rows)
 

@@ -420,3 +420,51 @@ def test_factors_are_those_of_a_dense_run(spark):
     assert np.allclose([got[i] for i in range(60)], want_w, atol=1e-4)
     assert np.allclose([[r.weight for r in sorted(h.filter(f"topic_id = {t}").collect(), key=lambda r: r.term)] for t in range(3)], want_h, atol=1e-4)
     assert T.nmf_topics(weights.limit(0), vocab.limit(0))[0].count() == 0
+
+
+@pytest.fixture(scope="module")
+def checkered(spark):
+    """Rows over 60 months whose class is seen from two features together only, so trees of one level tell nothing."""
+    rng = np.random.default_rng(1)
+    rows = [(dt.date(2000 + m // 12, 1 + m % 12, 1), *map(float, x), int((x[0] > 0) ^ (x[1] > 0))) for m in range(60) for x in rng.normal(size=(8, 3))]
+    return spark.createDataFrame(rows, "month date, a double, b double, c double, label int").repartition(3).cache()
+
+
+def test_nested_forests_are_the_first_trees_and_upper_levels(spark, checkered):
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.feature import VectorAssembler
+
+    features = ["a", "b", "c"]
+    path = M.saved_forest(checkered, features, "label", 8, 5, 3, 42)
+    model, rows = RandomForestClassificationModel.load(path), VectorAssembler(inputCols=features, outputCol="_x").transform(checkered).collect()
+    x = np.array([[r.a, r.b, r.c] for r in rows])
+    got = M.Trees(spark, path).nested(x, (3, 8), (0, 2, 5))
+    assert np.allclose(got[8, 5], [model.predictProbability(r._x)[1] for r in rows])
+    first = [np.mean([t.predictProbability(r._x)[1] for t in model.trees[:3]]) for r in rows[:50]]
+    assert np.allclose(got[3, 5][:50], first)
+    nodes = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        nodes[r.treeID, r.nodeData.id] = r.nodeData
+
+    def walked(tree, row, depth):
+        n = nodes[tree, 0]
+        for _ in range(depth):
+            if n.leftChild > 0:
+                n = nodes[tree, n.leftChild if row[n.split.featureIndex] <= n.split.leftCategoriesOrThreshold[0] else n.rightChild]
+        return n.impurityStats[1] / sum(n.impurityStats)
+
+    for depth in (0, 2):
+        assert np.allclose(got[8, depth][:40], [np.mean([walked(t, row, depth) for t in range(8)]) for row in x[:40]])
+
+
+def test_forest_search_chooses_as_the_plain_loop(spark, checkered, monkeypatch):
+    features, grid = ["a", "b", "c"], ((12,), (1, 6), (3, 150))
+    plain = {}
+    for depth in grid[1]:
+        for leaf in grid[2]:
+            aucs = [M.evaluate_classifier(M.forest(before, features, "label", 12, depth, leaf).score(after)).first()["auc"] for before, after in M.expanding_folds(checkered, 2)]
+            plain[12, depth, leaf] = sum(a or 0.0 for a in aucs)
+    chosen, real = [], M.forest
+    monkeypatch.setattr(M, "forest", lambda *a, **k: (chosen.append(a[3:]), real(*a, **k))[1])
+    model = M.train_forest(checkered, features, grid=grid, folds=2)
+    assert chosen == [max(plain, key=plain.get)] == [(12, 6, 3)] and set(model.weights) == set(features)
