@@ -30,6 +30,7 @@ NARRATIVE_RULES = (  # Fixed values: patterns, and what to say of them.
     (r"(?i)(?:quarterly|annualized|annual|monthly)\s+(?:expansion|growth|increase|gain)\s+of\s+\$\d", "a level is worded as growth"),
     (r"(?i)\$\d[\d,]*\s*B?\s+(?:expansion|gain|increase)", "a level is worded as a gain"),
 )
+# Fixed value: wording that needs a citation.
 METHOD_WORDING = r"(?i)\b(published by|seasonally adjusted|as defined by|measured by|(?:the\s+)?(?:bls|bureau of labor statistics|bea|federal reserve))\b"
 
 

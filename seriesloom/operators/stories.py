@@ -14,6 +14,7 @@ from .panel import between, first_of, side_by_side
 
 # Words that tag a story.
 TAG_WORDS = ("layoff", "laid off", "layoffs", "fired", "let go", "downsized", "riffed", "rif", "reduction in force", "restructuring", "severance", "terminated")
+# Titles of stories that are gone.
 DELETED = ("[deleted]", "[dead]", "[flagged]")
 START = "2022-01-01"
 
@@ -181,6 +182,3 @@ def tag_volume_vs_gap(rollup: DataFrame, obs: DataFrame, a: str, b: str, by=("pa
     by = list(by)
     gap = side_by_side(obs, [a, b], by).select(*by, month_of(F.col("date")).alias("month"), F.round(F.col(a) - F.col(b), digits).alias("gap")).filter("gap is not null")
     return gap.join(rollup.select("month", "tag_story_count"), "month").select(*by, "month", "tag_story_count", "gap")
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("lagged", "ordered")]
