@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, hot_keys, salted_join, small_batches, with_bit, written
+from .common import bit_table, hot_keys, salted_join, small_batches, whole_row, with_bit, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -460,7 +460,8 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     The first row of each group stays: it is found again by doc_id and digest. Rows whose text has no row that goes pass
     straight through, and of the others those that are no first row go at once, both by bit tables; only what is left (the first
-    rows, and a few that share their bits) is shuffled to the exact join. Where rows repeat doc_id and text, one stays.
+    rows, and a few that share their bits) is shuffled to the exact join. Where rows repeat doc_id and text, the one
+    stays whose other columns, as JSON, come first.
     """
     rows = written(grouped(docs, least=least).withColumn("_hex", F.lower(F.hex("digest"))), "near-groups")
     rows = rows.withColumns({"_text": F.xxhash64("_hex"), "_key": F.xxhash64("doc_id", "_hex"), "_stays": F.col("row") == F.col("root")})
@@ -468,7 +469,7 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     stays = with_bit(rows.filter("_stays"), going, "_text", "_may").filter("_may")
     stays = written(stays.select(F.col("doc_id").alias("_id"), F.col("_hex").alias("_of"), "_key", (F.coalesce("size", F.lit(0)) == 0).alias("_blank")), "near-kept")
     first = bit_table(stays, "_key")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.md5(F.col("text").cast("binary")).alias("_hex"))
+    inner = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_doc"), F.md5(F.col("text").cast("binary")).alias("_hex"))
     inner = inner.withColumns({"_text": F.xxhash64("_hex"), "_key": F.xxhash64("_doc", "_hex")})
     marked = with_bit(inner, going, "_text", "_may")
     at_once = marked.filter("not _may").select("_row.*")
@@ -477,5 +478,7 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     same = asked["_hex"].eqNullSafe(exact["_of"]) & asked["_doc"].eqNullSafe(exact["_id"])
     found = asked.join(exact, same)
     # A row without words stays each time; of others with equal doc_id and text, one does.
-    once = found.filter("not _blank").groupBy("_doc", "_hex").agg(F.first("_row").alias("_row"))
+    others = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    once = found.filter("not _blank").groupBy("_doc", "_hex").agg(F.min_by("_row", order).alias("_row"))
     return at_once.unionByName(found.filter("_blank").select("_row.*")).unionByName(once.select("_row.*"))

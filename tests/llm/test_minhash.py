@@ -117,6 +117,19 @@ def test_one_of_each_group_stays(spark):
     assert Counter(groups[d] for d in kept) == Counter(set(groups.values()))
 
 
+def test_of_repeated_rows_the_first_by_its_other_columns_stays(spark):
+    from odd_columns import as_rows, with_odd_columns
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, c) for c in "dbca"] + [(2, text + " eleven", "z"), (3, "quite another text of some more words here", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    for parts in (1, 4):
+        out = minhash.keep_one(docs.repartition(parts, "`a.b`")).collect()
+        assert sorted((r.doc_id, r["a.b"]) for r in out) == [(1, "a"), (3, "y")]
+    odd = with_odd_columns(docs.filter("doc_id = 3").drop("`a.b`"))
+    assert as_rows(minhash.keep_one(odd)) == as_rows(odd)
+
+
 def test_chains_join_up(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
     got = defaultdict(set)
