@@ -349,12 +349,15 @@ def reference_context(spark, d):
 DAYS = "SELECT CAST(ts AS DATE) AS day, round(AVG(value), 6) AS mean_sentiment, COUNT(*) AS story_count, COUNT(*) FILTER (event_type IN ('click', 'view')) AS tag_story_count FROM events GROUP BY 1 HAVING CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY"
 
 
+def event_stream(spark, d, *more):
+    """Events as a stream of stories, with the named columns beside."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return stream.select(F.col("event_id").alias("story_id"), F.col("ts").alias("created_utc"), F.col("event_type").alias("title"), F.lit("").alias("text_excerpt"), F.col("value").alias("sentiment_score"), *more)
+
+
 def streamed_days(spark, d):
     here = scratch_path(spark, "stream")
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    shaped = stream.select(F.col("event_id").alias("story_id"), F.col("ts").alias("created_utc"), F.col("event_type").alias("title"), F.lit("").alias("text_excerpt"), F.col("value").alias("sentiment_score"))
-    query = U.stream_monthly_rollup(shaped, f"{here}/days", f"{here}/state", ("click", "view"))
+    query = U.stream_monthly_rollup(event_stream(spark, d), f"{here}/days", f"{here}/state", ("click", "view"))
     query.awaitTermination()
     return spark.read.schema("day date, mean_sentiment double, story_count long, tag_story_count long").parquet(f"{here}/days")
 
@@ -372,3 +375,24 @@ MONTHS = f"SELECT CAST(date_trunc('month', day) AS DATE) AS month, round(SUM(mea
 def stream_months(spark, d):
     """The stream's complete days summed up by month."""
     return U.monthly_of_days(streamed_days(spark, d)).withColumn("mean_sentiment", F.round("mean_sentiment", D))
+
+
+CALENDAR = f"SELECT {{key}}CAST(date_trunc('month', ts) AS DATE) AS month, round(AVG(value), {D}) AS mean_sentiment, COUNT(*) AS story_count, COUNT(*) FILTER (event_type IN ('click', 'view')) AS tag_story_count, CAST(COUNT(DISTINCT CAST(ts AS DATE)) AS INTEGER) AS days FROM events GROUP BY ALL HAVING date_trunc('month', ANY_VALUE(ts)) + INTERVAL 1 MONTH <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY"
+
+
+def streamed_months(spark, d, **columns):
+    here = scratch_path(spark, "months")
+    U.stream_calendar_months(event_stream(spark, d, "event_type"), f"{here}/months", f"{here}/state", ("click", "view"), **columns).awaitTermination()
+    keys = "".join(f"{c} string, " for c in columns.get("by", ()))
+    return spark.read.schema(keys + U.MONTH).parquet(f"{here}/months").withColumn("mean_sentiment", F.round("mean_sentiment", D))
+
+
+@add("stream_calendar_months", CALENDAR.format(key=""), "")
+def stream_calendar_months(spark, d):
+    """The months that are complete when the stream has been read, as the stream gives them out."""
+    return streamed_months(spark, d)
+
+
+@add("stream_months_by_type", CALENDAR.format(key="event_type, "), "")
+def stream_months_by_type(spark, d):
+    return streamed_months(spark, d, by=("event_type",))
