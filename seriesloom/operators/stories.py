@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lagged, month_of, normalize_text, ordered, ratio
 from .panel import between, first_of, side_by_side
+from .sentiment import Sentiment
 
 # Words that tag a story.
 TAG_WORDS = ("layoff", "laid off", "layoffs", "fired", "let go", "downsized", "riffed", "rif", "reduction in force", "restructuring", "severance", "terminated")
@@ -89,8 +90,8 @@ def lexicon_scorer(texts: list[str]) -> list[dict[str, float]]:
 GOOD, BAD = {"good", "great", "gain", "growth", "hope", "strong", "win"}, {"bad", "loss", "fear", "fired", "layoff", "weak", "worse"}
 
 
-def score_stories(df: DataFrame, scorer: Callable[[list[str]], list[dict[str, float]]] = lexicon_scorer, batch_size: int = 16, rescore: bool = False) -> DataFrame:
-    """Adds sentiment by scorer(texts) -> class probabilities, in batches, each worker for itself. Scored rows stay unless rescore."""
+def score_stories(df: DataFrame, scorer: Callable[[list[str]], list[dict[str, float]]] | Sentiment = lexicon_scorer, batch_size: int = 16, rescore: bool = False) -> DataFrame:
+    """Adds sentiment by a fitted Sentiment, or by scorer(texts) -> class probabilities, in batches, each worker for itself. Scored rows stay unless rescore."""
     has = "sentiment_score" in df.columns
     base = df if has else df.withColumns({"sentiment_score": F.lit(None).cast("double"), "sentiment_label": F.lit(None).cast("string")})
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("text_excerpt", F.lit("")))
@@ -102,8 +103,10 @@ def score_stories(df: DataFrame, scorer: Callable[[list[str]], list[dict[str, fl
             yield pd.DataFrame(rows, columns=["positive", "negative", "neutral"])
 
     todo = F.lit(True) if rescore else F.col("sentiment_score").isNull()
-    fresh = base.filter(todo).withColumn("_p", probabilities(text)).select("*", "_p.*")
-    scored = sentiment_from_probs(fresh).select(base.columns)
+    fresh = base.filter(todo)
+    fresh = scorer.scored(fresh, text) if isinstance(scorer, Sentiment) else fresh.withColumn("_p", probabilities(text))
+    named = fresh.select("*", *[F.col(f"_p.{c}").alias(f"_{c}") for c in ("positive", "negative", "neutral")])
+    scored = sentiment_from_probs(named, "_positive", "_negative", "_neutral").drop("_p", "_positive", "_negative", "_neutral")
     return scored if rescore else scored.unionByName(base.filter(~todo))
 
 

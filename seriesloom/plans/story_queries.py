@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.unicode import nfkc
+from ..operators import model as M
 from ..operators import panel as P
 from ..operators import retrieval as R
+from ..operators import sentiment as N
 from ..operators import stories as S
 from ..operators import topics as T
 from ..streaming import rollup as U
@@ -107,6 +109,29 @@ def score_stories(spark, d):
     return S.score_stories(stories(spark, d).drop("positive", "negative")).select("story_id", "sentiment_score", "sentiment_label")
 
 
+def fitted_sentiment(spark, d):
+    """Stories with a label (2: good and not toxic, 0: toxic, 1: neither), held_out (a third, by a hash of the id), and a model of the others."""
+    rows = stories(spark, d).withColumn("held_out", F.crc32(F.col("story_id").cast("string")) % 3 == 1)
+    rows = rows.withColumn("label", F.when(F.col("negative") == 1, 0).when(F.col("positive") == 1, 2).when(F.col("positive").isNotNull(), 1)).drop("positive", "negative")
+    return rows, N.fit_sentiment(rows.filter("not held_out"))
+
+
+@add("score_stories_fitted")
+def score_stories_fitted(spark, d):
+    """All stories by the fitted model."""
+    rows, model = fitted_sentiment(spark, d)
+    return S.score_stories(rows, model).select("story_id", "held_out", "label", "sentiment_score", "sentiment_label")
+
+
+@add("sentiment_evaluation")
+def sentiment_evaluation(spark, d):
+    """How well the fitted model tells toxic stories among those that it has not seen."""
+    rows, model = fitted_sentiment(spark, d)
+    p = F.col("_p.negative")
+    scored = model.scored(rows.filter("held_out and label is not null")).select((F.col("label") == 0).cast("int").alias("label"), p.alias("probability"), (p > 0.5).cast("int").alias("prediction"))
+    return M.evaluate_classifier(scored)
+
+
 @add("scoring_stats", "SELECT COUNT(*) FILTER (positive + negative = 0 AND NOT gone) AS scored, COUNT(*) FILTER (positive + negative = 0 AND gone) AS skipped_deleted, COUNT(*) FILTER (positive + negative > 0) AS skipped_prescored FROM scored")
 def scoring_stats(spark, d):
     some = scored(spark, d)
