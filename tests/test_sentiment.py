@@ -59,7 +59,7 @@ def test_stories(spark, model):
 def test_few_labels(spark):
     """One class only, and none at all."""
     rows = spark.createDataFrame([("a b c", 0), ("b c d", 0), ("c d e", 0)], "t string, label int")
-    p = N.fit_sentiment(rows, F.col("t"), features=64, parts=1).scored(rows, F.col("t")).first()._p
+    p = N.fit_sentiment(rows, F.col("t"), features=64).scored(rows, F.col("t")).first()._p
     assert p.negative > 0.99
     with pytest.raises(ValueError, match="labelled"):
         N.fit_sentiment(rows.limit(0), F.col("t"))
