@@ -12,8 +12,9 @@ from ..operators import retrieval as R
 from ..operators import sentiment as N
 from ..operators import stories as S
 from ..operators import topics as T
+from ..operators import vectors as E
 from ..streaming import rollup as U
-from ..sources.scratch import scratch_path
+from ..sources.scratch import kept, scratch_path
 from .stand_ins import OBS, WORDS, observations, stories, stories_sql, table
 
 QUERIES: dict = {}
@@ -327,6 +328,32 @@ def embed_whole(spark, d):
     return cells.select("chunk_id", F.col("cell").cast("long").alias("cell"), F.round(F.col("w") * F.col("n") / F.col("total")).cast("long").alias("words"))
 
 
+NEAR_WORDS = """texts AS (SELECT row_number() OVER () AS r, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS t FROM documents WHERE text IS NOT NULL),
+words AS (SELECT r, unnest(t) AS term, unnest(range(len(t))) AS pos FROM texts),
+vocab AS (SELECT term FROM (SELECT term, COUNT(DISTINCT r) AS df FROM words GROUP BY 1) WHERE df >= 3 ORDER BY df DESC, term LIMIT 10000),
+ahead AS (SELECT term AS a, unnest([lead(term, 1) OVER w, lead(term, 2) OVER w, lead(term, 3) OVER w, lead(term, 4) OVER w, lead(term, 5) OVER w]) AS b FROM words WINDOW w AS (PARTITION BY r ORDER BY pos)),
+pairs AS (SELECT a, b, COUNT(*) AS n FROM ahead WHERE a IN (SELECT term FROM vocab) AND b IN (SELECT term FROM vocab) GROUP BY 1, 2),
+both_ AS (SELECT term, other, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT a AS term, b AS other, n FROM pairs UNION ALL SELECT b, a, n FROM pairs) GROUP BY 1, 2),
+sums AS (SELECT term, CAST(SUM(n) AS DOUBLE) AS s FROM both_ GROUP BY 1)"""
+
+
+@add("word_associations", f"SELECT x.term, other, n, round(ln(n * (SELECT SUM(s) FROM sums) / (p.s * q.s)), {D}) AS weight FROM both_ x JOIN sums p ON p.term = x.term JOIN sums q ON q.term = other WHERE ln(n * (SELECT SUM(s) FROM sums) / (p.s * q.s)) > 0", NEAR_WORDS)
+def word_associations(spark, d):
+    """The table that learnt vectors come from, by terms."""
+    tokens = T.tokenize(table(spark, d, "documents").filter("text is not null"), [])
+    vocab = kept(E.vocabulary(tokens).select("idx", "term"), "vector-vocabulary")
+    found = E.associations(E.pair_counts(tokens, [r["term"] for r in vocab.orderBy("idx").collect()]))
+    named = found.join(F.broadcast(vocab.withColumnRenamed("idx", "row")), "row").join(F.broadcast(vocab.select(F.col("idx").alias("col"), F.col("term").alias("other"))), "col")
+    return named.select("term", "other", "n", F.round("weight", D).alias("weight"))
+
+
+@add("embed_chunks_learnt")
+def embed_chunks_learnt(spark, d):
+    """All chunks by vectors learnt from all whole texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return E.embed_learnt(R.chunk_documents(docs), E.learn_vectors(T.tokenize(docs, [])))
+
+
 def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
