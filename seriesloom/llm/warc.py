@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, scratch, small_batches, written
+from .common import bit_table, lookup_join, scratch, small_batches, with_bit, written
 
 CHUNK = 1 << 16
 FILE_BYTES = 512 << 20
@@ -42,13 +42,29 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """pages with digest, n_bytes, refers_to: of equal payloads of at least so many bytes, all but the smallest page_id refer to it.
 
     A null html is an empty payload. Rows that repeat the smallest page_id are all responses; a null page_id is never the
-    smallest unless all of the group are null, and then all are responses.
+    smallest unless all of the group are null, and then all are responses. The html of revisits is left out (null), as their
+    records have no payload.
+
+    Groups are found on rows without html. A bit table of the revisits tells most responses at the scan, where their html stays; a second
+    one, of the few rows that the first is wrong about, leaves only rows in both tables to an exact join, and no other html is shuffled.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    marked = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
-    groups = marked.filter(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    first = lookup_join(marked, written(groups.withColumnRenamed("n", "copies"), "warc-groups"), "digest", "page_id", "copies").drop("copies")
-    return first.withColumn("refers_to", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    digest = F.sha2(payload, 256).alias("digest")
+    marked = pages.select("page_id", "url", "html", digest, F.octet_length(payload).cast("long").alias("n_bytes")).withColumn("_key", F.xxhash64("digest", "page_id"))
+    long = written(marked.filter(F.col("n_bytes") >= least).drop("html"), "warc-rows")
+    groups = written(long.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1"), "warc-groups")
+    known = lookup_join(long, groups, "digest", "page_id", "copies")
+    again = written(known.filter(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).withColumnRenamed("first_id", "refers_to"), "warc-revisits")
+    bits = bit_table(again, "_key")
+    exact = again.select(F.col("digest").alias("_of"), F.col("page_id").alias("_id")).distinct()
+    same = F.col("digest").eqNullSafe(F.col("_of")) & F.col("page_id").eqNullSafe(F.col("_id"))
+    # Short rows are never revisits, whatever the table says.
+    asked = with_bit(marked, bits, "_key", "_may").withColumn("_may", F.col("_may") & (F.col("n_bytes") >= least))
+    wrong = with_bit(long, bits, "_key", "_may").filter("_may").join(exact, same, "left_anti")
+    both = with_bit(asked.filter("_may"), bit_table(written(wrong.select("_key"), "warc-wrong"), "_key"), "_key", "_wrong").filter("_wrong").join(exact, same, "left_anti")
+    columns = ["page_id", "url", "html", "digest", "n_bytes"]
+    responses = asked.filter("not _may").select(columns).unionByName(both.select(columns)).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType))
+    return responses.unionByName(again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "n_bytes", "refers_to"))
 
 
 def write_archives(pages: DataFrame, uri: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:

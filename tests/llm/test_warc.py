@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+from pyspark.sql import functions as F
 from seriesloom.llm import warc
 
 SCHEMA = "page_id long, url string, html string, digest string"
@@ -49,3 +51,29 @@ def test_revisits_name_the_record_of_their_response(spark):
                 if "WARC-Refers-To" in lines:
                     refers[int(lines["X-Page-Id"])] = lines["WARC-Refers-To"]
     assert len(ids) == len(ROWS) and {p: ids[x] for p, x in refers.items()} == {5: ("response", 3), 9: ("response", 3)}
+
+
+def expected(rows):
+    first, n = {}, {}
+    for page_id, _, html, _ in rows:
+        n[html] = n.get(html, 0) + 1
+        first[html] = page_id if html not in first else min(x for x in (first[html], page_id) if x is not None) if (first[html], page_id) != (None, None) else None
+    long = lambda h: len((h or "").encode()) >= 100
+    return sorted((str(p), str(first[h] if long(h) and n[h] > 1 and first[h] is not None and p != first[h] else None)) for p, _, h, _ in rows)
+
+
+@pytest.mark.parametrize("rows_of_lookup", [100_000, 3])
+def test_revisits_equal_brute_force_by_any_join(spark, monkeypatch, rows_of_lookup):
+    """A third of all rows hold one payload; ids repeat and are null; groups of many sizes."""
+    monkeypatch.setattr("seriesloom.llm.common.BROADCAST_ROWS", rows_of_lookup)
+    rows = [(None if i % 97 == 0 else i % 1500, "u", SAME if i % 3 == 0 else f"{i % 211:04d}" * (30 if i % 2 else 3), None) for i in range(2000)]
+    out = warc.revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.page_id), str(r.refers_to)) for r in out) == expected(rows)
+    for r in out:
+        assert (r.html is None) == (r.refers_to is not None) and (r.html is None or hashlib.sha256(r.html.encode()).hexdigest() == r.digest)
+
+
+def test_bit_tables_that_say_yes_to_all_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(warc, "with_bit", lambda rows, bits, name, out: rows.withColumn(out, F.lit(True)))
+    out = warc.revisits(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    assert sorted((str(r.page_id), str(r.refers_to)) for r in out) == expected(ROWS) and all(r.html is not None or r.refers_to for r in out if r.page_id != 4)
