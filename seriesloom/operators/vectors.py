@@ -68,9 +68,10 @@ def associations(pairs: DataFrame) -> DataFrame:
 
 def product(rows: DataFrame, x: np.ndarray) -> np.ndarray:
     """The symmetric table times x. Each row is one product of its own, so the numbers do not depend on how rows are dealt."""
-    width = x.shape[1]
+    width, shared = x.shape[1], rows.sparkSession.sparkContext.broadcast(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shared.value
         for batch in batches:
             cols, weights = batch.column("cols"), batch.column("weights")
             out = [np.asarray(w.values) @ x[np.asarray(c.values)] for c, w in zip(cols, weights, strict=True)]
@@ -78,30 +79,40 @@ def product(rows: DataFrame, x: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * width), flat)], names=["row", "y"])
 
     got = rows.mapInArrow(run, "row int, y array<double>").toArrow().combine_chunks()
+    shared.destroy()  # executors keep its bytes on disk until then
     y = np.zeros_like(x)
     if len(got):
         y[got["row"].to_numpy()] = got["y"].combine_chunks().flatten().to_numpy().reshape(-1, width)
     return y
 
 
-def leading(rows: DataFrame, n: int, size: int, extra: int = 16, rounds: int = 30, tol: float = 1e-3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def leading(rows: DataFrame, n: int, size: int, extra: int = 16, rounds: int = 8, tol: float = 1e-3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """The largest eigenvalues (at most size, positive ones only) of a written symmetric table of n rows (see ROW), and their vectors.
 
-    Randomised subspace iteration: size + extra random columns are multiplied by the table, one job a round, and made orthonormal; the
-    rounds end when no wanted value moves by more than tol of the largest. The driver holds n x (size + extra) numbers, no table.
+    Randomised block Krylov method: size + extra random columns are multiplied by the table, one job a round; what a product adds to the
+    columns so far is multiplied next, and the answer is the best within their span. The rounds end when no wanted value moves by more
+    than tol of the largest, or nothing is added. The driver holds 2 x rounds x n x (size + extra) numbers, no table.
     """
-    width = min(n, size + extra)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    columns = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, size + extra))))[0]
+    basis = images = np.zeros((n, 0))
     before = None
     for _ in range(rounds):
-        y = product(rows, basis)
-        small = basis.T @ y
+        y = product(rows, columns)
+        basis, images = np.hstack([basis, columns]), np.hstack([images, y])
+        small = basis.T @ images
         values, turn = np.linalg.eigh((small + small.T) / 2)
         order = np.argsort(-values, kind="stable")[:size]
-        values, vectors = values[order], basis @ turn[:, order]
-        if before is not None and np.abs(values - before).max(initial=0) <= tol * np.abs(values).max(initial=0):
+        values, most = values[order], np.abs(values).max(initial=0)
+        if before is not None and len(before) == len(values) and np.abs(values - before).max(initial=0) <= tol * most:
             break
-        before, basis = values, np.linalg.qr(y)[0]
+        before, rest = values, y
+        for _ in range(2):  # once more, against round-off
+            rest = rest - basis @ (basis.T @ rest)
+        u, s, _ = np.linalg.svd(rest, full_matrices=False)
+        columns = u[:, s > 1e-9 * most]
+        if not columns.shape[1]:
+            break
+    vectors = basis @ turn[:, order]
     some = values > 1e-9
     values, vectors = values[some], vectors[:, some]
     top = np.abs(vectors).argmax(0) if vectors.size else np.zeros(0, int)
