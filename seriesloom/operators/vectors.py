@@ -21,18 +21,20 @@ def vocabulary(tokens: DataFrame, min_df: int = 3, max_terms: int = 10_000) -> D
 
     tokens: doc_id, tokens. The bound is that of a vocabulary: the table goes to every task.
     """
-    held = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = tokens.filter("size(tokens) > 0").agg(F.count("*").alias("_n"))
-    terms = held.filter(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(max_terms)
+    texts_too = F.when(F.size("tokens") > 0, F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string")))  # a null term counts texts
+    held = kept(tokens.select(F.explode(texts_too).alias("term")).groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) | F.col("term").isNull()), "vector-terms")
+    n = held.filter("term is null").select(F.col("df").alias("_n"))
+    terms = held.filter("term is not null").orderBy(F.desc("df"), "term").limit(max_terms)
     terms = kept(terms.crossJoin(F.broadcast(n)).select("term", "df", F.log((1 + F.col("_n")) / F.col("df")).alias("idf")).coalesce(1), "vector-terms")
     named = sorted((r["term"] for r in terms.select("term").collect()), key=lambda t: t.encode())
     return F.broadcast(tokens.sparkSession.createDataFrame(list(enumerate(named)), "idx int, term string")).join(terms, "term").select("idx", "term", "df", "idf")
 
 
-def pair_counts(tokens: DataFrame, terms: list[str], window: int = 5) -> DataFrame:
+def pair_counts(tokens: DataFrame, terms: list[str], window: int = 5, at_once: int = 1_000_000) -> DataFrame:
     """i, j, n: how often terms i and j (i <= j) lie less than window + 1 places apart in a text. Other words keep their places.
 
-    A word makes at most window pairs, so the work grows with the text and not with its square; batches are counted before the shuffle.
+    A word makes at most window pairs, so the work grows with the text and not with its square; so many words
+    of a batch as at_once says are counted at a time, before the shuffle.
     """
     size, place = len(terms), {t: i for i, t in enumerate(terms)}
 
@@ -42,14 +44,16 @@ def pair_counts(tokens: DataFrame, terms: list[str], window: int = 5) -> DataFra
             words = lists.flatten().dictionary_encode()
             known = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()] + [-1], np.int64)
             ids = known[np.asarray(words.indices)]
-            owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
-            codes = [np.zeros(0, np.int64)]
-            for step in range(1, window + 1):
-                a, b = ids[:-step], ids[step:]
-                near = (owner[:-step] == owner[step:]) & (a >= 0) & (b >= 0)
-                codes.append(np.minimum(a, b)[near] * size + np.maximum(a, b)[near])
-            code, n = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
+            owner = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(lists.value_lengths().fill_null(0)))
+            for start in range(0, len(ids), at_once):
+                codes = []
+                for step in range(1, window + 1):
+                    end = max(start, min(start + at_once, len(ids) - step))
+                    a, b = ids[start:end], ids[start + step : end + step]
+                    near = (owner[start:end] == owner[start + step : end + step]) & (a >= 0) & (b >= 0)
+                    codes.append(np.minimum(a, b)[near] * size + np.maximum(a, b)[near])
+                code, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
 
     counts = tokens.select("tokens").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return counts.select(F.expr(f"cast(code div {max(1, size)} as int)").alias("i"), (F.col("code") % max(1, size)).cast("int").alias("j"), "n")

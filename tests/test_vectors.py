@@ -46,6 +46,8 @@ def test_associations_and_eigenvectors_equal_a_dense_computation(tokens, texts):
     terms = sorted({w for _, words in texts for w in words})
     whole = dense(texts, terms)
     table = V.associations(V.pair_counts(tokens.filter("tokens is not null"), terms))
+    few = V.pair_counts(tokens.filter("tokens is not null").coalesce(1), terms, at_once=7)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, V.pair_counts(tokens.filter("tokens is not null"), terms).collect()))
     got = np.zeros_like(whole)
     for r in table.collect():
         got[r.row, r.col] = r.weight
