@@ -30,7 +30,7 @@ def vocabulary(tokens: DataFrame, min_df: int = 3, max_terms: int = 10_000) -> D
     return F.broadcast(tokens.sparkSession.createDataFrame(list(enumerate(named)), "idx int, term string")).join(terms, "term").select("idx", "term", "df", "idf")
 
 
-def pair_counts(tokens: DataFrame, terms: list[str], window: int = 5, at_once: int = 1_000_000) -> DataFrame:
+def pair_counts(tokens: DataFrame, terms: list[str], window: int = 5, at_once: int = 400_000) -> DataFrame:
     """i, j, n: how often terms i and j (i <= j) lie less than window + 1 places apart in a text. Other words keep their places.
 
     A word makes at most window pairs, so the work grows with the text and not with its square; so many words
@@ -41,16 +41,16 @@ def pair_counts(tokens: DataFrame, terms: list[str], window: int = 5, at_once: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
-            words = lists.flatten().dictionary_encode()
-            known = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()] + [-1], np.int64)
-            ids = known[np.asarray(words.indices)]
-            owner = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(lists.value_lengths().fill_null(0)))
-            for start in range(0, len(ids), at_once):
+            flat, owner = lists.flatten(), np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(lists.value_lengths().fill_null(0)))
+            for start in range(0, len(flat), at_once):
+                words = flat.slice(start, at_once + window).dictionary_encode()
+                known = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
+                ids, of = known[np.asarray(words.indices)], owner[start : start + at_once + window]
                 codes = []
                 for step in range(1, window + 1):
-                    end = max(start, min(start + at_once, len(ids) - step))
-                    a, b = ids[start:end], ids[start + step : end + step]
-                    near = (owner[start:end] == owner[start + step : end + step]) & (a >= 0) & (b >= 0)
+                    end = max(0, min(at_once, len(ids) - step))
+                    a, b = ids[:end], ids[step : end + step]
+                    near = (of[:end] == of[step : end + step]) & (a >= 0) & (b >= 0)
                     codes.append(np.minimum(a, b)[near] * size + np.maximum(a, b)[near])
                 code, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"code": code, "n": n.astype(np.int64)})
