@@ -5,8 +5,8 @@ from __future__ import annotations
 import functools
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -31,13 +31,13 @@ class WordIds(dict):
     """Token ids by chunk between ASCII white space, as bytes of unsigned 32-bit numbers; forgotten when there are too many.
 
     The tokenizer drops white space and case before it splits, so the ids of a text are those of its lower-cased chunks in
-    order; only the names of special tokens depend on case. It splits between letters and marks, so a mark at the end of a
-    word adds its own ids. A word of Latin letters needs neither normaliser nor splitter: it goes to the BPE model at once.
+    order; only the names of special tokens depend on case. It splits between letters and marks, so marks at the end of a
+    word add their own ids. A word of Latin letters needs neither normaliser nor splitter: it goes to the BPE model at once.
     """
 
     LIMIT, LONGEST = 700_000, 64
-    PLAIN = re.compile("[a-zà-öø-ÿ]+")
-    ENDING = re.compile(rb"[a-z][.,]")
+    #: Latin letters, and ASCII marks after them, which are one piece.
+    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,21 +46,23 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {i: letters.pre_tokenize_str(chr(i))[0][0] for i in range(0xE0, 0x100)}
+        self.letters = {i: letters.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.removesuffix("</w>")[-1:] in tuple(".!?")]] = True
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(chunk) > 1 and self.ENDING.fullmatch(chunk, len(chunk) - 2):
-            ids = self[chunk[:-1]] + self[chunk[-1:]]
+        if chunk.isalpha():  # ASCII letters alone
+            ids = array("I", [t.id for t in self.model.tokenize(chunk.lower().decode())]).tobytes()
         else:
             text = chunk.decode()
-            if self.PLAIN.fullmatch(text):
-                found = [t.id for t in self.model.tokenize(text.translate(self.letters))]
+            parts = self.WORD.fullmatch(text)
+            if not parts:
+                ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            elif parts[2]:
+                ids = self[parts[1].encode()] + self[parts[2].encode()]
             else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
+                ids = array("I", [t.id for t in self.model.tokenize(text.lower().translate(self.letters))]).tobytes()
         if len(chunk) <= self.LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -114,7 +116,7 @@ def best_cuts(at: list[int], cost: list[int], size: int = SIZE, open_end: bool =
 def cut_points(ids: np.ndarray, ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Positions in a document (1 to its length) where it may be cut, and what each costs."""
     n = len(ids)
-    stops = np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1
+    stops = np.flatnonzero(np.take(ends, ids, mode="clip")) + 1
     gaps = np.diff(np.concatenate(([0], stops, [n])))
     if (gaps > 2 * grid).any():
         steps = np.arange(grid, n, grid)

@@ -80,3 +80,19 @@ def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     twice = packing.pack(spark.createDataFrame([(None, None)] * 2, "doc_id long, text string").coalesce(1), PATH).collect()
     assert [(p.doc_id, p.length, p.doc_tokens) for p in twice] == [(None, 1, 1)] * 2
+
+
+def test_latin_words_with_marks_need_no_splitter():
+    """Their ids are those of the whole tokenizer, which is not asked for the word."""
+    tok, words = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    asked = []
+
+    class Spy:
+        def encode(self, text, **kwargs):
+            asked.append(text)
+            return tok.encode(text, **kwargs)
+
+    words.tokenizer = Spy()
+    for word in ("Éourément", "ß", "straße***", "réré,", "ÀÐÞ!?", "plain", "stone&&&", "ÿ.", "don't", "x1", "a×b", "**a", "<|endoftext|>", "<|", "\u212a", "\u0130i"):
+        assert np.frombuffer(words[word.encode()], "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids
+    assert set(asked) == {"***", ",", "!?", "&&&", ".", "don't", "x1", "a×b", "**a", "<|endoftext|>", "<|", "\u212a", "\u0130i"}
