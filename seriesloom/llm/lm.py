@@ -102,12 +102,13 @@ class Attention:
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights()])
 
+    def over(self, flat: np.ndarray) -> Attention:
+        """Weights that are views of flat."""
+        ends = np.cumsum([w.size for w in self.weights()])
+        return Attention(*(x.reshape(w.shape) for x, w in zip(np.split(flat, ends[:-1]), self.weights(), strict=True)))
+
     def filled(self, flat: np.ndarray) -> Attention:
-        parts, at = [], 0
-        for w in self.weights():
-            parts.append(flat[at : at + w.size].reshape(w.shape).astype(np.float32))
-            at += w.size
-        return Attention(*parts)
+        return self.over(flat.astype(np.float32))
 
 
 def fresh(classes: int = CLASSES, seed: int = 5) -> Attention:
@@ -124,41 +125,68 @@ CAP = np.where(CAUSAL < 0, CAUSAL, 60).astype(np.float32)
 SCALE = np.float32(WIDTH**-0.5)
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by exp(), which numpy computes faster than tanh()."""
+    x += x
+    np.exp(np.minimum(x, 80, out=x), out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
     return x
 
 
+def attend(m: Attention, inputs: np.ndarray, begins: np.ndarray) -> tuple:
+    """What forward() and gradients() share, up to the hidden layer, t. Shares of attention stay undivided: a's rows add up to 1 / share.
+
+    Arrays that meet the same factor lie side by side, and a column of ones stands where a sum or a bias is wanted, so that wide
+    arrays are passed over as seldom as can be. a has an array for each STRIDE positions, over what the last of them may see.
+    """
+    n, d, size = len(inputs), WIDTH, begins.shape[1]
+    first = inputs.shape[1] - size
+    e = np.take(m.symbol, inputs, axis=0)
+    e += m.place
+    eq = e[:, first:] + np.take(m.begin, begins, axis=0)
+    qs = (eq.reshape(-1, d) @ np.hstack((m.query * SCALE, m.skip))).reshape(n, -1, 2 * d)
+    kv = np.ones((n, inputs.shape[1], 2 * d + 1), np.float32)
+    np.matmul(e.reshape(-1, d), np.hstack((m.key, m.value)), out=kv.reshape(-1, 2 * d + 1)[:, : 2 * d])
+    a, o = {}, np.empty((n, size, d + 1), np.float32)
+    for at in range(0, size, STRIDE):
+        seen = first + at + STRIDE
+        x = a[at] = qs[:, at : at + STRIDE, :d] @ kv[:, :seen, :d].transpose(0, 2, 1)
+        np.minimum(x, CAP[first + at : seen, :seen], out=x)
+        np.exp(x, out=x)
+        np.matmul(x, kv[:, :seen, d:], out=o[:, at : at + STRIDE])
+    share = 1 / (o[:, :, d:] + np.float32(1e-30))
+    o = o[:, :, :d] * share
+    hidden = o.reshape(-1, d) @ m.mix
+    hidden += qs.reshape(-1, 2 * d)[:, d:]
+    t = np.ones((len(hidden), d + 1), np.float32)
+    t[:, :d] = tanh(hidden)
+    return e, eq, qs, kv, a, o, share, t
+
+
+def odds(m: Attention, t: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """exp() of the classes' logits, for each row of t (with its column of ones) and of prior."""
+    if np.abs(m.out).sum(0).max() > 40:
+        p = t[:, :-1] @ m.out
+        np.clip(p, -40, 40, out=p)
+        p += m.bias
+    else:
+        p = t @ np.vstack((m.out, m.bias))
+    p += prior.reshape(p.shape)
+    return np.exp(p, out=p)
+
+
 def forward(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndarray) -> tuple:
     """inputs: (windows, CONTEXT + STRIDE) of the symbols before each position; of the scored (last) positions, begins: 1 where a word
     begins, and prior: logarithms of the classes' probabilities by the pair statistics. The last item: class probabilities.
 
     What attention gives is added to the prior's logarithms, so untrained weights leave the pair statistics as they are.
     """
-    n, d = len(inputs), WIDTH
-    first = inputs.shape[1] - begins.shape[1]
-    two, three = (lambda x: x.reshape(-1, d)), (lambda x: x.reshape(n, -1, d))
-    e = m.symbol[inputs]
-    e += m.place
-    eq = e[:, first:] + m.begin[begins]
-    q, k, v = three(two(eq) @ (m.query * SCALE)), three(two(e) @ m.key), three(two(e) @ m.value)
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, CAP[first:], out=a)
-    np.exp(a, out=a)
-    a *= 1 / (a.sum(-1, keepdims=True) + np.float32(1e-30))
-    o = a @ v
-    t = two(eq) @ m.skip
-    t += two(o) @ m.mix
-    np.tanh(t, out=t)
-    p = t @ m.out
-    np.clip(p, -40, 40, out=p)
-    p += m.bias
-    p += prior.reshape(p.shape)
-    np.exp(p, out=p)
+    *held, t = attend(m, inputs, begins)
+    p = odds(m, t, prior)
     p *= 1 / p.sum(-1, keepdims=True)
-    return e, eq, q, k, v, a, o, three(t), p.reshape(n, -1, p.shape[-1])
+    return *held, t, p.reshape(len(inputs), -1, p.shape[-1])
 
 
 def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -194,47 +222,70 @@ def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.n
 
 def gradients(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy of the scored positions that are valid, and its gradients."""
-    e, eq, q, k, v, a, o, t, p = forward(m, inputs, begins, prior)
+    e, eq, qs, kv, a, o, share, t = attend(m, inputs, begins)
+    p, d = odds(m, t, prior), WIDTH
     n = max(1, int(valid.sum()))
     two = lambda x: x.reshape(-1, x.shape[-1])
-    back = lambda x: x.reshape(len(inputs), -1, WIDTH)
-    p2, at = two(p), (np.arange(targets.size), targets.ravel())
-    loss = float(-(np.log(p2[at] + 1e-9) * valid.ravel()).sum() / n)
-    p2[at] -= 1
-    p2 *= (valid.ravel() / n).astype(np.float32)[:, None]
-    dz = back((p2 @ m.out.T) * (1 - two(t) ** 2))
-    do, deq = back(two(dz) @ m.mix.T), back(two(dz) @ m.skip.T)
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= (do * o).sum(-1, keepdims=True)
-    ds *= a
-    dv, dq, dk = a.transpose(0, 2, 1) @ do, ds @ k, ds.transpose(0, 2, 1) @ q
-    dq *= SCALE
-    de = back(two(dk) @ m.key.T + two(dv) @ m.value.T)
-    deq += back(two(dq) @ m.query.T)
-    de[:, -deq.shape[1] :] += deq
-    g_begin = np.stack([deq[begins == k].sum(0) for k in (0, 1)])
-    g_symbol = np.stack([np.bincount(inputs.ravel(), column, SYMBOLS + 1) for column in two(de).T], 1).astype(np.float32)
-    return loss, [g_symbol, de.sum(0), g_begin, two(eq).T @ two(dq), two(e).T @ two(dk), two(e).T @ two(dv), two(eq).T @ two(dz), two(o).T @ two(dz), two(t).T @ two(p), two(p).sum(0)]
+    total = p @ np.ones(p.shape[-1], np.float32)
+    at, weight = (np.arange(targets.size), targets.ravel()), valid.ravel() / np.float32(n)
+    loss = float((np.log(total / p[at] + 1e-30) * weight).sum())
+    p[at] -= total
+    weight = (weight / total)[:, None]
+    g_out = (t * weight).T @ p
+    t = t[:, :d]
+    dqs, dkv = np.empty_like(qs), np.empty((*kv.shape[:2], 2 * d), np.float32)
+    dz = (p @ m.out.T) * (weight * (1 - t * t))
+    dqs[:, :, d:] = dz.reshape(o.shape)
+    do = np.empty((*o.shape[:2], d + 1), np.float32)
+    np.multiply((dz @ m.mix.T).reshape(o.shape), share, out=do[:, :, :d])
+    np.negative(np.einsum("nsd,nsd->ns", do[:, :, :d], o), out=do[:, :, d])
+    for at in sorted(a, reverse=True):  # the last may see all
+        x, here = a[at], slice(at, at + STRIDE)
+        seen = x.shape[2]
+        ds = do[:, here] @ kv[:, :seen, d:].transpose(0, 2, 1)
+        ds *= x
+        np.matmul(ds, kv[:, :seen, :d], out=dqs[:, here, :d])
+        if seen == e.shape[1]:
+            np.matmul(ds.transpose(0, 2, 1), qs[:, here, :d], out=dkv[:, :, :d])
+            np.matmul(x.transpose(0, 2, 1), do[:, here, :d], out=dkv[:, :, d:])
+        else:
+            dkv[:, :seen, :d] += ds.transpose(0, 2, 1) @ qs[:, here, :d]
+            dkv[:, :seen, d:] += x.transpose(0, 2, 1) @ do[:, here, :d]
+    g_qs, g_kv = two(eq).T @ two(dqs), two(e).T @ two(dkv)
+    deq = two(dqs) @ np.hstack((m.query * SCALE, m.skip)).T
+    de = (two(dkv) @ np.hstack((m.key, m.value)).T).reshape(e.shape)
+    de[:, -eq.shape[1] :] += deq.reshape(eq.shape)
+    begun = begins.ravel().astype(np.float32) @ deq
+    return loss, [sums_by(inputs.ravel(), two(de)), de.sum(0), np.stack((deq.sum(0) - begun, begun)), g_qs[:, :d] * SCALE, g_kv[:, :d], g_kv[:, d:], g_qs[:, d:], two(o).T @ dz, g_out[:d], g_out[d]]
+
+
+#: Cells of each symbol's row in a flat array.
+CELLS = np.arange((SYMBOLS + 1) * WIDTH).reshape(-1, WIDTH)
+
+
+def sums_by(symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each symbol."""
+    return np.bincount(np.take(CELLS, symbols, axis=0).ravel(), rows.ravel(), CELLS.size).reshape(CELLS.shape).astype(np.float32)
 
 
 def train(m: Attention, examples: Examples, passes: int, rate: float, batch: int = 32, seed: int = 5) -> Attention:
     """Adam, with a rate that falls to a tenth."""
     inputs = examples.inputs
-    m = m.filled(m.flat())
+    flat = m.flat()
+    m = m.over(flat)
     rng = np.random.default_rng(seed)
-    first, second = [np.zeros_like(w) for w in m.weights()], [np.zeros_like(w) for w in m.weights()]
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
     steps, step = passes * -(-len(inputs) // batch), 0
     for _ in range(passes):
         order = rng.permutation(len(inputs))
         for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            _, grads = gradients(m, *examples.rows(rows))
+            _, grads = gradients(m, *examples.rows(order[at : at + batch]))
+            g = np.concatenate([x.ravel() for x in grads])
             step += 1
             now = rate * (1 - 0.9 * step / steps)
-            for w, g, a, b in zip(m.weights(), grads, first, second, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                w -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            first += np.float32(0.1) * (g - first)
+            second += np.float32(0.01) * (g * g - second)
+            flat -= np.float32(now / (1 - 0.9**step)) * first / (np.sqrt(second / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     return m
 
 
@@ -250,7 +301,7 @@ class Examples:
 
     def rows(self, some) -> tuple:
         before = self.before[some]
-        return self.inputs[some], (before == START).astype(int), self.prior[before], self.targets[some], self.valid[some]
+        return self.inputs[some], (before == START).astype(int), np.take(self.prior, before, axis=0), self.targets[some], self.valid[some]
 
 
 @dataclass

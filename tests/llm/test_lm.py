@@ -162,3 +162,23 @@ def test_long_texts_are_scored_whole(spark):
     docs = spark.createDataFrame([(1, long, "en", None), (2, "the quiet river", "en", None), (10, long + "zebra", "en", None)], SCHEMA)
     got = {r.doc_id: r for r in lm.score_documents(docs, PATH, PATTERN).collect()}
     assert (got[1].n_tokens, got[10].n_tokens) == (120_001, 120_002) and got[10].score < got[1].score < got[2].score
+
+
+def test_gradients_over_training_windows_equal_differences():
+    """All positions of a window are scored: the first ones see less than the last."""
+    rng, width = np.random.default_rng(2), lm.CONTEXT + lm.STRIDE
+    m = lm.fresh(classes=5)
+    inputs = rng.integers(0, lm.SYMBOLS + 1, (3, width))
+    m.out[:] = rng.standard_normal(m.out.shape) * 0.2
+    begins, prior = rng.integers(0, 2, (3, width)), rng.standard_normal((3, width, 5)).astype(np.float32)
+    args = inputs, begins, prior, rng.integers(0, 5, (3, width)), rng.random((3, width)) < 0.8
+    _, grads = lm.gradients(m, *args)
+    for w, g in zip(m.weights(), grads, strict=True):
+        i = np.abs(g).argmax()
+        old = w.flat[i]
+        w.flat[i] = old + 1e-2
+        above, _ = lm.gradients(m, *args)
+        w.flat[i] = old - 1e-2
+        below, _ = lm.gradients(m, *args)
+        w.flat[i] = old
+        assert abs((above - below) / 2e-2 - g.flat[i]) < 2e-3
