@@ -38,9 +38,16 @@ def first_day(month: str) -> Column:
     return F.to_date(F.concat(F.col(month), F.lit("-01")))
 
 
+def steady_sum(c: str) -> Column:
+    """Sum of doubles that does not hang on the order of the rows: of their decimal digits, where these hold all values."""
+    exact = F.col(c).try_cast("decimal(38,18)")
+    held = F.bool_and(F.coalesce(exact.cast("double") == F.col(c), F.col(c).isNull()))
+    return F.coalesce(F.when(held, F.try_sum(exact).cast("double")), F.sum(c))
+
+
 def monthly_parts(obs: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """metric, month, and for raw and adjusted values: first, last, sum, n; so a claim meets months, not observations."""
-    of = lambda c, s: [F.min_by(c, "date").alias(f"first_{s}"), F.max_by(c, "date").alias(f"last_{s}"), F.sum(c).alias(f"sum_{s}")]
+    of = lambda c, s: [F.min_by(c, "date").alias(f"first_{s}"), F.max_by(c, "date").alias(f"last_{s}"), steady_sum(c).alias(f"sum_{s}")]
     parts = obs.groupBy("metric", month_of(F.col("date")).alias("month")).agg(*of("value", "raw"), *of("value_adj", "adj"), F.count("value").alias("n"))
     return parts.join(people, ["metric", "month"], "left") if people is not None else parts.withColumn("people", F.lit(None).cast("double"))
 
@@ -161,6 +168,9 @@ def verify_count_claims(claims: DataFrame, parts: DataFrame, digits: int = 2) ->
 def verify_prediction_claims(claims: DataFrame, predictions: DataFrame, grid: DataFrame, red_counts: DataFrame, digits: int = 4) -> DataFrame:
     """Claims about predictions (metric, date, probability), the scenario grid (probability) and red features (metric, red_count).
 
+    A feature_value is accepted where its metric has features at all; where claims name a feature and red_counts has a column of
+    that name, the column must have a value too.
+
     As-of lookups put claims among the predictions in the order of dates, counts put them in the order of probabilities by their thresholds:
     either is read off running values, so no claim meets the predictions, and a metric's rows may lie in many tasks.
     """
@@ -183,7 +193,12 @@ def verify_prediction_claims(claims: DataFrame, predictions: DataFrame, grid: Da
     ends = grid.agg(F.min("probability").alias("_lo"), F.max("probability").alias("_hi"))
     scenario = claims.filter(F.col("aggregation").isin(*SCENARIOS)).crossJoin(F.broadcast(ends)).withColumn("_actual", F.when(kind == "scenario_min", F.col("_lo")).otherwise(F.col("_hi")))
     out = out.unionByName(graded(scenario, F.col("_actual"), within_tolerance(value, F.col("_actual")), "no scenarios", digits))
-    red = claims.filter(F.col("aggregation").isin(*FEATURES)).join(red_counts, "metric", "left").withColumn("_actual", F.when(kind == "feature_red_count", F.col("red_count").cast("double")).otherwise(value))
+    red = claims.filter(F.col("aggregation").isin(*FEATURES)).join(red_counts, "metric", "left")
+    there = F.col("red_count").isNotNull()
+    if "feature" in claims.columns:
+        for name in {"strongest_red", "strongest_green"} & set(red_counts.columns):
+            there &= F.coalesce(F.col("feature") != name, F.lit(True)) | F.col(name).isNotNull()
+    red = red.withColumn("_actual", F.when(kind == "feature_red_count", F.col("red_count").cast("double")).when(there, value))
     return out.unionByName(graded(red, F.col("_actual"), (kind == "feature_value") | (F.abs(value - F.col("_actual")) <= COUNT_SLACK), "no features", digits))
 
 

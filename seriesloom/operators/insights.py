@@ -104,7 +104,7 @@ def insight_claims(spans: DataFrame, parts: DataFrame, predictions: DataFrame, g
     flag = F.when(kind == "feature_red_count", F.col("red_count").cast("double")).when(F.col("feature") == "strongest_red", F.col("strongest_red")).otherwise(F.col("strongest_green"))
     flags = claims.filter(kind.isin("feature_red_count", "feature_value")).join(signals, "metric").select("claim_id", flag.alias("value"))
     values = claims.join(read.unionByName(scored).unionByName(flags), "claim_id", "left")
-    return values.withColumn("value", F.coalesce(rounded(F.col("value"), F.col("digits")), F.lit(0.0))).drop("digits", "feature")
+    return values.withColumn("value", F.coalesce(rounded(F.col("value"), F.col("digits")), F.lit(0.0))).drop("digits")
 
 
 def rounded(value: Column, digits: Column) -> Column:
@@ -114,10 +114,10 @@ def rounded(value: Column, digits: Column) -> Column:
 
 
 def strongest_values(labelled: DataFrame, features: DataFrame) -> DataFrame:
-    """metric, red_count and the values of the features that feature_signals() names (0 where it names none).
+    """metric, red_count and the values of the features that feature_signals() names (null where it names none).
 
     labelled: metric, red_count, strongest_red, strongest_green (names); features: metric, features_json.
     """
     table = F.from_json("features_json", "map<string,double>")
-    value = lambda c: F.coalesce(F.try_element_at(table, F.col(c)), F.lit(0.0)).alias(c)
+    value = lambda c: F.try_element_at(table, F.col(c)).alias(c)
     return labelled.join(features.select("metric", "features_json"), "metric").select("metric", "red_count", value("strongest_red"), value("strongest_green"))

@@ -61,3 +61,26 @@ def test_all_insights(spark):
     assert counts == {k: len(rules) for k, (_, rules) in I.INSIGHTS.items()} and len(counts) == 21
     assert K.verify_claims(claims.filter("panel = 'a'"), parts, *outside(spark)).filter("not passed").count() == 0
     assert I.insight_claims(spans.limit(0), parts, *outside(spark), I.spec_rows()).count() == 0
+
+
+def test_features_that_are_not_there(spark):
+    """A feature's value passes only where the panel has features, and one of that colour; the value itself is then 0."""
+    parts, spans = tables(spark, {("a", "info"): [1.0], ("b", "info"): [1.0]})
+    spans = spans.unionByName(spark.createDataFrame([(p, I.RISK, p, dt.date(2020, 1, 1), dt.date(2020, 10, 1)) for p in "ab"], spans.schema))
+    rules = {"f": ("trend", [I.Rule(I.RISK, "feature_red_count"), I.Rule(I.RISK, "feature_value", feature="strongest_red"), I.Rule(I.RISK, "feature_value", feature="strongest_green")])}
+    named = spark.createDataFrame([("a", 0, "", "x")], "metric string, red_count int, strongest_red string, strongest_green string")
+    signals = I.strongest_values(named, spark.createDataFrame([("a", '{"x": -2.5}')], "metric string, features_json string"))
+    tables_ = parts, *outside(spark)[:2], signals
+    claims = I.insight_claims(spans, *tables_, I.spec_rows(rules))
+    assert {r.claim_id: r.value for r in claims.collect()} == {"a/f/0": 0.0, "a/f/1": 0.0, "a/f/2": -2.5, "b/f/0": 0.0, "b/f/1": 0.0, "b/f/2": 0.0}
+    assert {r.claim_id for r in K.verify_claims(claims, *tables_).filter("passed").collect()} == {"a/f/0", "a/f/2"}
+
+
+def test_sums_in_any_order(spark):
+    """A month's sum is the same whatever the order of its days: else one that cancels out is now under, now not under 0."""
+    thirds = [1 / 3, 2 / 3, -1.0, 7 / 3, -7 / 3, 0.1, 0.2, -0.3]
+    days = lambda p, vs: [(p, dt.date(2020, 1, 1 + i), v, v) for i, v in enumerate(vs)]
+    obs = spark.createDataFrame([r for k in range(8) for r in days(f"m{k}", thirds[k:] + thirds[:k])], "metric string, date date, value double, value_adj double")
+    assert len({(r.sum_raw, r.sum_adj) for r in K.monthly_parts(obs.coalesce(1)).collect()}) == 1
+    odd = spark.createDataFrame(days("i", [float("inf"), 1.0]) + days("z", [0.0]) + days("t", [1e-310, 1e-310]) + days("h", [9e19] * 3) + days("u", [None]) + days("n", [None, 2.5]), obs.schema)
+    assert {r.metric: r.sum_raw for r in K.monthly_parts(odd).collect()} == {"i": float("inf"), "z": 0.0, "t": 2e-310, "h": 2.7e20, "u": None, "n": 2.5}
