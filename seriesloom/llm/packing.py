@@ -28,14 +28,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordIds(dict):
-    """Token ids by chunk between ASCII white space, as bytes of unsigned 32-bit numbers; forgotten when there are too many.
+    """Token ids by chunk between ASCII white space, as bytes of unsigned 32-bit numbers. When there are LIMIT, they
+    become the old ones, which are asked next and forgotten in turn; a worker keeps both from stage to stage, so they are few.
 
     The tokenizer drops white space and case before it splits, so the ids of a text are those of its lower-cased chunks in
     order; only the names of special tokens depend on case. It splits between letters and marks, so marks at the end of a
     word add their own ids. A word of Latin letters needs neither normaliser nor splitter: it goes to the BPE model at once.
     """
 
-    LIMIT, LONGEST = 700_000, 64
+    LIMIT, LONGEST = 150_000, 64
     #: Latin letters, and ASCII marks after them, which are one piece.
     WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -45,6 +46,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.old: dict[bytes, bytes] = {}
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: letters.pre_tokenize_str(chr(i))[0][0] for i in range(0xDF, 0x100)}
         words = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -52,7 +54,10 @@ class WordIds(dict):
         self.ends[[i for w, i in words.items() if w.removesuffix("</w>")[-1:] in tuple(".!?")]] = True
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():  # ASCII letters alone
+        ids = self.old.get(chunk)
+        if ids is not None:
+            pass
+        elif chunk.isalpha():  # ASCII letters alone
             ids = array("I", [t.id for t in self.model.tokenize(chunk.lower().decode())]).tobytes()
         else:
             text = chunk.decode()
@@ -65,6 +70,7 @@ class WordIds(dict):
                 ids = array("I", [t.id for t in self.model.tokenize(text.lower().translate(self.letters))]).tobytes()
         if len(chunk) <= self.LONGEST:
             if len(self) >= self.LIMIT:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids

@@ -96,3 +96,17 @@ def test_latin_words_with_marks_need_no_splitter():
     for word in ("Éourément", "ß", "straße***", "réré,", "ÀÐÞ!?", "plain", "stone&&&", "ÿ.", "don't", "x1", "a×b", "**a", "<|endoftext|>", "<|", "\u212a", "\u0130i"):
         assert np.frombuffer(words[word.encode()], "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids
     assert set(asked) == {"***", ",", "!?", "&&&", ".", "don't", "x1", "a×b", "**a", "<|endoftext|>", "<|", "\u212a", "\u0130i"}
+
+
+def test_cache_is_bounded_and_keeps_frequent_words(monkeypatch):
+    """What a worker keeps of words stays small, a word in use is not tokenised again, and ids are the tokenizer's."""
+    from seriesloom.llm.packing import WordIds
+    from seriesloom.llm.queries import tokenizer
+
+    assert WordIds.LIMIT <= 150_000  # a worker's tables stay for the next stages
+    monkeypatch.setattr(WordIds, "LIMIT", 8)
+    words = WordIds(tokenizer("word_bpe_49k.json"))
+    for k in range(100):
+        text = f"often w{k} Été, x{k}y"
+        assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(words) <= 8 and len(words.old) <= 8 and (b"often" in words or b"often" in words.old)
