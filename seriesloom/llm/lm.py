@@ -7,11 +7,10 @@ subwords) covers all training documents; the attention weights are trained on al
 from __future__ import annotations
 
 import functools
-import re
-import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +39,7 @@ ADD = 0.1
 
 
 class WordPieces(dict):
-    """Subword ids of a word and the blank before it, as bytes of 32-bit numbers; forgotten when there are too many."""
-
-    LIMIT = 800_000
-    ENDING = re.compile(rb"[a-z][.,]")
+    """Subword ids of a word and the blank before it, as bytes of 32-bit numbers; words: the same for whole texts."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import base64
@@ -52,23 +48,91 @@ class WordPieces(dict):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        # Words hold no blank and are looked up with one before them: so their first ids, and no others, begin with one.
+        self.begins = np.zeros(VOCABULARY, bool)
+        self.begins[[i for piece, i in ranks.items() if piece[:1] == b" "] + [END]] = True
         self.encoding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.marks = {ord(c): self.packed(c) for c in ".,"}
-
-    def packed(self, text: str) -> bytes:
-        ids = self.encoding.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}i", *ids)
+        self.words = Words(self)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and self.ENDING.fullmatch(word, len(word) - 2):  # the pattern splits between letters and marks
-            ids = self[word[:-1]] + self.marks[word[-1]]
-        else:
-            ids = self.packed(" " + word.decode())
-        if len(word) <= LONG:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = ids
-        return ids
+        return self.all_of([word])[0].tobytes()
+
+    def all_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in their order, and the number of ids of each.
+
+        Words go to the encoder in one text, which its pattern splits before each blank; those that hold other white space go alone.
+        """
+        texts, ids, begin = [w.decode() for w in words], [], 0
+        for at in [*(i for i, t in enumerate(texts) if t.split() != [t]), len(texts)]:
+            for part in (texts[begin:at], texts[at : at + 1]):
+                if part:
+                    ids += self.encoding.encode_ordinary(" " + " ".join(part))
+            begin = at + 1
+        ids = np.array(ids, "<i4")
+        return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+
+
+def put(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with more behind its used part; twice as long if it is full."""
+    if used + len(more) > len(array):
+        array = np.concatenate((array, np.empty(max(len(array), len(more)), array.dtype)))
+    array[used : used + len(more)] = more
+    return array
+
+
+class Words(dict):
+    """Numbers of words by first sight, and by number their subword ids and value (NaN: none); the empty word is a text's end.
+
+    All is forgotten when it is too much.
+    """
+
+    LIMIT, IDS = 400_000, 4_000_000
+
+    def __init__(self, pieces: WordPieces) -> None:
+        self.pieces = pieces
+        self.forget(None)
+
+    def forget(self, values: dict[bytes, float] | None) -> None:
+        self.clear()
+        self[b""], self.names, self.values, self.used = 0, [b""], values, 1
+        self.ids, self.start, self.size = np.array([END], "<i4"), np.zeros(1, int), np.ones(1, int)
+        self.value = np.array([(values or {}).get(b"", np.nan)])
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.names)
+        self.names.append(word)
+        return number
+
+    def look(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words and the end of each text, one text after the other, and how many each has."""
+        if len(self) > self.LIMIT or self.used > self.IDS:
+            self.forget(self.values)
+        had = len(self.names)
+        counts = np.array([len(words) + 1 for words in texts])
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable((*words, b"") for words in texts)), int, counts.sum())
+        if new := self.names[had:]:
+            ids, size = self.pieces.all_of(new)
+            self.start = put(self.start, had, self.used + np.cumsum(size) - size)
+            self.size, self.ids = put(self.size, had, size), put(self.ids, self.used, ids)
+            self.used += len(ids)
+            if self.values is not None:
+                self.value = put(self.value, had, np.array([self.values.get(w, np.nan) for w in new]))
+        return at, counts
+
+    def encoded(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of what look() gave: ids of all texts; which of them begin a word; number of ids of each text."""
+        size = self.size[at]
+        last = np.cumsum(size)
+        ids = self.ids[np.arange(last[-1]) + np.repeat(self.start[at] - last + size, size)]
+        return ids, self.pieces.begins[ids], np.add.reduceat(size, np.cumsum(counts) - counts)
+
+
+def keep_memory() -> None:
+    """Has a worker keep the memory of freed arrays: the C library does so up to the largest block that was freed, at most 32 MB.
+
+    Otherwise it gives arrays back, and the kernel clears the pages of each anew.
+    """
+    np.empty((32 << 20) - (64 << 10), np.uint8)
 
 
 @functools.cache
@@ -162,7 +226,7 @@ def attend(m: Attention, inputs: np.ndarray, begins: np.ndarray) -> tuple:
     hidden += qs.reshape(-1, 2 * d)[:, d:]
     t = np.ones((len(hidden), d + 1), np.float32)
     t[:, :d] = tanh(hidden)
-    return e, eq, qs, kv, a, o, share, t
+    return e, qs, kv, a, o, share, t
 
 
 def odds(m: Attention, t: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -189,74 +253,96 @@ def forward(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndar
     return *held, t, p.reshape(len(inputs), -1, p.shape[-1])
 
 
-def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """log10 of the targets' probabilities: forward() for scoring, with plain matrix products and without what only training needs.
+@dataclass
+class Tables:
+    """For scoring, what symbols and places give by themselves: rows to add up in place of products at each position."""
+
+    kv: np.ndarray
+    place_kv: np.ndarray
+    qs: np.ndarray
+    place_qs: np.ndarray
+    prior: np.ndarray
+
+    @classmethod
+    def of(cls, m: Attention, prior: np.ndarray) -> Tables:
+        """kv: keys, values, and a one that sums up what each position gives out. qs, at 2 * symbol + begin: queries and skips."""
+        one = np.zeros((WIDTH, 1), np.float32)
+        kv, qs = np.hstack((m.key, m.value, one)), np.hstack((m.query * SCALE, m.skip))
+        symbols = (m.symbol[:, None] + m.begin).reshape(-1, WIDTH)
+        return cls(m.symbol @ kv + np.eye(2 * WIDTH + 1, dtype=np.float32)[-1], m.place @ kv, symbols @ qs, m.place[CONTEXT:] @ qs, prior + m.bias)
+
+
+def class_logs(m: Attention, inputs: np.ndarray, before: np.ndarray, prior: np.ndarray, targets: np.ndarray, tables: Tables | None = None) -> np.ndarray:
+    """log10 of the targets' probabilities: forward() for scoring, by sums of rows of tables and without what only training needs.
 
     before: the symbol before each scored position in its word; prior: the whole table of classes after each symbol.
     Scores are capped where exp() would no longer be finite.
     """
     n, d = len(inputs), WIDTH
-    e = m.symbol[inputs]
-    e += m.place
-    eq = (e[:, CONTEXT:] + m.begin[(before == START).astype(int)]).reshape(-1, d)
-    flat = e.reshape(-1, d)
-    q = (eq @ (m.query * np.float32(d**-0.5))).reshape(n, STRIDE, d)
-    a = q @ (flat @ m.key).reshape(n, -1, d).transpose(0, 2, 1)
+    if tables is None:
+        tables = Tables.of(m, prior)
+    kv = np.take(tables.kv, inputs, axis=0)
+    kv += tables.place_kv
+    qs = np.take(tables.qs, 2 * inputs[:, CONTEXT:] + (before == START), axis=0)
+    qs += tables.place_qs
+    a = qs[:, :, :d] @ kv[:, :, :d].transpose(0, 2, 1)
     np.minimum(a, CAP[CONTEXT:], out=a)
     np.exp(a, out=a)
-    v = np.ones((len(flat), d + 1), np.float32)  # the last column sums up what each position gives out
-    np.matmul(flat, m.value, out=v[:, :d])
-    o = (a @ v.reshape(n, -1, d + 1)).reshape(-1, d + 1)
-    t = eq @ m.skip
-    t += (o[:, :d] / o[:, d:]) @ m.mix
-    np.tanh(t, out=t)
-    x = t @ m.out
+    o = (a @ kv[:, :, d:]).reshape(-1, d + 1)
+    t = (o[:, :d] * (1 / o[:, d:])) @ m.mix
+    t += qs.reshape(-1, 2 * d)[:, d:]
+    x = tanh(t) @ m.out
     if np.abs(m.out).sum(0).max() > 40:
         np.clip(x, -40, 40, out=x)
-    x += np.take(prior + m.bias, before.ravel(), axis=0)
+    x += np.take(tables.prior, before.ravel(), axis=0)
     hit = x[np.arange(len(x)), targets.ravel()].astype(float)
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[-1], np.float32)
     return ((hit - np.log(total)) / np.log(10)).reshape(n, STRIDE)
 
 
-def gradients(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean cross-entropy of the scored positions that are valid, and its gradients."""
-    e, eq, qs, kv, a, o, share, t = attend(m, inputs, begins)
+def gradients(m: Attention, inputs: np.ndarray, begins: np.ndarray, prior: np.ndarray, targets: np.ndarray, valid: np.ndarray, with_loss: bool = True) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of the scored positions that are valid (0 if it is not asked for), and its gradients."""
+    e, qs, kv, a, o, share, t = attend(m, inputs, begins)
     p, d = odds(m, t, prior), WIDTH
     n = max(1, int(valid.sum()))
     two = lambda x: x.reshape(-1, x.shape[-1])
     total = p @ np.ones(p.shape[-1], np.float32)
     at, weight = (np.arange(targets.size), targets.ravel()), valid.ravel() / np.float32(n)
-    loss = float((np.log(total / p[at] + 1e-30) * weight).sum())
+    loss = float((np.log(total / p[at] + 1e-30) * weight).sum()) if with_loss else 0.0
     p[at] -= total
     weight = (weight / total)[:, None]
-    g_out = (t * weight).T @ p
+    g_out = np.ascontiguousarray((t * weight).T) @ p
     t = t[:, :d]
-    dqs, dkv = np.empty_like(qs), np.empty((*kv.shape[:2], 2 * d), np.float32)
-    dz = (p @ m.out.T) * (weight * (1 - t * t))
-    dqs[:, :, d:] = dz.reshape(o.shape)
+    dz = p @ m.out.T
+    dz *= weight * (1 - t * t)
     do = np.empty((*o.shape[:2], d + 1), np.float32)
     np.multiply((dz @ m.mix.T).reshape(o.shape), share, out=do[:, :, :d])
     np.negative(np.einsum("nsd,nsd->ns", do[:, :, :d], o), out=do[:, :, d])
+    # Of keys, values, queries and skips, side by side.
+    first = inputs.shape[1] - begins.shape[1]
+    g = np.empty((*inputs.shape, 4 * d), np.float32)
+    g[:, :first, 2 * d :] = 0
+    g[:, first:, 3 * d :] = dz.reshape(o.shape)
     for at in sorted(a, reverse=True):  # the last may see all
         x, here = a[at], slice(at, at + STRIDE)
         seen = x.shape[2]
         ds = do[:, here] @ kv[:, :seen, d:].transpose(0, 2, 1)
         ds *= x
-        np.matmul(ds, kv[:, :seen, :d], out=dqs[:, here, :d])
+        np.matmul(ds, kv[:, :seen, :d], out=g[:, first + at : seen, 2 * d : 3 * d])
         if seen == e.shape[1]:
-            np.matmul(ds.transpose(0, 2, 1), qs[:, here, :d], out=dkv[:, :, :d])
-            np.matmul(x.transpose(0, 2, 1), do[:, here, :d], out=dkv[:, :, d:])
+            np.matmul(ds.transpose(0, 2, 1), qs[:, here, :d], out=g[:, :, :d])
+            np.matmul(x.transpose(0, 2, 1), do[:, here, :d], out=g[:, :, d : 2 * d])
         else:
-            dkv[:, :seen, :d] += ds.transpose(0, 2, 1) @ qs[:, here, :d]
-            dkv[:, :seen, d:] += x.transpose(0, 2, 1) @ do[:, here, :d]
-    g_qs, g_kv = two(eq).T @ two(dqs), two(e).T @ two(dkv)
-    deq = two(dqs) @ np.hstack((m.query * SCALE, m.skip)).T
-    de = (two(dkv) @ np.hstack((m.key, m.value)).T).reshape(e.shape)
-    de[:, -eq.shape[1] :] += deq.reshape(eq.shape)
-    begun = begins.ravel().astype(np.float32) @ deq
-    return loss, [sums_by(inputs.ravel(), two(de)), de.sum(0), np.stack((deq.sum(0) - begun, begun)), g_qs[:, :d] * SCALE, g_kv[:, :d], g_kv[:, d:], g_qs[:, d:], two(o).T @ dz, g_out[:d], g_out[d]]
+            g[:, :seen, :d] += ds.transpose(0, 2, 1) @ qs[:, here, :d]
+            g[:, :seen, d : 2 * d] += x.transpose(0, 2, 1) @ do[:, here, :d]
+    by = np.hstack((m.key, m.value, m.query * SCALE, m.skip))
+    begun = begins.ravel().astype(np.float32) @ g[:, first:, 2 * d :].reshape(-1, 2 * d)
+    begun = np.stack((g[:, first:, 2 * d :].sum((0, 1)) - begun, begun))
+    g_by = two(e).T @ two(g)
+    g_by[:, 2 * d :] += m.begin.T @ begun
+    de = (two(g) @ by.T).reshape(e.shape)
+    return loss, [sums_by(inputs.ravel(), two(de)), de.sum(0), begun @ by[:, 2 * d :].T, g_by[:, 2 * d : 3 * d] * SCALE, g_by[:, :d], g_by[:, d : 2 * d], g_by[:, 3 * d :], two(o).T @ dz, g_out[:d], g_out[d]]
 
 
 #: Cells of each symbol's row in a flat array.
@@ -279,7 +365,7 @@ def train(m: Attention, examples: Examples, passes: int, rate: float, batch: int
     for _ in range(passes):
         order = rng.permutation(len(inputs))
         for at in range(0, len(order), batch):
-            _, grads = gradients(m, *examples.rows(order[at : at + batch]))
+            _, grads = gradients(m, *examples.rows(order[at : at + batch]), with_loss=False)
             g = np.concatenate([x.ravel() for x in grads])
             step += 1
             now = rate * (1 - 0.9 * step / steps)
@@ -318,14 +404,7 @@ class Model:
 
     def encode(self, pieces: WordPieces, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts, each with its end; which of them begin a word; number of ids of each text."""
-        parts = [list(map(pieces.__getitem__, words)) + [END_BYTES] for words in texts]
-        ids = np.frombuffer(b"".join(b"".join(p) for p in parts), "<i4")
-        lengths = np.array([len(x) for p in parts for x in p]) // 4
-        begins = np.zeros(len(ids), bool)
-        begins[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = True
-        ends = np.cumsum([len(p) for p in parts])
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        return ids, begins, total[ends] - total[np.concatenate(([0], ends[:-1]))]
+        return pieces.words.encoded(*pieces.words.look(texts))
 
     def windows(self, ids: np.ndarray, sizes: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """inputs (windows, CONTEXT + STRIDE), and where each scored position lies in ids, with -1 past a text's end: all but the
@@ -352,15 +431,15 @@ class Model:
         at = np.maximum(where, 0)
         return Examples(inputs, self.before(ids, begins)[at], self.kind[ids[at]], where >= 0, self.prior)
 
-    def logs(self, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: int = 256) -> np.ndarray:
+    def logs(self, ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, block: int = 64, tables: Tables | None = None) -> np.ndarray:
         """log10 of each id's probability: its class by attention and pair statistics, and its share of the class by the latter."""
         inputs, where, _ = self.windows(ids, sizes)
         before, out = self.before(ids, begins), np.zeros(len(ids))
-        kinds = self.kind[ids]
+        kinds, tables = self.kind[ids], tables or Tables.of(self.attention, self.prior)
         for a in range(0, len(inputs), block):
             at = where[a : a + block]
             known = np.maximum(at, 0)
-            logs = class_logs(self.attention, inputs[a : a + block], before[known], self.prior, kinds[known])
+            logs = class_logs(self.attention, inputs[a : a + block], before[known], self.prior, kinds[known], tables)
             ok = at >= 0
             out[at[ok]] = logs[ok]
         return out + self.within[before, self.symbol[ids]] + self.of_other[ids]
@@ -378,9 +457,6 @@ def classes_of(pairs: np.ndarray, seed: int = 5, rounds: int = 15) -> np.ndarray
     return np.concatenate((np.arange(ALONE), ALONE + label))
 
 
-END_BYTES = np.array([END], "<i4").tobytes()
-
-
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """word, n over all documents: counted within each partition before the shuffle."""
 
@@ -405,16 +481,10 @@ def subword_counts(counts: DataFrame, symbol: np.ndarray, path: str, pattern: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, total = word_pieces(path, pattern), np.zeros(VOCABULARY + (SYMBOLS + 1) * SYMBOLS)
         for batch in batches:
-            parts = [pieces[w] for w in batch.column(0).to_pylist()]
-            if not parts:
-                continue
-            ids = np.frombuffer(b"".join(parts), "<i4")
-            lengths = np.array([len(p) // 4 for p in parts])
+            ids, lengths = pieces.all_of(batch.column(0).to_pylist())
             n = np.repeat(batch.column(1).to_numpy().astype(float), lengths)
-            begins = np.zeros(len(ids), bool)
-            begins[np.cumsum(lengths) - lengths] = True
             symbols = symbol[ids]
-            before = np.where(begins, START, np.concatenate(([START], symbols[:-1])))
+            before = np.where(pieces.begins[ids], START, np.concatenate(([START], symbols[:-1])))
             np.add.at(total, ids, n)
             np.add.at(total, VOCABULARY + before * SYMBOLS + symbols, n)
         cell = np.flatnonzero(total)
@@ -447,6 +517,7 @@ def averaged(docs: DataFrame, model: Model, text: str, path: str, pattern: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, pieces = shared.value, word_pieces(path, pattern)
+        keep_memory()
         total, windows = np.zeros(m.attention.flat().size), 0
         shard, held, now, seen = None, [], m.attention, 0
 
@@ -487,8 +558,8 @@ def averaged(docs: DataFrame, model: Model, text: str, path: str, pattern: str,
 def fit(train_docs: DataFrame, counts: DataFrame, top: list[tuple[bytes, int]], n_docs: int, text: str, doc_id: str, path: str, pattern: str) -> Model:
     pieces = word_pieces(path, pattern)
     frequent = np.zeros(VOCABULARY)
-    for word, n in top:
-        np.add.at(frequent, np.frombuffer(pieces[word], "<i4"), n)
+    ids, lengths = pieces.all_of([word for word, _ in top])
+    np.add.at(frequent, ids, np.repeat(np.array([n for _, n in top], float), lengths))
     frequent[END] += n_docs
     order = np.lexsort((np.arange(VOCABULARY), -frequent))
     symbol = np.full(VOCABULARY, OTHER)
@@ -537,34 +608,34 @@ def score_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc
     rows = counts.filter(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()
     top = [(bytes(r["word"]), r["n"]) for r in rows]
     model = fit(learn, counts, top, n_docs, "text", "doc_id", path, pattern)
-    shared = spark.sparkContext.broadcast((model, dict(top)))
+    values = {w: float(np.log10(n + ADD)) for w, n in [*top, (b"", n_docs)]}
+    shared = spark.sparkContext.broadcast((model, values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
-        logs = {w: float(np.log10(n + ADD)) for w, n in known.items()}
-        pieces = word_pieces(path, pattern)
+        model, values = shared.value
+        keep_memory()
+        tables, words = Tables.of(model.attention, model.prior), word_pieces(path, pattern).words
+        if words.values is not values:
+            words.forget(values)
         for batch in batches:
             for a in range(0, batch.num_rows, 32):
                 part = batch.slice(a, 32)
-                texts = [words_of(t) for t in part.column("text").to_pylist()]
-                out: dict = {c: [] for c in ("n_tokens", "n_known", "base", "score", "words", "times")}
-                ids, begins, sizes = model.encode(pieces, texts)
-                scores = np.add.reduceat(model.logs(ids, begins, sizes), np.cumsum(sizes) - sizes)
-                for words in texts:
-                    base, some, rare, times = float(np.log10(n_docs + ADD)), int(n_docs > 0), [], []
-                    for word, n in Counter(words).items():
-                        value = logs.get(word)
-                        if value is None:
-                            rare.append(word)
-                            times.append(n)
-                        else:
-                            base += n * value
-                            some += n
-                    for c, v in zip(("n_tokens", "n_known", "base", "words", "times"), (len(words) + 1, some, base, rare, times), strict=True):
-                        out[c].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                out["score"] = scores
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["doc_id", "held_out", *out])
+                at, counts = words.look([words_of(t) for t in part.column("text").to_pylist()])
+                begin = np.cumsum(counts) - counts
+                ids, begins, sizes = words.encoded(at, counts)
+                scores = np.add.reduceat(model.logs(ids, begins, sizes, tables=tables), np.cumsum(sizes) - sizes)
+                value = words.value[at]
+                rare = np.isnan(value)
+                base = np.add.reduceat(np.where(rare, 0, value), begin)
+                known = np.add.reduceat(~rare, begin, dtype=int) - (n_docs == 0)
+                others, times = np.unique(np.repeat(np.arange(len(counts)) * len(words), counts)[rare] + at[rare], return_counts=True)
+                names = pa.array([words.names[i] for i in (others % len(words)).tolist()], pa.binary())
+                ends = pa.array(np.searchsorted(others, np.arange(len(counts) + 1) * len(words)), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, x) for x in (names, pa.array(times, pa.int32())))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), *map(pa.array, (counts, known, base, scores)), *lists],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"],
+                )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
     scored = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")

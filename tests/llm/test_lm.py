@@ -182,3 +182,58 @@ def test_gradients_over_training_windows_equal_differences():
         below, _ = lm.gradients(m, *args)
         w.flat[i] = old
         assert abs((above - below) / 2e-2 - g.flat[i]) < 2e-3
+
+
+def test_new_words_go_to_the_encoder_in_one_call(monkeypatch):
+    """A call for each word took most of the time of words that are seen once."""
+    pieces, calls = lm.WordPieces(PATH, PATTERN), []
+
+    class Counted:
+        def __init__(self, encoding):
+            self.encoding = encoding
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return self.encoding.encode_ordinary(text)
+
+    texts = [[b"word%d," % (i * j) for j in range(100)] for i in range(20)]
+    m, plain = model(), pieces.encoding
+    monkeypatch.setattr(pieces, "encoding", Counted(plain))
+    ids, begins, sizes = m.encode(pieces, texts)
+    assert len(calls) == 1
+    each = [[plain.encode_ordinary(" " + w.decode()) for w in t] for t in texts]
+    assert ids.tolist() == [i for t in each for i in [*(x for w in t for x in w), lm.END]]
+    assert begins.tolist() == [b for t in each for b in [*(not k for w in t for k in range(len(w))), True]]
+    assert sizes.tolist() == [sum(map(len, t)) + 1 for t in each]
+    m.encode(pieces, texts)
+    assert len(calls) == 1
+
+
+def test_words_with_other_white_space_keep_their_ids():
+    pieces = lm.WordPieces(PATH, PATTERN)
+    words = [w.encode() for w in ("stone", "a\xa0b", "\xa0", "\u2003x", "y\u3000", "\xe9t\xe9", "it's", "z\x1c", "\xa0\xa0", "'s", "\u0301", "end")]
+    ids, sizes = pieces.all_of(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [pieces.encoding.encode_ordinary(" " + w.decode()) for w in words]
+    assert [len(x) for x in pieces.all_of([])] == [0, 0]
+
+
+def test_words_may_be_forgotten_at_any_time(monkeypatch):
+    texts, m = [lm.words_of(t) for _, t in corpus()], model()
+    whole = m.encode(lm.WordPieces(PATH, PATTERN), texts)
+    monkeypatch.setattr(lm.Words, "LIMIT", 3)
+    pieces = lm.WordPieces(PATH, PATTERN)
+    parts = [m.encode(pieces, texts[a : a + 7]) for a in range(0, len(texts), 7)]
+    assert all(np.array_equal(x, np.concatenate(y)) for x, y in zip(whole, zip(*parts, strict=True), strict=True))
+
+
+def test_sums_of_tables_equal_products():
+    """Attention and prior that scoring reads from tables are those of the training pass, at places, beginnings and capped scores."""
+    m, rng = model(), np.random.default_rng(9)
+    m.attention.begin[:] = rng.standard_normal(m.attention.begin.shape)
+    m.attention.bias[:] = rng.standard_normal(m.attention.bias.shape)
+    m.attention.query *= 30
+    tables = lm.Tables.of(m.attention, m.prior)
+    inputs, before, targets = rng.integers(0, lm.SYMBOLS + 1, (4, lm.CONTEXT + lm.STRIDE)), rng.integers(lm.START - 1, lm.START + 1, (4, lm.STRIDE)), rng.integers(0, lm.CLASSES, (4, lm.STRIDE))
+    p = lm.forward(m.attention, inputs, (before == lm.START).astype(int), m.prior[before])[-1]
+    i, j = np.indices(targets.shape)
+    assert np.allclose(lm.class_logs(m.attention, inputs, before, m.prior, targets, tables), np.log10(p[i, j, targets]), atol=1e-3)
