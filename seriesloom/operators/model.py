@@ -76,12 +76,14 @@ def saved_forest(train: DataFrame, features: list[str], label: str, trees: int,
 
 def forest(train: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int = 42) -> Scored:
     model = RandomForestClassificationModel.load(saved_forest(train, features, label, trees, depth, leaf, seed))
-    vote = lambda df: model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df)).withColumn("_p", vector_to_array("_p")[1])
+    # Trained on rows of class 0 alone, the model knows one class and gives one probability: that of class 1 is 0.
+    second = F.coalesce(F.get(vector_to_array("_p"), F.lit(1)), F.lit(0.0))
+    vote = lambda df: model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(df)).withColumn("_p", second)
     return Scored("forest", features, vote, dict(zip(features, map(float, model.featureImportances.toArray()), strict=True)))
 
 
 class Trees:
-    """The nodes of a saved forest of two classes, a row for each tree: feature and threshold of each node, its children, and its share of the second class."""
+    """The nodes of a saved forest of at most two classes, a row for each tree: feature and threshold of each node, its children, and its share of the second class."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "nodeData.impurityStats").toPandas()
@@ -89,7 +91,7 @@ class Trees:
         at = rows["treeID"].to_numpy(), rows["id"].to_numpy()
         stats = np.stack(rows["impurityStats"].to_numpy())
         put = lambda values, kind: (lambda a: (a.__setitem__(at, values), a)[1])(np.zeros(shape, kind))
-        self.share = put(stats[:, 1] / stats.sum(1), float)
+        self.share = put(stats[:, 1:].sum(1) / stats.sum(1), float)  # 0 if the forest saw class 0 alone
         self.left, self.right = put(rows["leftChild"], int), put(rows["rightChild"], int)
         self.feature, self.threshold = put(rows["featureIndex"], int), put(rows["threshold"].fillna(0.0), float)
 

@@ -468,3 +468,18 @@ def test_forest_search_chooses_as_the_plain_loop(spark, checkered, monkeypatch):
     monkeypatch.setattr(M, "forest", lambda *a, **k: (chosen.append(a[3:]), real(*a, **k))[1])
     model = M.train_forest(checkered, features, grid=grid, folds=2)
     assert chosen == [max(plain, key=plain.get)] == [(12, 6, 3)] and set(model.weights) == set(features)
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_models_of_one_class_score_every_row(spark, checkered, label):
+    """With rows of one class alone to train on, both models are sure of it; months of the other class are scored too."""
+    features, train = ["a", "b", "c"], checkered.withColumn("label", F.lit(label))
+    models = [M.train_logistic(train, features), M.train_forest(train, features, grid=((2, 4), (1, 3), (5,)), folds=2)]
+    assert [{(r.probability, r.prediction) for r in m.score(checkered).collect()} for m in models] == [{(float(label), label)}] * 2
+    aucs = [M.evaluate_classifier(m.score(checkered)).first()["auc"] for m in models]
+    assert aucs == [0.5, 0.5]  # all probabilities are equal
+    for order in ([0, 1], [1, 0]):
+        got = M.select_and_score([models[i] for i in order], aucs, checkered, actual="label", by=()).collect()
+        assert len(got) == checkered.count() and {(r.probability, r.prediction, r.model_name) for r in got} == {(float(label), label, models[order[0]].name)}
+    trees = M.Trees(spark, M.saved_forest(train, features, "label", 3, 2, 5, 42))
+    assert (trees.nested(np.zeros((2, 3)), (3,), (2,))[3, 2] == label).all()
