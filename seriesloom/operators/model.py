@@ -32,6 +32,11 @@ def weighted(train: DataFrame, label: str) -> DataFrame:
     return train.join(F.broadcast(sizes.crossJoin(total)), label).withColumn("weight", F.col("_all") / (2.0 * F.col("_n"))).drop("_n", "_all")
 
 
+def weighed(train: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Features, label and weight of each row, written once: fitting reads its rows in several jobs, and each would join the weights anew."""
+    return kept(weighted(train.select(*features, label), label), "weighed")
+
+
 class Scored:
     """A fitted model with its features: adds probability and prediction. probability: from a DataFrame, that DataFrame with _p."""
 
@@ -56,8 +61,8 @@ def train_logistic(train: DataFrame, features: list[str], label: str = "label")
     Scoring needs coefficients, means and deviations only; the fitted model, which holds its training summary and with it the
     session, is not kept.
     """
-    n = train.count()
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(weighted(train, label))
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(weighed(train, features, label))
+    n = rows.count()
     scaler = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(rows)
     model = LogisticRegression(featuresCol="_z", labelCol=label, weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(scaler.transform(rows))
     weights = dict(zip(features, map(float, model.coefficients), strict=True))
@@ -66,11 +71,18 @@ def train_logistic(train: DataFrame, features: list[str], label: str = "label")
 
 
 def saved_forest(train: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int) -> str:
-    """Folder of a fitted forest. The model as fitted holds its training summary, and with it the session."""
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(weighted(train, label))
-    model = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(rows)
-    path = scratch_path(train.sparkSession, "forest")
-    model.write().save(path)
+    return grown(weighed(train, features, label), features, label, trees, depth, leaf, seed)
+
+
+def grown(rows: DataFrame, features: list[str], label: str, trees: int, depth: int, leaf: int, seed: int) -> str:
+    """Folder of a forest fitted to rows with their weights. The model as fitted holds its training summary, and with it the session.
+
+    It is saved as the JVM returns it: its Python form makes an object of every tree, some 40,000 calls for 500 trees, which nothing reads.
+    """
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
+    fitted = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="weight", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)._fit_java(rows)
+    path = scratch_path(rows.sparkSession, "forest")
+    fitted.write().save(path)
     return path
 
 
@@ -86,14 +98,15 @@ class Trees:
     """The nodes of a saved forest of at most two classes, a row for each tree: feature and threshold of each node, its children, and its share of the second class."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "nodeData.impurityStats").toPandas()
-        shape = rows["treeID"].max() + 1, rows["id"].max() + 1
+        node, (first, second) = F.col("nodeData"), [F.coalesce(F.get("nodeData.impurityStats", F.lit(k)), F.lit(0.0)) for k in (0, 1)]  # rows of class 0 alone leave no second
+        threshold = F.coalesce(F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)), F.lit(0.0))
+        columns = {"id": node["id"], "left": node["leftChild"], "right": node["rightChild"], "feature": node["split"]["featureIndex"], "threshold": threshold, "share": second / (first + second)}
+        rows = spark.read.parquet(f"{path}/data").select("treeID", *[c.alias(n) for n, c in columns.items()]).toArrow()  # numbers by column: no objects in the driver's Python
         at = rows["treeID"].to_numpy(), rows["id"].to_numpy()
-        stats = np.stack(rows["impurityStats"].to_numpy())
-        put = lambda values, kind: (lambda a: (a.__setitem__(at, values), a)[1])(np.zeros(shape, kind))
-        self.share = put(stats[:, 1:].sum(1) / stats.sum(1), float)  # 0 if the forest saw class 0 alone
-        self.left, self.right = put(rows["leftChild"], int), put(rows["rightChild"], int)
-        self.feature, self.threshold = put(rows["featureIndex"], int), put(rows["threshold"].fillna(0.0), float)
+        shape = at[0].max() + 1, at[1].max() + 1
+        put = lambda name, kind: (lambda a: (a.__setitem__(at, rows[name].to_numpy()), a)[1])(np.zeros(shape, kind))
+        self.share, self.threshold = put("share", float), put("threshold", float)
+        self.left, self.right, self.feature = put("left", int), put("right", int), put("feature", int)
 
     def nested(self, x: np.ndarray, trees: tuple[int, ...], depths: tuple[int, ...]) -> dict[tuple[int, int], np.ndarray]:
         """Probabilities of the rows of x by the first so many trees, cut off at so many levels below their roots."""
@@ -145,13 +158,13 @@ def train_forest(train: DataFrame, features: list[str], label: str = "label", gr
     counts, depths, leaves = (tuple(x) for x in grid)
     settings = list(itertools.product(counts, depths, leaves))
     parts = expanding_folds(train, folds) if len(settings) > 1 else []
-    usable = [k for k, (before, _) in enumerate(parts) if before.select(label).distinct().count() == 2]
+    usable = [k for k, (before, _) in enumerate(parts) if before.agg(F.min(label) < F.max(label)).first()[0]]
+    ready = {k: weighed(parts[k][0], features, label) for k in usable}
 
     def scored(job: tuple[int, int]) -> DataFrame:
         fold, leaf = job
-        before, after = parts[fold]
-        trees = Trees(spark, saved_forest(before, features, label, max(counts), max(depths), leaf, seed))
-        return kept(nested_scores(after, trees, features, label, counts, depths), "forest-scores").withColumns({"fold": F.lit(fold), "leaf": F.lit(leaf)})
+        trees = Trees(spark, grown(ready[fold], features, label, max(counts), max(depths), leaf, seed))
+        return kept(nested_scores(parts[fold][1], trees, features, label, counts, depths), "forest-scores").withColumns({"fold": F.lit(fold), "leaf": F.lit(leaf)})
 
     with ThreadPoolExecutor(workers) as pool:
         every = list(pool.map(scored, itertools.product(usable, leaves)))

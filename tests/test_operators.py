@@ -483,3 +483,14 @@ def test_models_of_one_class_score_every_row(spark, checkered, label):
         assert len(got) == checkered.count() and {(r.probability, r.prediction, r.model_name) for r in got} == {(float(label), label, models[order[0]].name)}
     trees = M.Trees(spark, M.saved_forest(train, features, "label", 3, 2, 5, 42))
     assert (trees.nested(np.zeros((2, 3)), (3,), (2,))[3, 2] == label).all()
+
+
+def test_forest_search_weighs_each_fold_once(spark, checkered, monkeypatch):
+    """The fits of a fold read one table of weights, and no fit makes Python objects of its trees in the driver."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    calls, real = [], M.weighted
+    monkeypatch.setattr(M, "weighted", lambda *a: (calls.append(1), real(*a))[1])
+    monkeypatch.setattr(RandomForestClassifier, "_create_model", lambda *a: pytest.fail("a Python model was made"))
+    M.train_forest(checkered, ["a", "b", "c"], grid=((2, 4), (2,), (3, 9)), folds=2)
+    assert len(calls) == 3  # two folds and the chosen setting
